@@ -4,8 +4,14 @@ Every document becomes a set of word shingles. Independent trees branch the sets
 sets are split by their minwise token under that tree's next hash function, so similar sets tend to stay
 together (with probability equal to their Jaccard similarity at each branching). Nodes of at most
 ``leaf`` sets are compared exhaustively on short sketches; larger ones link each member to a leader
-and branch on; large nodes of the last level compare whatever is not yet in one component. All candidate
-links are then confirmed on full sets, with integers.
+and branch on.
+
+Links are confirmed on full sets, with integers, in two phases. The first takes a spanning forest of each
+node's similar pairs, so its rows grow with the documents and not with the square of a group, and compares
+the resulting groups in full, at most CHUNK members at a time. The second goes through all nodes again and
+confirms every similar pair whose ends the first left in different components, in groups again; in large
+nodes of the last level, what stands apart from the node's largest component meets all members, in blocks.
+So no link between components goes unseen.
 
 * Equal sets are one class from the start, whatever the number of copies: only classes are branched.
 * A null, empty or blank text has an empty set: it is its own component.
@@ -14,22 +20,23 @@ links are then confirmed on full sets, with integers.
 * Extra columns are ignored.
 * Recall: a pair of similarity 0.8 that never meets a node above ``leaf`` is missed with probability
   0.2 ** trees (4e-9 at 12 trees); after three levels it is (1 - 0.8 ** 3) ** 12 = 2e-4. The sketch
-  filter lies 4.5 standard deviations below the threshold.
+  filter lies 4.5 standard deviations below the threshold (64 places).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, small_side, stage
+from .common import components, stage
 from .textnum import U, flat, mix, pieces, powers, shingle_sets, white_lut
 
-TREES, DEPTH, LEAF, CHUNK = 12, 4, 64, 128
+TREES, DEPTH, SKETCH, LEAF, CHUNK, PANEL = 12, 4, 64, 64, 128, 64
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -42,7 +49,9 @@ def _binary16(a: np.ndarray, b: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in raw], pa.binary())
 
 
-def _sketcher(words: int, functions: int):
+def _sketcher(words: int, functions: int, tokens: int):
+    """Set size, class (a 128-bit hash of the set), the first ``tokens`` minwise tokens and a sketch of all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut, c2 = white_lut(), U(0xD6E8FEB86659FD93)
         seeds = mix(np.arange(1, functions + 1, dtype=U) * U(0xA0761D6478BD642F))
@@ -70,7 +79,7 @@ def _sketcher(words: int, functions: int):
                         "_k": batch.column("_k").slice(i, m),
                         "n": pa.array(n.astype(np.int64)),
                         "cls": _binary16(mix(sums[0] ^ n.astype(U)), sums[1]),
-                        "low": pa.array(list(low.T.astype(np.int64)), pa.list_(pa.int64())),
+                        "low": pa.array(list(low[:tokens].T.astype(np.int64)), pa.list_(pa.int64())),
                         "sig": pa.array([x.tobytes() for x in np.ascontiguousarray(tags.T)], pa.binary()),
                     }
                 )
@@ -78,79 +87,136 @@ def _sketcher(words: int, functions: int):
     return run
 
 
-def _leaf_pairs(least: float):
-    """Rows sorted by node: pairs (a < b) within each node whose sketches agree on ``least`` of all places."""
+def _agreement(x: np.ndarray) -> np.ndarray:
+    return (x[:, None, :] == x[None, :, :]).mean(axis=2)
+
+
+def _by_node(close, columns: tuple[str, ...], out: dict[str, pa.DataType]):
+    """Rows sorted by node: ``close(lists of columns)`` yields result rows for each node (at most ``leaf`` rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, members, sigs, out_a, out_b = None, [], [], [], []
+        node, held, rows = None, [], []
 
-        def close() -> None:
-            if len(members) > 1:
-                x = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
-                agree = (x[:, None, :] == x[None, :, :]).mean(axis=2) if len(x) <= 256 else None
-                for i in range(len(x)):
-                    row = agree[i] if agree is not None else (x == x[i]).mean(axis=1)
-                    for j in np.flatnonzero(row[i + 1 :] >= least) + i + 1:
-                        a, b = members[i], members[j]
-                        if a != b:
-                            out_a.append(min(a, b))
-                            out_b.append(max(a, b))
+        def flush():
+            cols = list(zip(*rows)) or [()] * len(out)
+            return pa.record_batch({k: pa.array(c, t) for (k, t), c in zip(out.items(), cols)})
 
         for batch in batches:
-            for k, c, s in zip(*(batch.column(x).to_pylist() for x in ("node", "cls", "sig"))):
+            for k, *row in zip(*(batch.column(x).to_pylist() for x in ("node", *columns))):
                 if k != node:
-                    close()
-                    node, members, sigs = k, [], []
-                members.append(c)
-                sigs.append(s)
-            if len(out_a) > 20_000:
-                yield pa.record_batch({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
-                out_a, out_b = [], []
-        close()
-        yield pa.record_batch({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+                    if len(held) > 1:
+                        rows.extend(close(*zip(*held)))
+                    node, held = k, []
+                held.append(row)
+            if len(rows) > 20_000:
+                yield flush()
+                rows = []
+        if len(held) > 1:
+            rows.extend(close(*zip(*held)))
+        yield flush()
 
     return run
 
 
+def _forest(least: float):
+    """A spanning forest, most similar pairs first, of a node's pairs that agree on ``least`` of all places."""
+
+    def close(classes, sigs):
+        x = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+        agree = np.triu(_agreement(x), 1)
+        i, j = np.nonzero(agree >= least)
+        order = np.argsort(-agree[i, j], kind="stable")
+        root = list(range(len(x)))
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for p, q in zip(i[order].tolist(), j[order].tolist()):
+            if (a := find(p)) != (b := find(q)):
+                root[a] = b
+                yield min(classes[p], classes[q]), max(classes[p], classes[q]), float(agree[p, q])
+
+    return _by_node(close, ("cls", "sig"), {"a": pa.binary(), "b": pa.binary(), "est": pa.float64()})
+
+
+def _apart(least: float):
+    """A node's members that are similar to one with another label, as a group named by its members: trees
+    that meet in the same members name the same group."""
+
+    def close(classes, sigs, labels):
+        names = {v: k for k, v in enumerate(set(labels))}
+        if len(names) > 1:
+            lab = np.array([names[v] for v in labels])
+            x = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+            some = ((_agreement(x) >= least) & (lab[:, None] != lab[None, :])).any(axis=1)
+            members = sorted(classes[k] for k in np.flatnonzero(some))
+            g = int.from_bytes(hashlib.blake2b(b"".join(members), digest_size=8).digest(), "big", signed=True)
+            for c in members:
+                yield c, g
+
+    return _by_node(close, ("cls", "sig", "l"), {"cls": pa.binary(), "g": pa.int64()})
+
+
 def _agreeing(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                keep = pa.array((x == y).mean(axis=1) >= least)
-                yield pa.record_batch({c: batch.column(c).filter(keep) for c in ("a", "b")})
+                est = (x == y).mean(axis=1)
+                keep = pa.array(est >= least)
+                yield pa.record_batch({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep), "est": pa.array(est[est >= least])})
 
     return run
 
 
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def intersections(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of all pairwise intersections: products of incidence matrices, ``width`` shared elements at a time."""
+    n = len(sets)
+    out = np.zeros((n, n))
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    size = np.diff(np.append(first, len(every)))
+    shared = np.repeat(size > 1, size)
+    owner = owner[shared]
+    column = np.repeat(np.arange((size > 1).sum()), size[size > 1])
+    for at in range(0, int((size > 1).sum()), width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        x = np.zeros((n, width), np.float32)
+        x[owner[lo:hi], column[lo:hi] - at] = 1
+        out += x @ x.T
+    return out + np.diag([len(x) for x in sets]) - np.diag(np.diag(out))
 
 
 def _confirm(words: int, percent: int):
-    """Rows sorted by group: links (a, b) on full sets that join each group's true components."""
+    """Rows sorted by group: links (a, b) that span each group's true components, on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut, group, held, out_a, out_b = white_lut(), None, [], [], []
 
         def close() -> None:
-            roots: list[list[tuple[bytes, np.ndarray]]] = []  # components found so far
-            for c, s in held:
-                mine = [g for g in roots if any(_similar(s, x, percent) for _, x in g)]
-                if mine:
-                    for g in mine:
-                        out_a.append(g[0][0])
-                        out_b.append(c)
-                    merged = mine[0]
-                    for g in mine[1:]:
-                        merged.extend(g)
-                    roots = [g for g in roots if not any(g is x for x in mine[1:])]
-                    merged.append((c, s))
-                else:
-                    roots.append([(c, s)])
+            if len(held) < 2:
+                return
+            n = np.array([len(x) for _, x in held])
+            both = intersections([x for _, x in held])
+            root = list(range(len(held)))
+
+            def find(k):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for i, j in zip(*np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))):
+                if (x := find(int(i))) != (y := find(int(j))):
+                    root[y] = x
+                    out_a.append(held[x][0])
+                    out_b.append(held[y][0])
 
         for batch in batches:
             data, offsets = flat(batch.column("_t"))
@@ -175,16 +241,27 @@ def _confirm(words: int, percent: int):
 _PAIR = "a binary, b binary"
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-    trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF,
+    trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, with_key: bool = False,
 ) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``."""
-    functions = trees * depth
-    least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / functions) ** 0.5
-    source = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_k"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_t"))
+    """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``; ``with_key`` adds the
+    row's key (_k) and class (cls, null for an empty set)."""
+    functions = max(SKETCH, trees * depth)
+    share = percent / 100
+    spread = (share * (1 - share) / functions) ** 0.5
+    least, strong = share - 4.5 * spread, share - 2 * spread
+    key, text = row_key(id_col, text_col).alias("_k"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_t")
+    source = docs.select(F.col(id_col).alias("_id"), key, text)
     id_type = dict(source.dtypes)["_id"]
-    base = stage(source.mapInArrow(_sketcher(words, functions), f"_id {id_type}, _k bigint, n bigint, cls binary, low array<bigint>, sig binary"), "near-base")
+    base = stage(source.mapInArrow(_sketcher(words, functions, trees * depth), f"_id {id_type}, _k bigint, n bigint, cls binary, low array<bigint>, sig binary"), "near-base")
 
     # One row for each distinct set: its sketch is the same on every copy.
     reps = stage(base.where("n > 0").groupBy("cls").agg(F.min("_k").alias("_k"), F.any_value("low").alias("low"), F.any_value("sig").alias("sig")), "near-reps")
@@ -201,90 +278,105 @@ def near_duplicates(
         if large.isEmpty():
             large = None
             break
-        leads = large.groupBy("node").agg(F.min("cls").alias("a"))
-        stars.append(large.join(leads, "node").select("a", F.col("cls").alias("b")).where("a <> b").distinct())
+        if d in (0, depth - 1):
+            leads = large.groupBy("node").agg(F.min("cls").alias("a"))
+            stars.append(large.join(leads, "node").select("a", F.col("cls").alias("b")).where("a <> b"))
         if d + 1 < depth:
             rows = large.select("cls", F.xxhash64("node", f"m{d + 1}").alias("node"), *[F.col(f"m{k}") for k in range(d + 2, depth)])
 
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
-
     def sketched(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing(least), _PAIR)
+        both = pairs.join(sig.withColumnsRenamed({"cls": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"cls": "b", "sig": "sb"}), "b")
+        return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing(least), _PAIR + ", est double")
 
-    leaves = union(small).join(sig, "cls").repartition("node").sortWithinPartitions("node")
-    found = [leaves.mapInArrow(_leaf_pairs(least), _PAIR)]
+    leaves = stage(_union(small).join(sig, "cls"), "near-leaves")
+    found = [leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_forest(least), _PAIR + ", est double")]
     if stars:
-        found.append(sketched(union(stars).distinct()))
-    candidates = stage(union(found).distinct(), "near-candidates")
-    links = _confirmed(docs, reps, candidates, words, percent, id_col, text_col)
-
-    if large is not None:  # nodes that stayed large: members of different components, compared in full
-        label = components(links, "near-large") if not links.isEmpty() else None
-        member = large.select("node", "cls").distinct()
-        member = member.join(label, member.cls == label.v, "left").select("node", "cls", F.coalesce("l", "cls").alias("l")) if label is not None else member.withColumn("l", F.col("cls"))
-        member = stage(member, "near-large-members")
-        sizes = member.groupBy("node", "l").count()
-        top = sizes.groupBy("node").agg(F.max_by("l", F.struct("count", "l")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        apart = stage(member.join(top, "node").where("l <> top").select("node", F.col("cls").alias("x"), F.col("l").alias("lx")), "near-apart")
-        if not apart.isEmpty():
-            pairs = apart.join(member, "node").where("l <> lx").select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
-            more = stage(sketched(pairs), "near-more")
-            if not more.isEmpty():
-                links = stage(links.unionByName(_confirmed(docs, reps, more, words, percent, id_col, text_col)), "near-links")
+        leaders = _union(stars).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))  # two for each set
+        found.append(sketched(leaders.select(F.explode("a").alias("a"), "b")))
+    edges = stage(_union(found).groupBy("a", "b").agg(F.max("est").alias("est")), "near-edges")
+
+    links = None
+    if not edges.isEmpty():
+        # the only move of texts: one row of each class that has a similar one
+        ends = edges.select(F.explode(F.array("a", "b")).alias("cls"))
+        ends = ends if large is None else ends.unionByName(large.select("cls"))
+        involved = stage(ends.distinct().join(reps.select("cls", "_k"), "cls"), "near-involved")
+        texts = stage(docs.select(key, text).join(involved, "_k").select("cls", "_t"), "near-texts")
+        links = _first_links(edges.where(F.col("est") >= strong).select("a", "b"), texts, words, percent)
+        # second phase: similar pairs still apart
+        label = components(links, "near-first")
+
+        def labelled(members: DataFrame) -> DataFrame:
+            return members.join(label, members.cls == label.v, "left").withColumn("l", F.coalesce("l", "cls")).drop("v")
+
+        groups = [labelled(leaves).repartition("node").sortWithinPartitions("node").mapInArrow(_apart(least), "cls binary, g bigint")]
+        if large is not None:  # nodes of the last level that are still large: what is apart from the largest part meets all
+            member = stage(labelled(large.select("node", "cls")), "near-large")
+            sizes = member.groupBy("node", "l").count()
+            top = sizes.groupBy("node").agg(F.max_by("l", F.struct("count", "l")).alias("top"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+            member = member.join(top, "node").withColumn("lone", F.col("l") != F.col("top"))
+            shape = sizes.join(top.select("node", "size"), "node").groupBy("node").agg(F.ceil((F.max("size") - F.max("count")) / PANEL).alias("rows"), F.ceil(F.max("size") / CHUNK).alias("cols"))
+            member = member.join(shape, "node")
+            row, col = F.pmod(F.xxhash64("cls", F.lit(3)), "rows"), F.pmod(F.xxhash64("cls", F.lit(4)), "cols")
+            one = F.lit(1).cast("bigint")
+            lone = member.where("lone").select("cls", "node", row.alias("r"), F.explode(F.sequence(one - 1, F.col("cols") - 1)).alias("c"))
+            every = member.select("cls", "node", F.explode(F.sequence(one - 1, F.col("rows") - 1)).alias("r"), col.alias("c"))
+            groups.append(lone.unionByName(every).select("cls", F.xxhash64("node", "r", "c").alias("g")))
+        groups = stage(_union(groups).distinct(), "near-apart")
+        links = stage(links.unionByName(_compared(texts, groups, words, percent)), "near-links")
 
     first = base.where("n > 0").groupBy("cls").agg(F.min("_id").alias("first"))
-    if links.isEmpty():
+    if links is None or links.isEmpty():
         named = first.select("cls", F.col("first").alias("component_id"))
     else:
         label = components(links, "near-final")
-        lowest = first.join(label, first.cls == label.v, "left").select("cls", F.coalesce("l", "cls").alias("l"), "first")
-        lowest = stage(lowest, "near-labelled")
+        lowest = stage(first.join(label, first.cls == label.v, "left").select("cls", F.coalesce("l", "cls").alias("l"), "first"), "near-labelled")
         named = lowest.join(lowest.groupBy("l").agg(F.min("first").alias("component_id")), "l").select("cls", "component_id")
-    out = base.where("n > 0").select("_id", "n", "cls").join(named, "cls").select("_id", "n", "component_id")
-    out = out.unionByName(base.where("n = 0").select("_id", "n", F.col("_id").alias("component_id")))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = base.where("n > 0").select("_id", "n", "_k", "cls").join(named, "cls").select("_id", "n", "component_id", "_k", "cls")
+    out = out.unionByName(base.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"), "_k", F.lit(None).cast("binary").alias("cls")))
+    extra = ["_k", "cls"] if with_key else []
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra)
 
 
-def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """True links among ``pairs`` (and others met on the way) that connect what the pairs can connect.
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest id, once if it repeats;
+    documents without words all stay. Texts move once, by key."""
+    judged = near_duplicates(docs, words, percent, with_key=True)
+    keys = stage(judged.where("kept").groupBy("_k").agg(F.count("*").alias("copies"), F.any_value(F.col("cls").isNull()).alias("empty")), "near-kept")
+    keyed = docs.withColumn("_k", row_key("doc_id", "text"))
+    once = keyed.join(keys.where("copies = 1 or empty").select("_k"), "_k", "left_semi").drop("_k")
+    again = keys.where("copies > 1 and not empty").select("_k")
+    merged = keyed.join(again, "_k", "left_semi").groupBy("_k").agg(*[F.any_value(c).alias(c) for c in docs.columns]).select(docs.columns)
+    return once.unionByName(merged)
 
-    Texts travel once, to groups of at most CHUNK members of one candidate component (with the
-    component's best-linked member in each group); pairs still apart after that are confirmed one by one.
-    """
-    if pairs.isEmpty():
-        return pairs
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("deg"))
+
+def _compared(texts: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    return texts.join(groups, "cls").select("g", "cls", "_t").repartition("g").sortWithinPartitions("g", "cls").mapInArrow(_confirm(words, percent), _PAIR)
+
+
+def _first_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links within the components of ``pairs``, compared in random groups of at most about CHUNK.
+    What a large component then leaves outside its largest part meets a random panel of that part."""
     label = components(pairs, "near-cand")
-    info = stage(ends.join(label, ends.cls == label.v).select("cls", "deg", "l"), "near-members")
-    comp = info.groupBy("l").agg(F.count("*").alias("size"), F.max_by("cls", F.struct("deg", "cls")).alias("hub"))
-    grouped = info.join(comp, "l").withColumn("parts", F.ceil(F.col("size") / CHUNK))
-    own = grouped.select("cls", F.xxhash64("l", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("cls"), "parts")).otherwise(0)).alias("g"), "l", "parts")
-    hubs = comp.withColumn("parts", F.ceil(F.col("size") / CHUNK)).where("parts > 1").select(F.col("hub").alias("cls"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"), "l", "parts")
-    hubs = hubs.select("cls", F.xxhash64("l", "p").alias("g"), "l", "parts")
-    assigned = stage(own.unionByName(hubs).distinct(), "near-groups")
-    links = stage(_with_texts(docs, reps, assigned.select("cls", "g"), id_col, text_col).mapInArrow(_confirm(words, percent), _PAIR), "near-links")
-    big = assigned.where("parts > 1").select("cls").distinct()
+    sizes = label.groupBy("l").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    grouped = stage(label.join(sizes, "l").withColumnRenamed("v", "cls"), "near-grouped")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("cls"), "parts")).otherwise(0)
+    links = stage(_compared(texts, grouped.select("cls", F.xxhash64("l", part).alias("g")), words, percent), "near-links0")
+    big = grouped.where("parts > 1").select("cls", F.col("l").alias("comp"))
     if big.isEmpty():
         return links
-    left = pairs.join(big, pairs.a == big.cls, "left_semi")
-    if not links.isEmpty():
-        done = components(links, "near-part")
-        la, lb = done.select(F.col("v").alias("a"), F.col("l").alias("la")), done.select(F.col("v").alias("b"), F.col("l").alias("lb"))
-        left = left.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    left = stage(left, "near-left")
-    if left.isEmpty():
-        return links
-    single = left.select(F.explode(F.array("a", "b")).alias("cls"), F.xxhash64("a", "b").alias("g"))
-    return stage(links.unionByName(_with_texts(docs, reps, single, id_col, text_col).mapInArrow(_confirm(words, percent), _PAIR)), "near-links2")
-
-
-def _with_texts(docs: DataFrame, reps: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(g, cls, _t) sorted by g: each class's text by the key of one of its rows."""
-    want = stage(groups.join(reps.select("cls", "_k"), "cls").select("_k", "cls", "g"), "near-want")
-    texts = docs.select(row_key(id_col, text_col).alias("_k"), F.col(text_col).cast("binary").alias("_t"))
-    return texts.join(small_side(want), "_k").select("g", "cls", "_t").repartition("g").sortWithinPartitions("g", "cls")
+    for seed in (1, 2):
+        now = components(links, f"near-part{seed}")
+        member = stage(big.join(now, big.cls == now.v, "left").select("cls", "comp", F.coalesce("l", "cls").alias("l")), f"near-members{seed}")
+        top = member.groupBy("comp", "l").count().groupBy("comp").agg(F.max_by("l", F.struct("count", "l")).alias("top"))
+        member = member.join(top, "comp")
+        rest = member.where("l <> top").groupBy("comp").agg(F.ceil(F.count("*") / (CHUNK - PANEL)).alias("parts"))
+        rest = stage(rest, f"near-rest{seed}")
+        if rest.isEmpty():
+            break
+        lone = member.where("l <> top").join(rest, "comp").select("cls", F.xxhash64("comp", F.pmod(F.xxhash64("cls", F.lit(seed)), "parts")).alias("g"))
+        rank = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("cls", F.lit(-seed)), "cls"))
+        panel = member.where("l = top").withColumn("rank", rank).where(F.col("rank") <= PANEL).join(rest, "comp")
+        panel = panel.select("cls", "comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p")).select("cls", F.xxhash64("comp", "p").alias("g"))
+        links = stage(links.unionByName(_compared(texts, lone.unionByName(panel), words, percent)), f"near-links{seed}")
+    return links
