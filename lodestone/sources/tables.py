@@ -81,10 +81,14 @@ def coerce(raw: Column, kind: str) -> Column:
 def specified_csv(spark: SparkSession, path: str, columns: list[tuple[str, str]], encoding: str = "UTF-8", delimiter: str = ",", row_count: int | None = None) -> DataFrame:
     """CSV under a frozen spec: header equality, kinds and, if given, the number of rows."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n, _ in columns])
+    cp1252 = encoding.lower() in ("windows-1252", "cp1252")  # Spark reads its superset, the C1 codes follow
+    encoding = "ISO-8859-1" if cp1252 else encoding
     df = spark.read.csv(path, schema=schema, header=True, enforceSchema=False, encoding=encoding, sep=delimiter, mode="FAILFAST", multiLine=True, nullValue="\0")
     if row_count is not None and df.count() != row_count:
         raise SourceError("row_count_mismatch", path)
-    return df.select(*[coerce(F.col(n), k).alias(n) for n, k in columns])
+    codes = "".join(map(chr, (c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))))
+    plain = lambda c: F.translate(c, codes, codes.encode("latin-1").decode("cp1252")) if cp1252 else c
+    return df.select(*[coerce(plain(F.col(n)), k).alias(n) for n, k in columns])
 
 
 def file_type(content: Column) -> Column:
