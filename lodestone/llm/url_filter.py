@@ -6,14 +6,15 @@ the rule's path; the longest fitting rule wins. Urls that a rule decides are the
 The tree has one branch per host and path prefix. Each path segment is first generalised: segments that
 vary (numbers, hexadecimal or long mixed identifiers, page names with an extension) become typed
 wildcards. Sibling branches under one parent whose labelled block rates do not differ significantly
-(two-proportion z-test against the rate of all siblings) merge into ``*``. A template's score is its
-labelled purity smoothed towards its parent's, from the root of all hosts over the host's domain and the
-host down to the full template; templates with a score of at least ``threshold`` are rejected.
+(z-test against the rate of all siblings) merge into ``*``; a branch without labels joins them only where
+the position is variable, with at least ``variable`` values, and otherwise keeps its name. A template's
+score is the share of blocked among its labelled urls, smoothed by ``prior`` urls at the rate ``base``;
+templates with a score of at least ``threshold`` are rejected, so nothing is without labelled evidence.
 
 Everything is one map over urls and aggregations of (host, template) counts: map-side combined, so a hot
 host costs its distinct templates, not its urls.
 
-* A null url, or one without "://": host and path are empty, no rule fits; the root's purity decides.
+* A null url, or one without "://": host and path are empty, no rule fits and, without labels, the verdict is allow.
 * Repeated rows are judged alike; empty tables give empty results; extra columns are ignored.
 * Ties between rules of one length cannot fit one url unless equal; the first listed wins.
 """
@@ -61,35 +62,26 @@ def segment_kind(segment: Column) -> Column:
     )
 
 
-def templates(urls: DataFrame, depth: int = 3, prior: float = 4.0, z: float = 3.0) -> DataFrame:
+def templates(urls: DataFrame, depth: int = 3, prior: float = 2.0, base: float = 0.2, z: float = 3.0, variable: int = 8) -> DataFrame:
     """(host, l1, l2, ..., template, score): the merged tree with smoothed block purities, one row for each
     branch before merging. ``urls`` has host, l1, l2, ... and label (1 blocked, 0 allowed, null unknown)."""
     levels = [f"l{k}" for k in range(1, depth + 1)]
     counts = urls.groupBy("host", *levels).agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
-    counts = stage(counts.withColumn("domain", F.element_at(F.split("host", r"\."), -1)), "url-templates")
-    seen = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
-    root = ((seen.b or 0) + 0.5 * prior) / ((seen.n or 0) + prior)
-
-    def smoothed(p: Column) -> Column:
-        return (F.sum("b") + F.lit(prior) * p) / (F.sum("n") + F.lit(prior))
-
-    domain = counts.groupBy("domain").agg(smoothed(F.lit(root)).alias("p"))
-    host = counts.join(domain, "domain").groupBy("host").agg(smoothed(F.max("p")).alias("p"))
-    tree, path = counts.join(host, "host"), ["host"]
+    tree, path = stage(counts, "url-templates"), ["host"]
     for level in levels:
         name = f"m_{level}"
         branch = tree.groupBy(*path, level).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-        around = branch.groupBy(*path).agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
+        around = branch.groupBy(*path).agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count("*").alias("width"))
         rate = F.try_divide("all_b", "all_n")
         apart = F.abs(F.try_divide("b", "n") - rate) > z * F.sqrt(F.try_divide(rate * (1 - rate), "n"))
-        keep = (F.col(level) == "") | F.coalesce(apart, F.lit(False))
+        unknown = (F.col("n") == 0) & (F.col("width") < variable)
+        keep = (F.col(level) == "") | unknown | F.coalesce(apart, F.lit(False))
         named = branch.join(around, path).select(*path, level, F.when(keep, F.col(level)).otherwise("*").alias(name))
-        tree = tree.join(named, [*path, level])
+        tree = stage(tree.join(named, [*path, level]), f"url-{level}")
         path = [*path, name]
-        score = tree.groupBy(*path).agg(smoothed(F.max("p")).alias("q"))
-        tree = stage(tree.join(score, path).drop("p").withColumnRenamed("q", "p"), f"url-{level}")
+    score = tree.groupBy(*path).agg(((F.sum("b") + prior * base) / (F.sum("n") + prior)).alias("score"))
     text = F.concat("host", *[F.when(F.col(f"m_{x}") != "", F.concat(F.lit("/"), F.col(f"m_{x}"))).otherwise("") for x in levels])
-    return tree.select("host", *levels, text.alias("template"), F.col("p").alias("score"))
+    return tree.join(score, path).select("host", *levels, text.alias("template"), "score")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, depth: int = 3, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -37,12 +37,14 @@ def test_rules_match_brute_force(spark):
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
 
 
-def test_unruled_templates_follow_their_host_and_domain(spark):
+def test_unruled_templates_need_labelled_evidence(spark):
     rows = [(i, f"https://h{i % 5}.net/{'es' if i % 2 else 'fr'}/{i}", "", "") for i in range(200)]
-    rows += [(1000 + i, f"https://h{i % 5}.net/es{i % 3}/{i}", "", "") for i in range(20)]
+    rows += [(1000 + i, f"https://h{i % 5}.net/es{i}/{i}", "", "") for i in range(60)]
+    rows += [(4000 + i, f"https://g{i % 2}.net/{('es', 'fr', 'en')[i % 3]}/{i}", "", "") for i in range(60)]
     rows += [(2000 + i, f"https://h{i % 5}.com/{i}", "", "") for i in range(50)] + [(3000, "https://new.com?x", "", "")]
     got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert all(got[1000 + i] == "block" for i in range(20))
+    assert all(got[1000 + i] == "block" for i in range(60))  # a variable position next to blocked branches
+    assert all(got[4000 + i] == ("allow" if i % 3 == 2 else "block") for i in range(60))  # a known name without labels
     assert got[3000] == "allow"
 
 
