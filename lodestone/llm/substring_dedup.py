@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 from .near_dedup import row_key
 from .textnum import PIECE, U, flat, mix, pieces, powers
 
@@ -122,11 +122,12 @@ def _resolve(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     weight = F.when(F.col("multi"), 2).otherwise(1)
     bucket = rows.groupBy("core").agg(F.sum(weight).alias("w"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("w > 1")
     met = stage(rows.join(bucket.select("core", (F.col("u0") != F.col("u1")).alias("mixed")), "core"), f"{label}-met")
-    uniform = met.where("not mixed and not multi").select("_k", "n", "p1", "more")
+    uniform = stage(met.where("not mixed and not multi").select("_k", "n", "p1", "more"), f"{label}-uniform")
     mixed = met.where("mixed")
     tag = F.xxhash64("_k", "n", "p1")
     same = mixed.groupBy("core", "u").agg(F.sum(weight).alias("w"), F.min(tag).alias("tag")).where("w > 1")
     seen = stage(mixed.join(same, ["core", "u"], "left").drop("core", "mixed"), f"{label}-mixed")
+    unstage(met)
     runs = uniform.unionByName(seen.where("w > 1 and not multi").select("_k", "n", "p1", "more"))
     on = seen.where(F.col("w").isNull() | (tag == F.col("tag"))).withColumn("multi", F.col("w").isNotNull()).drop("w", "tag", "u")
     return runs, on
@@ -153,6 +154,7 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     source = docs.select("_k", "n", "_t")
     anchors = stage(source.where(F.col("n") >= size).select("_k", "_t").mapInArrow(_anchor_rows(size, gram), "gram bigint, u bigint, _k bigint, n bigint, p1 bigint, more int, x int"), "sub-anchors")
     runs, on = _resolve(anchors.withColumnRenamed("gram", "core").withColumn("gram", F.col("core")).withColumn("multi", F.lit(False)), "sub0")
+    unstage(anchors)
     found = [runs]
     marks = on.groupBy("_k", "n").agg(F.collect_list(F.struct("p1", "more", "x", "multi", "gram")).alias("marks"))
     held = source.join(marks, ["_k", "n"]).mapInArrow(_contexts(size), "_k bigint, n bigint, p1 bigint, more int, x int, multi boolean, gram bigint, c binary")
@@ -167,8 +169,7 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
             "_k", "n", (F.col("p1") + F.col("x") - high).alias("p1"), (high - lowest).cast("int").alias("more"), high.cast("int").alias("x"), "multi", "gram",
             F.substring("c", (F.col("x") - high + 1).cast("int"), (high - lowest + size).cast("int")).alias("c"), F.xxhash64("gram", "b", core).alias("core"),
         )
-        cut = stage(cut.withColumn("u", F.xxhash64("c", "x", F.lit(step))), f"sub-cut{step}")
-        runs, held = _resolve(cut, f"sub{step}")
+        runs, held = _resolve(cut.withColumn("u", F.xxhash64("c", "x", F.lit(step))), f"sub{step}")
         found.append(runs)
         if step > 1 and held.isEmpty():
             break
