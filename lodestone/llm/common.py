@@ -54,21 +54,32 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def components(edges: DataFrame, label: str = "cc") -> DataFrame:
+def components(edges: DataFrame, label: str = "cc", known: DataFrame | None = None) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (v, l), l the least vertex of v's component.
 
-    Min-label propagation with pointer jumping; all state stays distributed, each round is staged.
+    Min-label propagation with pointer jumping; all state stays distributed, each round is staged. ``known``
+    has the components of earlier edges: then only labels that ``edges`` joins anew go through the rounds.
     """
-    e = stage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{label}-edges")
+    ends = edges.select("a", "b")
+    if known is not None:
+        la, lb = (known.select(F.col("v").alias(c), F.col("l").alias(f"l{c}")) for c in ("a", "b"))
+        ends = ends.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    e = stage(ends.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), back)).alias("e")).select("e.*").distinct(), f"{label}-edges")
+    if known is not None and e.isEmpty():
+        return known
     labels = stage(e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("l")), f"{label}-0")
-    step = 0
-    while True:
+    step, moved = 0, True
+    while moved:
         step += 1
         near = e.join(labels, e.b == labels.v).groupBy("a").agg(F.min("l").alias("m"))
         hooked = labels.join(near, labels.v == near.a, "left").select("v", "l", F.least("l", "m").alias("h"))
         up = labels.select(F.col("v").alias("u"), F.col("l").alias("ul"))
         jumped = hooked.join(up, F.col("h") == F.col("u"), "left")
         new = stage(jumped.select("v", F.least("h", "ul").alias("l"), (F.least("h", "ul") != F.col("l")).alias("moved")), f"{label}-{step}")
-        labels = new.select("v", "l")
-        if new.where("moved").isEmpty():
-            return labels
+        labels, moved = new.select("v", "l"), not new.where("moved").isEmpty()
+    if known is None:
+        return labels
+    joined = labels.select(F.col("v").alias("u"), F.col("l").alias("ul"))
+    old = known.join(joined, F.col("l") == F.col("u"), "left").select("v", F.coalesce("ul", "l").alias("l"))
+    return stage(old.unionByName(labels.join(known.select("v"), "v", "left_anti")), f"{label}-all")

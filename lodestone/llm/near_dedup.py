@@ -295,16 +295,15 @@ def near_duplicates(
         found.append(sketched(leaders.select(F.explode("a").alias("a"), "b")))
     edges = stage(_union(found).groupBy("a", "b").agg(F.max("est").alias("est")), "near-edges")
 
-    links = None
+    label = None
     if not edges.isEmpty():
         # the only move of texts: one row of each class that has a similar one
         ends = edges.select(F.explode(F.array("a", "b")).alias("cls"))
         ends = ends if large is None else ends.unionByName(large.select("cls"))
         involved = stage(ends.distinct().join(reps.select("cls", "_k"), "cls"), "near-involved")
         texts = stage(docs.select(key, text).join(involved, "_k").select("cls", "_t"), "near-texts")
-        links = _first_links(edges.where(F.col("est") >= strong).select("a", "b"), texts, words, percent)
+        label = _first_components(edges.where(F.col("est") >= strong).select("a", "b"), texts, words, percent)
         # second phase: similar pairs still apart
-        label = components(links, "near-first")
 
         def labelled(members: DataFrame) -> DataFrame:
             return members.join(label, members.cls == label.v, "left").withColumn("l", F.coalesce("l", "cls")).drop("v")
@@ -323,13 +322,12 @@ def near_duplicates(
             every = member.select("cls", "node", F.explode(F.sequence(one - 1, F.col("rows") - 1)).alias("r"), col.alias("c"))
             groups.append(lone.unionByName(every).select("cls", F.xxhash64("node", "r", "c").alias("g")))
         groups = stage(_union(groups).distinct(), "near-apart")
-        links = stage(links.unionByName(_compared(texts, groups, words, percent)), "near-links")
+        label = components(_compared(texts, groups, words, percent), "near-final", label)
 
     first = base.where("n > 0").groupBy("cls").agg(F.min("_id").alias("first"))
-    if links is None or links.isEmpty():
+    if label is None:
         named = first.select("cls", F.col("first").alias("component_id"))
     else:
-        label = components(links, "near-final")
         lowest = stage(first.join(label, first.cls == label.v, "left").select("cls", F.coalesce("l", "cls").alias("l"), "first"), "near-labelled")
         named = lowest.join(lowest.groupBy("l").agg(F.min("first").alias("component_id")), "l").select("cls", "component_id")
     out = base.where("n > 0").select("_id", "n", "_k", "cls").join(named, "cls").select("_id", "n", "component_id", "_k", "cls")
@@ -354,19 +352,18 @@ def _compared(texts: DataFrame, groups: DataFrame, words: int, percent: int) ->
     return texts.join(groups, "cls").select("g", "cls", "_t").repartition("g").sortWithinPartitions("g", "cls").mapInArrow(_confirm(words, percent), _PAIR)
 
 
-def _first_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links within the components of ``pairs``, compared in random groups of at most about CHUNK.
-    What a large component then leaves outside its largest part meets a random panel of that part."""
+def _first_components(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components by links confirmed within the components of ``pairs``, compared in random groups of at most
+    about CHUNK. What a large component then leaves outside its largest part meets a random panel of that part."""
     label = components(pairs, "near-cand")
     sizes = label.groupBy("l").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     grouped = stage(label.join(sizes, "l").withColumnRenamed("v", "cls"), "near-grouped")
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("cls"), "parts")).otherwise(0)
-    links = stage(_compared(texts, grouped.select("cls", F.xxhash64("l", part).alias("g")), words, percent), "near-links0")
+    now = components(_compared(texts, grouped.select("cls", F.xxhash64("l", part).alias("g")), words, percent), "near-part0")
     big = grouped.where("parts > 1").select("cls", F.col("l").alias("comp"))
     if big.isEmpty():
-        return links
+        return now
     for seed in (1, 2):
-        now = components(links, f"near-part{seed}")
         member = stage(big.join(now, big.cls == now.v, "left").select("cls", "comp", F.coalesce("l", "cls").alias("l")), f"near-members{seed}")
         top = member.groupBy("comp", "l").count().groupBy("comp").agg(F.max_by("l", F.struct("count", "l")).alias("top"))
         member = member.join(top, "comp")
@@ -378,5 +375,5 @@ def _first_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -
         rank = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("cls", F.lit(-seed)), "cls"))
         panel = member.where("l = top").withColumn("rank", rank).where(F.col("rank") <= PANEL).join(rest, "comp")
         panel = panel.select("cls", "comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p")).select("cls", F.xxhash64("comp", "p").alias("g"))
-        links = stage(links.unionByName(_compared(texts, lone.unionByName(panel), words, percent)), f"near-links{seed}")
-    return links
+        now = components(_compared(texts, lone.unionByName(panel), words, percent), f"near-part{seed}", now)
+    return now
