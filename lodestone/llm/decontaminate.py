@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import stage
 
@@ -237,12 +238,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_coverage: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with matched spans cut out of the text; rows whose hit words exceed
     ``drop_coverage`` of all words go. Rows without hits stay as they are, byte for byte; n_chars, if there,
-    follows the text."""
+    follows the text. All blocks scan the original text; coverage is tested and the text cut once, by their
+    merged spans, so the number of blocks does not change the result."""
     sc = docs.sparkSession.sparkContext
-    out = docs
-    for block in item_blocks(benchmark, "item_id", "text"):
-        out = _cut(out, sc.broadcast(Automaton(block, window)), drop_coverage, text_col)
-    return out
+    blocks = item_blocks(benchmark, "item_id", "text")
+    out, block = docs, next(blocks)
+    for following in blocks:
+        out = _found(out, sc.broadcast(Automaton(block, window)), text_col)
+        block = following
+    return _cut(out, sc.broadcast(Automaton(block, window)), drop_coverage, text_col, docs.schema)
 
 
 def word_ranges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -251,19 +255,52 @@ def word_ranges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _cut(docs: DataFrame, shared, drop_coverage: float, text_col: str) -> DataFrame:
-    schema = docs.schema
+#: Column, always the last, that carries the spans of the blocks before along with the uncut text.
+_SPANS = "_benchmark_spans"
+_SPAN_LIST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _earlier(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
+    """The spans found by the blocks before, row by row."""
+    if batch.schema.names[-1] != _SPANS:
+        return [[]] * batch.num_rows
+    return [[(x["start"], x["end"]) for x in row] for row in batch.column(batch.num_columns - 1).to_pylist()]
+
+
+def _found(docs: DataFrame, shared, text_col: str) -> DataFrame:
+    """``docs`` with one more block's spans."""
+    head = StructType([f for f in docs.schema if f.name != _SPANS])
+    schema = StructType([*head, StructField(_SPANS, ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = shared.value
+        for batch in batches:
+            spans = []
+            for t, before in zip(batch.column(batch.schema.get_field_index(text_col)), _earlier(batch)):
+                t = t.as_py()
+                now, _ = auto.scan(words_of(t.encode() if t is not None else None))
+                spans.append([{"start": a, "end": b} for a, b in merged(before + now)])
+            columns = batch.columns[: len(head)] + [pa.array(spans, _SPAN_LIST)]
+            yield pa.record_batch(columns, names=[*head.names, _SPANS])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _cut(docs: DataFrame, shared, drop_coverage: float, text_col: str, schema: StructType) -> DataFrame:
+    """The last block: coverage and cut, once, by the spans of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts, keep = [], []
-            for t in batch.column(at):
+            for t, before in zip(batch.column(at), _earlier(batch)):
                 t = t.as_py()
                 raw = t.encode() if t is not None else b""
                 w = words_of(raw)
                 spans, _ = auto.scan(w)
+                if before:
+                    spans = merged(before + spans)
                 keep.append(not w or sum(b - a for a, b in spans) <= drop_coverage * len(w))
                 if spans:
                     starts, ends = word_ranges(raw)
@@ -273,10 +310,11 @@ def _cut(docs: DataFrame, shared, drop_coverage: float, text_col: str) -> DataFr
                         last = ends[b - 1]
                     t = (b"".join(parts) + raw[last:]).decode()
                 texts.append(t)
-            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
-            if (n := batch.schema.get_field_index("n_chars")) >= 0:
-                columns[n] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(n).type)
-            yield pa.record_batch(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            fields = pa.schema(list(batch.schema)[: len(schema)])
+            columns = [pa.array(texts, fields.field(at).type) if k == at else c for k, c in enumerate(batch.columns[: len(schema)])]
+            if (n := fields.get_field_index("n_chars")) >= 0:
+                columns[n] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(fields.field(n).type)
+            yield pa.record_batch(columns, schema=fields).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from lodestone.llm import decontaminate
 from tests.llm.test_decontaminate import words
 from tests.llm.test_near_dedup import brute as near_brute
 from tests.llm.test_pii import brute as pii_brute
@@ -71,3 +72,26 @@ def test_run_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{e}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{e}/benchmark.parquet")
     assert corpus_pipeline.run(spark, e).count() == 0
+
+
+def test_benchmark_blocks_do_not_change_the_decontamination_stage(spark, tmp_path, monkeypatch):
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, filler = run("a", 30), run("b", 30), run("f", 40)
+    variant = " ".join(a.split()[25:]) + " " + run("v", 15)  # its windows overlap those of a in one text
+    joined = a + " " + run("v", 15)
+    items = [(1, a), (2, b), (3, variant)]
+    docs = [(1, f"{a} {b} {filler}", "en", "s", 0), (2, f"{filler} {joined} {filler} end.", "en", "s", 0), (3, f"{a}. {run('g', 40)}", "en", "s", 0)]
+    docs += [(4, filler, "en", "s", 7), (5, None, None, None, None), (6, "", "en", "s", 0), (7, f"{b} {a} {filler}", "en", "s", 0)]
+    docs += [(8, f"{run('g', 30)} {b}, {run('h', 3)} {a} {run('k', 20)}", "en", "s", 0), (2, f"{filler} {joined} {filler} end.", "en", "s", 0)]
+    df = spark.createDataFrame(docs, DOCS)
+    sf, got = str(tmp_path), {}
+    spark.createDataFrame(items, "item_id bigint, text string").coalesce(1).write.parquet(f"{sf}/benchmark.parquet")
+    for size in (200_000, 20, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
+        out = corpus_pipeline.remove_benchmark(spark, df, sf)
+        assert out.schema == df.schema
+        got[size] = sorted(map(tuple, out.collect()), key=str)
+    assert {r[0] for r in got[200_000]} == {2, 3, 4, 5, 6}  # 1, 7 and 8 are 60, 60 and 53 % benchmark, of two items
+    text = {r[0]: r[1] for r in got[200_000]}
+    assert text[2] == f"{filler}  {filler} end." and text[3] == f". {run('g', 40)}"
+    assert got[20] == got[60] == got[200_000]
