@@ -284,6 +284,14 @@ def reach_bounded(t):
     return graph.reach(e, e.sparkSession.createDataFrame([(5,)], "node bigint"), 3).select("node", "depth")
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 97 AS src, l_partkey % 97 AS dst FROM lineitem),
+r(node, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT DISTINCT node, depth FROM r""")
+def reach_bounded_all(t):
+    """reach_bounded over the edges of all orders."""
+    e = t("lineitem").select((C("l_suppkey") % 97).alias("src"), (C("l_partkey") % 97).alias("dst")).distinct()
+    return graph.reach(e, e.sparkSession.createDataFrame([(5,)], "node bigint"), 3).select("node", "depth")
+
+
 @query("SELECT n_nationkey AS node, n_regionkey AS ancestor, 1 AS depth FROM nation UNION ALL SELECT n_nationkey, 1000, 2 FROM nation")
 def ancestors(t):
     up = t("nation").select(C("n_nationkey").alias("src"), (C("n_regionkey") + 500).alias("dst")).unionByName(t("region").select((C("r_regionkey") + 500).alias("src"), F.lit(1500).alias("dst")))
