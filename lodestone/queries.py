@@ -388,6 +388,12 @@ def char_error_rate(t):
     return t("benchmark").select("item_id", text.char_error_rate(a, F.lower(a)).alias("cer"))
 
 
+@query("SELECT item_id, levenshtein(text, lower(text)) / greatest(length(text), 1)::DOUBLE AS cer FROM benchmark")
+def char_error_rate_whole(t):
+    """char_error_rate over the whole texts."""
+    return t("benchmark").select("item_id", text.char_error_rate(C("text"), F.lower("text")).alias("cer"))
+
+
 @query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2)
 SELECT doc_id, sum(n)::BIGINT AS tokens, count(*) AS kinds, max(n) AS most FROM c GROUP BY doc_id""".replace("\\\\", "\\"))
 def token_multiset(t):

@@ -12,3 +12,20 @@ def test_reach_takes_the_edges_of_all_orders(spark, tmp_path):
         want |= {(n, d) for n in level}
     got = [tuple(r) for r in QUERIES["reach_bounded_all"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(want) > 6
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_char_error_rate_takes_whole_texts(spark, tmp_path):
+    texts = ["a" * 60 + "B" * 20, "Word " * 50 + "END", "q" * 300, "Short", "É" * 70 + "ß", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.cer for r in QUERIES["char_error_rate_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else distance(t, t.lower()) / max(len(t), 1) for i, t in enumerate(texts)}
+    assert got[0] == 0.25
