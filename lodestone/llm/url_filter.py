@@ -3,7 +3,7 @@
 Rules are (verdict, "host/path"): a rule fits its host and all subdomains where the url's path starts with
 the rule's path; the longest fitting rule wins. Urls that a rule decides are the labelled ones.
 
-The tree has one branch per host and path prefix. Each path segment is first generalised: segments that
+The tree has one branch per host and path prefix, as deep as the paths go. Each path segment is first generalised: segments that
 vary (numbers, hexadecimal or long mixed identifiers, page names with an extension) become typed
 wildcards. Sibling branches under one parent whose labelled block rates do not differ significantly
 (z-test against the rate of all siblings) merge into ``*``; a branch without labels joins them only where
@@ -21,6 +21,8 @@ host costs its distinct templates, not its urls.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,29 +64,40 @@ def segment_kind(segment: Column) -> Column:
     )
 
 
-def templates(urls: DataFrame, depth: int = 3, prior: float = 2.0, base: float = 0.2, z: float = 3.0, variable: int = 8) -> DataFrame:
-    """(host, l1, l2, ..., template, score): the merged tree with smoothed block purities, one row for each
-    branch before merging. ``urls`` has host, l1, l2, ... and label (1 blocked, 0 allowed, null unknown)."""
-    levels = [f"l{k}" for k in range(1, depth + 1)]
-    counts = urls.groupBy("host", *levels).agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
-    tree, path = stage(counts, "url-templates"), ["host"]
-    for level in levels:
-        name = f"m_{level}"
-        branch = tree.groupBy(*path, level).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-        around = branch.groupBy(*path).agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count("*").alias("width"))
+def templates(urls: DataFrame, prior: float = 2.0, base: float = 0.2, z: float = 3.0, variable: int = 8) -> DataFrame:
+    """(host, segments, template, score): the merged tree with smoothed block purities, one row for each
+    branch before merging. ``urls`` has host, segments (generalised, all of them) and label (1 blocked, 0
+    allowed, null unknown). Level by level, rows leave the tree where their path ends or no other shares
+    their branch, so the levels worked on are those of the longest shared prefix."""
+    counts = urls.groupBy("host", "segments").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
+    tree, ended, k = stage(counts.withColumn("template", F.col("host")), "url-templates"), [], 0
+    while True:
+        # a path that has ended takes part once more, as the branch ""
+        level = tree.withColumn("at", F.coalesce(F.get("segments", F.lit(k)), F.lit("")))
+        branch = level.groupBy("template", "at").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("rows"))
+        around = branch.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count("*").alias("width"), (F.sum("rows") == 1).alias("alone"))
         rate = F.try_divide("all_b", "all_n")
         apart = F.abs(F.try_divide("b", "n") - rate) > z * F.sqrt(F.try_divide(rate * (1 - rate), "n"))
         unknown = (F.col("n") == 0) & (F.col("width") < variable)
-        keep = (F.col(level) == "") | unknown | F.coalesce(apart, F.lit(False))
-        named = branch.join(around, path).select(*path, level, F.when(keep, F.col(level)).otherwise("*").alias(name))
-        tree = stage(tree.join(named, [*path, level]), f"url-{level}")
-        path = [*path, name]
-    score = tree.groupBy(*path).agg(((F.sum("b") + prior * base) / (F.sum("n") + prior)).alias("score"))
-    text = F.concat("host", *[F.when(F.col(f"m_{x}") != "", F.concat(F.lit("/"), F.col(f"m_{x}"))).otherwise("") for x in levels])
-    return tree.join(score, path).select("host", *levels, text.alias("template"), "score")
-
-
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, depth: int = 3, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+        keep = unknown | F.coalesce(apart, F.lit(False))
+        name = F.when(F.col("at") == "", "").otherwise(F.concat(F.lit("/"), F.when(keep, F.col("at")).otherwise("*")))
+        named = branch.join(around, "template").select("template", "at", name.alias("name"), "alone")
+        # without siblings every further level is kept where it has no labels and merged where it has
+        rest = F.slice("segments", k + 2, F.greatest(F.size("segments") - (k + 1), F.lit(0)))
+        rest = F.when(F.col("alone"), F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), F.when(F.col("n") == 0, x).otherwise("*"))), "")).otherwise("")
+        text = F.concat("template", "name", rest)
+        done = F.col("alone") | (F.size("segments") <= k)
+        tree = stage(level.join(named, ["template", "at"]).select("host", "segments", "n", "b", text.alias("template"), done.alias("done")), f"url-{k + 1}")
+        ended.append(tree.where("done").drop("done"))
+        tree, k = tree.where("not done").drop("done"), k + 1
+        if tree.isEmpty():
+            break
+    merged = reduce(DataFrame.unionByName, ended)
+    score = merged.groupBy("template").agg(((F.sum("b") + prior * base) / (F.sum("n") + prior)).alias("score"))
+    return stage(merged.join(score, "template").select("host", "segments", "template", "score"), "url-scores")
+
+
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, template, score), one for each row of ``pages``.
     ``verdict`` is the rule's where one fits, else block where the template's score reaches ``threshold``."""
     host, path = host_and_path(F.col(url_col))
@@ -94,12 +107,8 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, depth: int
     given = F.lit(None).cast("string")
     for text, verdict in verdicts.items():
         given = F.when(F.col("rule") == text, F.lit(verdict)).otherwise(given)
-    segments = F.split(F.regexp_replace("path", r"^/+|/+$", ""), "/+")
-    levels = [f"l{k}" for k in range(1, depth + 1)]
-    urls = urls.withColumns({"given": given, "label": (given == "block").cast("int")})
-    for k, level in enumerate(levels):
-        urls = urls.withColumn(level, segment_kind(F.coalesce(F.get(segments, F.lit(k)), F.lit(""))))
-    tree = templates(urls, depth)
-    out = urls.join(small_side(tree), ["host", *levels])
+    segments = F.filter(F.split(F.regexp_replace("path", r"^/+|/+$", ""), "/+"), lambda x: x != "")
+    urls = urls.withColumns({"given": given, "label": (given == "block").cast("int"), "segments": F.transform(segments, segment_kind)})
+    out = urls.join(small_side(templates(urls)), ["host", "segments"])
     method = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", "score")

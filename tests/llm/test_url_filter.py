@@ -56,6 +56,24 @@ def test_branches_that_differ_stay_apart(spark):
     assert all((r.score > 0.5) == (r.verdict == "block") for r in got)
 
 
+def test_segments_from_the_fourth_on_count(spark):
+    rules = (("allow", "a.org/x/y/z/good/"), ("block", "a.org/x/y/z/bad/"), ("block", "b.org/1/2/s/t/u/ads/"), ("allow", "b.org/1/2/s/t/u/text/"))
+    urls = [f"http://a.org/x/y/z/{'good' if i % 2 else 'bad'}/{'p' * (i % 9)}/{i}.html" for i in range(400)]
+    urls += [f"http://b.org/{i % 7}/2/s/t/u/{'text' if i % 3 else 'ads'}/{i}" for i in range(400)]  # six in seven have no rule
+    urls += [f"http://a.org/x/y/z/new/{i}" for i in range(20)] + ["http://c.org/" + "/".join(f"d{i}" for i in range(40))] * 2
+    got = judge_urls(spark.createDataFrame([(i, u, "", "") for i, u in enumerate(urls)], SCHEMA), rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        if r.rule:
+            assert (r.score > 0.5) == (r.verdict == "block")
+        elif r.host == "b.org":
+            assert r.verdict == ("block" if "/ads/" in r.path else "allow")
+        else:
+            assert r.verdict == "allow"  # new has no labels, whatever is under its first three segments
+    assert {r.template for r in got if r.host == "c.org"} == {urls[-1][7:]}
+    assert {r.template.split("/")[4] for r in got if r.host == "a.org"} == {"good", "bad", "new"}
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None)]])
 def test_edges(spark, rows):
     assert len(judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()) == len(rows)
