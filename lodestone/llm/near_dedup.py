@@ -11,7 +11,7 @@ node's similar pairs, so its rows grow with the documents and not with the squar
 the resulting groups in full, at most CHUNK members at a time. The second goes through all nodes again and
 confirms every similar pair whose ends the first left in different components, in groups again; in large
 nodes of the last level, what stands apart from the node's largest component meets all members, in blocks.
-So no link between components goes unseen.
+So no link between components goes unseen among sets that meet in a node compared in full.
 
 * Equal sets are one class from the start, whatever the number of copies: only classes are branched.
 * A null, empty or blank text has an empty set: it is its own component.
@@ -19,8 +19,9 @@ So no link between components goes unseen.
   names a component unless its component has no other id.
 * Extra columns are ignored.
 * Recall: a pair of similarity 0.8 that never meets a node above ``leaf`` is missed with probability
-  0.2 ** trees (4e-9 at 12 trees); after three levels it is (1 - 0.8 ** 3) ** 12 = 2e-4. The sketch
-  filter lies 4.5 standard deviations below the threshold (64 places).
+  0.2 ** trees (1e-12 at 17 trees). Where nodes stay above ``leaf`` on all levels before the last, it meets
+  in full only at the fourth token and is missed with (1 - 0.8 ** 4) ** 17 = 1.3e-4, unless other links join
+  its ends. The sketch filter lies 4.5 standard deviations below the threshold (64 places).
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import components, stage
 from .textnum import U, flat, mix, pieces, powers, shingle_sets, white_lut
 
-TREES, DEPTH, SKETCH, LEAF, CHUNK, PANEL = 12, 4, 64, 64, 128, 64
+TREES, DEPTH, SKETCH, LEAF, CHUNK, PANEL = 17, 4, 64, 64, 128, 64
 
 
 def row_key(id_col: str, text_col: str) -> Column:

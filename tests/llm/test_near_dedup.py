@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.near_dedup import DEPTH, TREES, _sketcher, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, n int"
 
@@ -80,3 +82,16 @@ def test_chain_of_links_is_one_component(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None, 1)], [(1, "a b c d e", 1), (None, "a b c d e", 1)]])
 def test_edges(spark, rows):
     assert result(near_duplicates(spark.createDataFrame(rows, SCHEMA), 4)) == brute(rows)
+
+
+def test_pairs_of_similarity_80_meet_at_the_last_level(spark):
+    rng, texts = random.Random(8), []
+    for i in range(10_000):
+        both = [f"{rng.randrange(1 << 40):x}" for _ in range(80)]
+        texts += [" ".join(both + [f"{side}{i}x{k}" for k in range(10)]) for side in "ab"]
+    some = pa.array(range(len(texts)), pa.int64())
+    batch = pa.record_batch({"_id": some, "_k": some, "_t": pa.array([t.encode() for t in texts], pa.binary())})
+    low = np.array([x for b in _sketcher(1, TREES * DEPTH, TREES * DEPTH)(iter([batch])) for x in b.column("low").to_pylist()])
+    low = low.reshape(-1, 2, TREES, DEPTH)
+    missed = (~(low[:, 0] == low[:, 1]).all(axis=2).any(axis=1)).sum()
+    assert missed <= 6  # 1.3 expected; 12 trees miss 18
