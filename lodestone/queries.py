@@ -305,6 +305,13 @@ def parallel_edges(t):
     return e.join(e.groupBy("l_partkey").agg(F.count("*").alias("n")).where("n > 1"), "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE (l_suppkey, l_partkey) IN (SELECT (l_suppkey, l_partkey) FROM lineitem GROUP BY l_suppkey, l_partkey HAVING count(*) > 1)")
+def parallel_edges_all(t):
+    """parallel_edges over all suppliers."""
+    e, pair = t("lineitem"), ["l_suppkey", "l_partkey"]
+    return e.join(e.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1"), pair, "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 _PAIRS = """WITH i AS (SELECT DISTINCT o.o_custkey AS item, l.l_partkey AS f FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey), n AS (SELECT item, count(*) AS n FROM i GROUP BY item),
 p AS (SELECT a.item AS a, b.item AS b, count(*) AS shared FROM i a JOIN i b ON a.f = b.f AND a.item < b.item GROUP BY 1, 2),
 j AS (SELECT a, b, shared, shared / (na.n + nb.n - shared)::DOUBLE AS jaccard FROM p JOIN n na ON na.item = a JOIN n nb ON nb.item = b WHERE shared >= 3 OR shared / (na.n + nb.n - shared)::DOUBLE >= 0.05)"""

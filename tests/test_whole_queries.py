@@ -29,3 +29,10 @@ def test_char_error_rate_takes_whole_texts(spark, tmp_path):
     got = {r.item_id: r.cer for r in QUERIES["char_error_rate_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else distance(t, t.lower()) / max(len(t), 1) for i, t in enumerate(texts)}
     assert got[0] == 0.25
+
+
+def test_parallel_edges_of_all_suppliers(spark, tmp_path):
+    rows = [(1, 1, 3, 7), (2, 1, 3, 7), (3, 1, 4, 7), (4, 1, 4, 8), (4, 2, 4, 8), (5, 1, 5, None), (6, 1, 5, None), (7, 1, 6, 9)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["parallel_edges_all"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 3, 7), (2, 1, 3, 7), (4, 1, 4, 8), (4, 2, 4, 8)]
