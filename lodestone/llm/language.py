@@ -2,13 +2,15 @@
 
 N-grams are runs of four UTF-8 bytes of the text (A-Z lower-cased; digits, punctuation and white space
 become one separator). Training counts every n-gram by language over all training texts; an n-gram belongs
-to each language in which its share is at least ``ratio`` of its largest share. A bit-sliced Bloom filter
-holds the memberships: a table of SLOTS masks, one bit per language; an n-gram sets its languages' bits in
+to each language in which its share is at least ``ratio`` of its largest share, if it stands there only once
+too. A bit-sliced Bloom filter holds the memberships: a table of masks, one bit per language; an n-gram sets its languages' bits in
 HASHES slots, and the AND of those slots returns all languages containing it at once. A text's popcount per
 language, corrected for the filter's false positives (bit density ** HASHES), decides.
 
-The filter has a fixed size whatever the corpus, so its broadcast is bounded: at most SLOTS rows of up to
-MAX_LANGS bits.
+The filter is sized from the counted memberships: the least power of two of slots, at least SLOTS, at which
+the bit density of the language with most n-grams is expected to stay within DENSITY (false positives within
+DENSITY ** HASHES = 0.8 %). Its broadcast grows with the distinct n-grams of that language, about 14 to 27
+slots each, 8 bytes a slot for each 64 of at most MAX_LANGS languages.
 
 * Null texts and texts without a letter are ``und`` with score 0. A text that matches nothing gets the most
   frequent language with its share as the score; without training rows it is ``und``.
@@ -18,6 +20,7 @@ MAX_LANGS bits.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ from .common import stage
 from .quality import learnable
 from .textnum import U, flat, mix, pieces
 
-SLOTS, HASHES, MAX_LANGS, GRAM = 1 << 18, 3, 1024, 4
+SLOTS, HASHES, MAX_LANGS, GRAM, DENSITY = 1 << 18, 3, 1024, 4, 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -93,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """The bit-sliced Bloom filter: ``masks`` is (words of 64 languages, SLOTS)."""
+    """The bit-sliced Bloom filter: ``masks`` is (words of 64 languages, slots)."""
 
     def __init__(self, langs: list[str], shares: list[float], masks: np.ndarray):
         self.langs, self.shares, self.masks = langs, shares, masks
@@ -102,7 +105,7 @@ class Filter:
 
     def counts(self, g: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
         """Corrected hits by (document, language)."""
-        at = slots(g)
+        at = slots(g, self.masks.shape[1])
         out = np.zeros((n_docs, len(self.langs)))
         for w in range(len(self.masks)):
             got = self.masks[w][at[0]]
@@ -114,18 +117,29 @@ class Filter:
         return np.maximum(0, (out - n * self.false) / (1 - self.false))
 
 
-def slots(g: np.ndarray) -> list[np.ndarray]:
-    return [(mix(g.astype(U) + U((k + 1) << 40)) & U(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
+def slots(g: np.ndarray, size: int = SLOTS) -> list[np.ndarray]:
+    return [(mix(g.astype(U) + U((k + 1) << 40)) & U(size - 1)).astype(np.int64) for k in range(HASHES)]
 
 
-def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        g = batch.column("gram").to_numpy()
-        for at in slots(g):
-            yield pa.record_batch({"slot": pa.array(at), "word": batch.column("word"), "mask": batch.column("mask")})
+def size_for(n: int) -> int:
+    """Slots, a power of two, that keep the bit density of ``n`` n-grams within DENSITY."""
+    size = SLOTS
+    while 1 - math.exp(-HASHES * n / size) > DENSITY:
+        size *= 2
+    return size
+
+
+def _slot_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column("gram").to_numpy()
+            for at in slots(g, size):
+                yield pa.record_batch({"slot": pa.array(at), "word": batch.column("word"), "mask": batch.column("mask")})
+
+    return run
 
 
-def learn(train: DataFrame, ratio: float = 0.25, least: int = 2) -> Filter | None:
+def learn(train: DataFrame, ratio: float = 0.25) -> Filter | None:
     """``train``: (text, lang), lang not null. All texts count in full."""
     source = train.select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("_t"))
     counts = stage(source.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "lang-grams")
@@ -137,12 +151,14 @@ def learn(train: DataFrame, ratio: float = 0.25, least: int = 2) -> Filter | Non
     langs = [r.lang for r in totals]
     every = sum(r.total for r in totals)
     number = F.create_map(*[x for k, r in enumerate(totals) for x in (F.lit(r.lang), F.struct(F.lit(k).alias("k"), F.lit(r.total).alias("total")))])
-    share = counts.withColumn("l", number[F.col("lang")]).select("gram", F.col("l.k").alias("k"), "n", (F.col("n") / F.col("l.total")).alias("p"))
+    share = counts.withColumn("l", number[F.col("lang")]).select("gram", F.col("l.k").alias("k"), (F.col("n") / F.col("l.total")).alias("p"))
     most = share.groupBy("gram").agg(F.max("p").alias("top"))
-    member = share.join(most, "gram").where((F.col("p") >= ratio * F.col("top")) & (F.col("n") >= least))
+    member = share.join(most, "gram").where(F.col("p") >= ratio * F.col("top"))
+    member = stage(member.select("gram", "k"), "lang-members")
+    size = size_for(max(r["count"] for r in member.groupBy("k").count().collect()))
     member = member.groupBy("gram", F.floor(F.col("k") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("mask"))
-    rows = member.mapInArrow(_slot_rows, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros(((len(langs) + 63) // 64, SLOTS), U)
+    rows = member.mapInArrow(_slot_rows(size), "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros(((len(langs) + 63) // 64, size), U)
     masks[rows.column("word").to_numpy(), rows.column("slot").to_numpy()] = rows.column("mask").to_numpy().astype(U)
     return Filter(langs, [r.total / every for r in totals], masks)
 

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from lodestone.llm.language import SLOTS, Filter, grams, language_id, learn, slots
+from lodestone.llm.language import DENSITY, SLOTS, Filter, grams, identify, language_id, learn, slots
 
 SCHEMA = "doc_id bigint, text string, lang string, score string"
 PARTS = {"en": ["the", "tion", "and", "ing", "wh", "ly"], "de": ["sch", "ung", "der", "ß", "zu", "ä"], "fr": ["que", "eau", "ç", "les", "é", "ai"]}
@@ -54,3 +54,17 @@ def test_false_positive_correction_is_unbiased():
     for at in slots(g):
         raw &= masks[0, at] > 0
     assert raw.mean() > 0.2 and model.counts(g, np.zeros(len(g), int), 1)[0, 0] < 0.03 * len(g)
+
+
+def test_a_language_with_one_short_text_is_found(spark):
+    train = [(t, lang) for _, t, lang, _ in corpus(200) if lang] + [("llwybr cyhoeddus", "cy")]
+    model = learn(spark.createDataFrame(train, "text string, lang string"))
+    got = identify(spark.createDataFrame([(1, "Cyhoeddus llwybr"), (2, "llwybr"), (3, "the tion and wh")], "doc_id bigint, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "cy", 2: "cy", 3: "en"}
+
+
+def test_the_filter_grows_with_the_ngrams(spark):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(150_000))
+    model = learn(spark.createDataFrame([(text, "en"), ("der sch ung", "de")], "text string, lang string"))
+    assert model.false.max() <= 1.05 * DENSITY**3 and model.masks.shape[1] > SLOTS
