@@ -1,8 +1,10 @@
-"""Exact substring deduplication by bucket-pointer refinement.
+"""Exact substring deduplication by bucket refinement, with content hashes in place of bucket pointers.
 
 A byte goes if it lies in a string of ``size`` bytes (a window) that also starts elsewhere, in the same
-document or another. Suffixes start in buckets of their first GRAM bytes and the buckets are refined by the
-buckets that later offsets fall into, until a bucket holds equal windows only or one window alone.
+document or another. Suffixes start in buckets of their first GRAM bytes and the buckets are refined by hashes
+of the bytes at later offsets, until a bucket holds equal windows only or one window alone. Bucket-pointer
+refinement would read the identifiers of the buckets that later offsets fall into; no such identifier is read
+here, as it takes a bucket row for every suffix, and only anchors have one.
 
 Only anchored suffixes get buckets: the anchor of a window is the position, inside it, of its least GRAM-byte
 hash, so equal windows have equal anchors at equal offsets, and about one position in 69 is an anchor. Each
@@ -12,7 +14,7 @@ anchor stands for a run of consecutive windows. Per round,
 * suffixes that agree on the whole stretch of their runs repeat as a whole: their windows are marked, and one
   of them alone goes on to be compared with the rest of the bucket;
 * the others go on: their runs are cut into aligned pieces of 32, 8, 2 and 1 offsets, whose buckets are
-  formed again from the bytes that all windows of the piece share (the core) - the same step, reused.
+  formed again from a hash of the bytes that all windows of the piece share (the core).
 
 A round moves only suffixes whose bucket is still mixed, those near the ends of repeated passages. All
 grouping is by content hash, so hot passages combine map-side and otherwise spread by their contexts.
