@@ -3,35 +3,66 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a keyed side table is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for tables of keys alone, of at most about 100 bytes a row in memory.
+KEY_ROWS = 1_000_000
+
+_SCOPES = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of id and text: rows with equal id and text share it, others meet with probability 2**-128."""
+    name, text = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col))
+    return F.unhex(F.md5(F.concat(F.md5(name), text)))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; a temporary one only where the session names none."""
+    """The checkpoint folder all executors share; a temporary one only in local mode where the session names none."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those staged with ``keep``."""
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for df in scopes.pop():
+            unstage(df)
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, so a lost
-    executor costs a re-read and not a recomputation."""
+    executor costs a re-read and not a recomputation. ``keep``: the table outlives the innermost ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    scopes = getattr(_SCOPES, "open", [])[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 

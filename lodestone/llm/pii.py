@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, stage
-from .near_dedup import row_key
+from .common import cut, row_key, small_side, stage
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -142,7 +141,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scanned(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", row_key("doc_id", "text").alias("_k"), F.coalesce("text", F.lit("")).alias("_t"))
-    schema = f"doc_id {dict(source.dtypes)['doc_id']}, _k bigint, base array<struct<start: int, kind: int, end: int>>, seen array<struct<start: int, end: int, kind: int, fits: array<int>, value: string, patterns: array<string>>>"
+    schema = f"doc_id {dict(source.dtypes)['doc_id']}, _k binary, base array<struct<start: int, kind: int, end: int>>, seen array<struct<start: int, end: int, kind: int, fits: array<int>, value: string, patterns: array<string>>>"
     return stage(source.mapInArrow(_scan, schema), "pii-scan")
 
 

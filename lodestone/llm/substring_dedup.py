@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
-from .near_dedup import row_key
 from .textnum import PIECE, U, flat, mix, pieces, powers
 
 SIZE, GRAM, PIECES = 200, 64, (32, 8, 2, 1)
@@ -218,7 +217,7 @@ def covered(runs, size: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """Contract rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    source = docs.select("doc_id", row_key("doc_id", "text").alias("_k"), F.octet_length(text).cast("bigint").alias("n"), text.alias("_t"))
+    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), F.octet_length(text).cast("bigint").alias("n"), text.alias("_t"))
     runs = repeated_runs(source, size, gram).groupBy("_k", "n").agg(F.collect_list(F.struct("p1", "more")).alias("runs"))
     runs = stage(runs, "sub-runs")
     id_type = dict(source.dtypes)["doc_id"]
