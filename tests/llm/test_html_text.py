@@ -1,6 +1,10 @@
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
-from lodestone.llm.html_text import LABELLED, extract, is_article, main_text
+from lodestone.llm.html_text import FEATURES, LABELLED, extract, is_article, main_text, tree
 
 LONG = "This paragraph has quite a number of words so that nobody takes it for a menu entry at all"
 
@@ -22,12 +26,94 @@ def test_tree_fits_its_table():
         ("<article><p>cut at the end</p><p>here <a href='x", "cut at the end\nhere"),
         ("<article><header><h1>Title of it</h1></header><p>1 < 2 and a</p><p title='a>b'>x</p></div></article>", "Title of it\n1 < 2 and a\nx"),
         ("<div class='cookie-notice'>" + LONG + "</div><ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+        ("<article><p>One</p><button>Click me</button><p class='ad'>" + LONG + "</p><p>Two</p></article>", "One\nTwo"),
+        ("<article><p>One</p><ul><li>item<li class='comment'>" + LONG + "<li>item two</ul><blockquote class='comment'><p>" + LONG + "</blockquote><p>Two</article>", "One\nitem\nitem two\nTwo"),
+        ("<article><p>One <span class=advert>Buy <span>it</span> now</span> and two</p><p>Three <b>four</b><i class=ads>x<p>Five</article>", "One and two\nThree four\nFive"),
+        ("<article><p>Name <label>Field</label><input name=q> after</p><table><tr><td class=ad>" + LONG + "<td>cell<tr><td>more</table></article>", "Name\nafter\ncell\nmore"),
+        ("<article><p>" + LONG + "</p><p>see <a href=x>the other report</a> too</p><p>" + LONG + "</p></article>", LONG + "\nsee the other report too\n" + LONG),
+        ("<article><p>" + LONG + "</p><p><a>One two three</a> 3 May</p><p><a>Two x more</a> 4 May</p><p><a>Three and more</a> 5 May</p></article>", LONG),
     ],
 )
 def test_pages(page, text):
     assert main_text(page) == text
 
 
+def test_article_branch_reads_neighbours():
+    used = set()
+
+    def walk(node, article):
+        if not isinstance(node, int):
+            k, _, low, high = node
+            if article:
+                used.add(FEATURES[k])
+            walk(low, article and FEATURES[k] != "article")
+            walk(high, article)
+
+    walk(tree(), True)
+    assert used & {"prev_links", "next_links"}
+
+
+def test_deep_and_long_pages_are_linear():
+    deep = "<div class=x>" * 100_000 + "<article><p>in</p></article>" + "</div>" * 100_000
+    spans = "<article><p>a" + "<span class=ad>" * 100_000 + "b" + "</em></span>" * 100_000 + "c"
+    start = time.perf_counter()
+    assert main_text(deep) == "in" and main_text(spans) == "a c".replace(" ", "")
+    assert main_text("<article>" + "<p>word " * 200_000) == "\n".join(["word"] * 200_000)
+    assert time.perf_counter() - start < 20
+
+
+class Plain(HTMLParser):
+    """A second, independent extractor for well-formed pages: article text by block, without marked elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks, self.now = [], [], ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "li", "div", "section", "blockquote"):
+            self.end()
+        self.stack.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "li", "div", "section", "blockquote"):
+            self.end()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        tags, marks = {t for t, _ in self.stack}, {c for _, c in self.stack}
+        if "article" in tags and not tags & {"nav", "aside", "script", "button"} and not marks & {"ad", "comment", "share-bar"}:
+            self.now += data
+
+    def end(self):
+        self.blocks, self.now = self.blocks + [" ".join(self.now.split())], ""
+
+
+def test_agrees_with_an_independent_extractor():
+    rng = random.Random(4)
+    vocab = ["alpha", "Beta &amp; co", "gamma,", "delta &eacute;t&#233;", "x &lt; y", "end."]
+
+    def words(k):
+        return " ".join(rng.choice(vocab) for _ in range(k))
+
+    def element(depth):
+        mark = rng.choice(["", "", "", " class='ad'", " class='comment'", " class='share-bar'", " class='lead'"])
+        kind = rng.choice(["p", "p", "p", "li", "blockquote", "div", "section", "aside", "button", "script"])
+        if kind == "script":
+            return "<script>if (a < b) { '<p>no</p>' }</script>"
+        if kind in ("div", "section", "aside") and depth:
+            return f"<{kind}{mark}>" + "".join(element(depth - 1) for _ in range(3)) + f"</{kind}>"
+        inner = words(rng.randrange(2, 30)) + rng.choice(["", " <b>bold</b> ", " <span class='ad'>buy</span> ", " <i>it</i>"]) + words(3)
+        return f"<{kind}{mark}>{inner}</{kind}>"
+
+    for _ in range(150):
+        body = "".join(element(2) for _ in range(8))
+        page = f"<html><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>{words(4)}</h1>{body}</article><footer><p>{words(9)}</p></footer></html>"
+        other = Plain()
+        other.feed(page)
+        other.end()
+        assert main_text(page) == "\n".join(b for b in other.blocks if b)
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article>é</article>", "clash"), (1, "u", "<article>é</article>", "clash"), (2, None, None, None), (None, "x", "", ""), (3, "v", "<article>" + "<p>word " * 100_000, "x")]
     got = extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
