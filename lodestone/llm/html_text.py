@@ -69,7 +69,11 @@ LABELLED = (
     # marked furniture, whatever its length
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (12, 0.0, 5, 1.0, 9, 0.0, 0, 1, 0), (60, 0.0, 4, 1.0, 70, 0.0, 0, 1, 0), (9, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0),
     (25, 0.1, 50, 0.0, 8, 0.5, 1, 1, 0), (40, 0.0, 66, 0.0, 30, 0.0, 1, 1, 0), (5, 0.0, 7, 0.0, 90, 0.0, 1, 1, 0), (110, 0.0, 30, 0.0, 0, 0.0, 0, 1, 0),
-    (3, 0.0, 12, 0.0, 4, 0.0, 0, 1, 0), (18, 0.3, 2, 1.0, 40, 0.0, 0, 1, 0),
+    (3, 0.0, 12, 0.0, 4, 0.0, 0, 1, 0), (18, 0.3, 2, 1.0, 40, 0.0, 0, 1, 0), (1, 1.0, 0, 0.0, 4, 0.0, 0, 1, 0), (3, 1.0, 0, 0.0, 30, 0.0, 0, 1, 0),
+    (2, 1.0, 60, 0.0, 50, 0.0, 1, 1, 0), (8, 0.5, 0, 0.0, 20, 0.0, 0, 1, 0), (14, 0.6, 30, 0.0, 52, 0.0, 1, 1, 0), (20, 0.5, 70, 0.0, 65, 0.0, 1, 1, 0), (9, 0.55, 60, 0.0, 45, 0.0, 1, 1, 0),
+    (5, 0.6, 25, 0.0, 0, 0.0, 1, 1, 0), (30, 0.7, 12, 0.0, 40, 0.1, 0, 1, 0),
+    # link lines of pages without an article element, next to text
+    (1, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0), (3, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0), (6, 1.0, 30, 0.0, 50, 0.0, 0, 0, 0), (4, 0.8, 44, 0.0, 0, 0.0, 0, 0, 0),
 )
 
 
