@@ -10,12 +10,12 @@ language, corrected for the filter's false positives (bit density ** HASHES), de
 The filter is sized from the counted memberships: the least power of two of slots, at least SLOTS, at which
 the bit density of the language with most n-grams is expected to stay within DENSITY (false positives within
 DENSITY ** HASHES = 0.8 %). Its broadcast grows with the distinct n-grams of that language, about 14 to 27
-slots each, 8 bytes a slot for each 64 of at most MAX_LANGS languages.
+slots each, 8 bytes a slot for each 64 languages. There are less than 2**32 distinct n-grams of four bytes.
 
-* Null texts and texts without a letter are ``und`` with score 0. A text that matches nothing gets the most
+* Null texts and texts without a letter (Unicode categories L*) are ``und`` with score 0. A text that matches nothing gets the most
   frequent language with its share as the score; without training rows it is ``und``.
 * Rows with a null id are held out; repeated rows count as often as they stand; ties go to the more frequent
-  language, then the smaller name. Empty tables give empty results; extra columns are ignored.
+  language, then the smaller name. Very long texts are read in overlapping stretches of PIECE bytes. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage
 from .quality import learnable
-from .textnum import U, flat, mix, pieces
+from .textnum import PIECE, U, flat, mix, pieces
 
-SLOTS, HASHES, MAX_LANGS, GRAM, DENSITY = 1 << 18, 3, 1024, 4, 0.2
-_LETTER = re.compile(r"[^\W\d_]")
+SLOTS, HASHES, GRAM, DENSITY = 1 << 18, 3, 4, 0.2
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def _lut() -> np.ndarray:
@@ -62,6 +62,23 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return g[keep], doc[:m][keep]
 
 
+def has_letter(raw: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(raw)) or any(map(str.isalpha, raw.decode("utf-8", "replace")))
+
+
+def stretches(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(first document, last, start, end, offsets from start): groups of documents of about 2 * PIECE bytes; a longer
+    document stands alone, in stretches that overlap so that each n-gram lies whole in one of them."""
+    for i, j in pieces(offsets, 2 * PIECE):
+        lo, hi = int(offsets[i]), int(offsets[j])
+        if hi - lo <= 2 * PIECE + GRAM:
+            yield i, j, lo, hi, offsets[i : j + 1] - lo
+        else:
+            for at in range(lo, hi - GRAM + 1, PIECE):
+                end = min(hi, at + PIECE + GRAM - 1)
+                yield i, j, at, end, np.array([0, end - at])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     rows = 0
@@ -79,8 +96,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = flat(batch.column("_t"))
         langs = np.array(batch.column("lang").to_pylist(), object)
-        for i, j in pieces(off, 1 << 21):
-            g, doc = grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        for i, j, lo, hi, part in stretches(off):
+            g, doc = grams(data[lo:hi], part)
             named = langs[i:j]
             for lang in set(named):
                 u, n = np.unique(g[(named == lang)[doc]], return_counts=True)
@@ -104,17 +121,20 @@ class Filter:
         self.false = np.minimum(bits**HASHES, 0.999)
 
     def counts(self, g: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-        """Corrected hits by (document, language)."""
+        """Hits by (document, language), in the last column all n-grams."""
         at = slots(g, self.masks.shape[1])
-        out = np.zeros((n_docs, len(self.langs)))
+        out = np.zeros((n_docs, len(self.langs) + 1))
         for w in range(len(self.masks)):
             got = self.masks[w][at[0]]
             for row in at[1:]:
                 got &= self.masks[w][row]
             for k in range(w * 64, min(len(self.langs), w * 64 + 64)):
                 out[:, k] = np.bincount(doc, ((got >> U(k % 64)) & U(1)).astype(float), n_docs)
-        n = np.bincount(doc, minlength=n_docs)[:, None]
-        return np.maximum(0, (out - n * self.false) / (1 - self.false))
+        out[:, -1] = np.bincount(doc, minlength=n_docs)
+        return out
+
+    def corrected(self, counts: np.ndarray) -> np.ndarray:
+        return np.maximum(0, (counts[:, :-1] - counts[:, -1:] * self.false) / (1 - self.false))
 
 
 def slots(g: np.ndarray, size: int = SLOTS) -> list[np.ndarray]:
@@ -141,11 +161,14 @@ def _slot_rows(size: int):
 
 def learn(train: DataFrame, ratio: float = 0.25) -> Filter | None:
     """``train``: (text, lang), lang not null. All texts count in full."""
+    with scratch():
+        return _learn(train, ratio)
+
+
+def _learn(train: DataFrame, ratio: float) -> Filter | None:
     source = train.select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("_t"))
     counts = stage(source.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "lang-grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGS + 1).collect()
-    if len(totals) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    totals = counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")).orderBy(F.desc("total"), "lang").collect()  # one row per language
     if not totals:
         return None
     langs = [r.lang for r in totals]
@@ -174,19 +197,18 @@ def identify(docs: DataFrame, model: Filter | None, keep: tuple[str, ...] = ("do
         for batch in batches:
             col = batch.column("_t")
             data, off = flat(col)
-            pred, score = [], []
-            for i, j in pieces(off, 1 << 21):
-                part = off[i : j + 1] - off[i]
-                if model is None:
-                    pred += ["und"] * (j - i)
-                    score += [0.0] * (j - i)
-                    continue
-                hits = model.counts(*grams(data[off[i] : off[j]], part), j - i)
-                total = hits.sum(axis=1)
-                best = hits.argmax(axis=1)  # languages stand by frequency, then name
-                for d in range(j - i):
-                    raw = data[off[i + d] : off[i + d + 1]].tobytes()
-                    if not _LETTER.search(raw[:4096].decode("utf-8", "ignore")) and not _LETTER.search(raw.decode("utf-8", "ignore")):
+            n = len(off) - 1
+            if model is None:
+                pred, score = ["und"] * n, [0.0] * n
+            else:
+                found = np.zeros((n, len(model.langs) + 1))
+                for i, j, lo, hi, part in stretches(off):
+                    found[i:j] += model.counts(*grams(data[lo:hi], part), j - i)
+                hits = model.corrected(found)
+                total, best = hits.sum(axis=1), hits.argmax(axis=1)  # languages stand by frequency, then name
+                pred, score = [], []
+                for d in range(n):
+                    if not has_letter(data[off[d] : off[d + 1]].tobytes()):
                         pred.append("und")
                         score.append(0.0)
                     elif total[d] > 0:
