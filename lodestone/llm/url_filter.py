@@ -7,15 +7,19 @@ The tree has one branch per host and path prefix, as deep as the paths go. Each
 vary (numbers, hexadecimal or long mixed identifiers, page names with an extension) become typed
 wildcards. Sibling branches under one parent whose labelled block rates do not differ significantly
 (z-test against the rate of all siblings) merge into ``*``; a branch without labels joins them only where
-the position is variable, with at least ``variable`` values, and otherwise keeps its name. A template's
-score is the share of blocked among its labelled urls, smoothed by ``prior`` urls at the rate ``base``;
-templates with a score of at least ``threshold`` are rejected, so nothing is without labelled evidence.
+the position is variable, with at least ``variable`` values, and otherwise keeps its name. Above the hosts
+stands one more tree, of the same paths under the host ``*``, merged by the same test over the labels of all
+hosts (there a branch without labels always keeps its name). A host's template scores the share of blocked among its labelled urls, smoothed by ``prior`` urls at
+the rate of the template of the same path above the hosts; that one is smoothed by ``prior`` urls at ``base``.
+Templates with a score of at least ``threshold`` are rejected, so nothing is without labelled evidence: a host
+without labels is judged by what paths of its shape are elsewhere.
 
 Everything is one map over urls and aggregations of (host, template) counts: map-side combined, so a hot
 host costs its distinct templates, not its urls.
 
 * A null url, or one without "://": host and path are empty, no rule fits and, without labels, the verdict is allow.
 * Repeated rows are judged alike; empty tables give empty results; extra columns are ignored.
+* Very long urls are read whole, at any depth; one level of the tree is one aggregation.
 * Ties between rules of one length cannot fit one url unless equal; the first listed wins.
 """
 
@@ -26,10 +30,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stage
+from .common import scratch, small_side, stage
 
 #: Fixed values of the contract.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: More values than any position has.
+NEVER = 1 << 62
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,16 +70,15 @@ def segment_kind(segment: Column) -> Column:
     )
 
 
-def templates(urls: DataFrame, prior: float = 2.0, base: float = 0.2, z: float = 3.0, variable: int = 8) -> DataFrame:
-    """(host, segments, template, score): the merged tree with smoothed block purities, one row for each
-    branch before merging. ``urls`` has host, segments (generalised, all of them) and label (1 blocked, 0
-    allowed, null unknown). Level by level, rows leave the tree where their path ends or no other shares
-    their branch, so the levels worked on are those of the longest shared prefix."""
-    counts = urls.groupBy("host", "segments").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
-    tree, ended, k = stage(counts.withColumn("template", F.col("host")), "url-templates"), [], 0
+def tree(counts: DataFrame, z: float = 3.0, variable: int = 8) -> DataFrame:
+    """(host, segments, template, n, b): the merged tree with the labelled and the blocked urls of each template,
+    one row for each branch before merging. ``counts`` has host, segments (generalised, all of them), n and b.
+    Level by level, rows leave the tree where their path ends or no other shares their branch, so the levels
+    worked on are those of the longest shared prefix."""
+    rows, ended, k = stage(counts.withColumn("template", F.col("host")), "url-templates"), [], 0
     while True:
         # a path that has ended takes part once more, as the branch ""
-        level = tree.withColumn("at", F.coalesce(F.get("segments", F.lit(k)), F.lit("")))
+        level = rows.withColumn("at", F.coalesce(F.get("segments", F.lit(k)), F.lit("")))
         branch = level.groupBy("template", "at").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("rows"))
         around = branch.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count("*").alias("width"), (F.sum("rows") == 1).alias("alone"))
         rate = F.try_divide("all_b", "all_n")
@@ -81,20 +86,29 @@ def templates(urls: DataFrame, prior: float = 2.0, base: float = 0.2, z: float =
         unknown = (F.col("n") == 0) & (F.col("width") < variable)
         keep = unknown | F.coalesce(apart, F.lit(False))
         name = F.when(F.col("at") == "", "").otherwise(F.concat(F.lit("/"), F.when(keep, F.col("at")).otherwise("*")))
-        named = branch.join(around, "template").select("template", "at", name.alias("name"), "alone")
+        named = branch.join(small_side(stage(around, f"url-around{k}")), "template").select("template", "at", name.alias("name"), "alone")
         # without siblings every further level is kept where it has no labels and merged where it has
         rest = F.slice("segments", k + 2, F.greatest(F.size("segments") - (k + 1), F.lit(0)))
         rest = F.when(F.col("alone"), F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), F.when(F.col("n") == 0, x).otherwise("*"))), "")).otherwise("")
         text = F.concat("template", "name", rest)
         done = F.col("alone") | (F.size("segments") <= k)
-        tree = stage(level.join(named, ["template", "at"]).select("host", "segments", "n", "b", text.alias("template"), done.alias("done")), f"url-{k + 1}")
-        ended.append(tree.where("done").drop("done"))
-        tree, k = tree.where("not done").drop("done"), k + 1
-        if tree.isEmpty():
+        rows = stage(level.join(named, ["template", "at"]).select("host", "segments", "n", "b", text.alias("template"), done.alias("done")), f"url-{k + 1}")
+        ended.append(rows.where("done").drop("done"))
+        rows, k = rows.where("not done").drop("done"), k + 1
+        if rows.isEmpty():
             break
     merged = reduce(DataFrame.unionByName, ended)
-    score = merged.groupBy("template").agg(((F.sum("b") + prior * base) / (F.sum("n") + prior)).alias("score"))
-    return stage(merged.join(score, "template").select("host", "segments", "template", "score"), "url-scores")
+    sums = merged.groupBy("template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    return merged.drop("n", "b").join(small_side(stage(sums, "url-sums")), "template")
+
+
+def templates(urls: DataFrame, prior: float = 2.0, base: float = 0.2, z: float = 3.0, variable: int = 8) -> DataFrame:
+    """(host, segments, template, score): each branch's template and its smoothed block purity."""
+    counts = stage(urls.groupBy("host", "segments").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("b")), "url-counts")
+    above = counts.groupBy("segments").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).withColumn("host", F.lit("*"))
+    shape = tree(above, z, NEVER).select("segments", ((F.col("b") + prior * base) / (F.col("n") + prior)).alias("shape"))
+    own = tree(counts, z, variable).join(small_side(stage(shape, "url-shapes")), "segments")
+    return own.select("host", "segments", "template", ((F.col("b") + prior * F.col("shape")) / (F.col("n") + prior)).alias("score"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -109,6 +123,8 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, id_col: st
         given = F.when(F.col("rule") == text, F.lit(verdict)).otherwise(given)
     segments = F.filter(F.split(F.regexp_replace("path", r"^/+|/+$", ""), "/+"), lambda x: x != "")
     urls = urls.withColumns({"given": given, "label": (given == "block").cast("int"), "segments": F.transform(segments, segment_kind)})
-    out = urls.join(small_side(templates(urls)), ["host", "segments"])
+    with scratch():
+        scored = stage(templates(urls), "url-scores", keep=True)
+    out = urls.join(small_side(scored), ["host", "segments"])
     method = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", "score")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lodestone.llm.url_filter import RULES, judge_urls
@@ -74,6 +76,64 @@ def test_segments_from_the_fourth_on_count(spark):
     assert {r.template.split("/")[4] for r in got if r.host == "a.org"} == {"good", "bad", "new"}
 
 
+def brute_templates(counts, variable, z=3.0):
+    """{(host, segments): (template, labelled, blocked)} level by level, in plain Python."""
+    rows, out, k = {key: key[0] for key in counts}, {}, 0
+    while rows:
+        groups = {}
+        for key, template in rows.items():
+            groups.setdefault(template, {}).setdefault(key[1][k] if k < len(key[1]) else "", []).append(key)
+        new = {}
+        for template, branches in groups.items():
+            members = [key for part in branches.values() for key in part]
+            all_n, all_b = (sum(counts[key][c] for key in members) for c in (0, 1))
+            for at, part in branches.items():
+                n, b = (sum(counts[key][c] for key in part) for c in (0, 1))
+                rate = all_b / all_n if all_n else None
+                apart = n > 0 and abs(b / n - rate) > z * (rate * (1 - rate) / n) ** 0.5
+                keep = (n == 0 and len(branches) < variable) or apart
+                name = "" if at == "" else "/" + (at if keep else "*")
+                for key in part:
+                    rest = "".join("/" + (x if counts[key][0] == 0 else "*") for x in key[1][k + 1 :]) if len(members) == 1 else ""
+                    if len(members) == 1 or len(key[1]) <= k:
+                        out[key] = template + name + rest
+                    else:
+                        new[key] = template + name
+        rows, k = new, k + 1
+    sums = {}
+    for key, t in out.items():
+        n, b = sums.get(t, (0, 0))
+        sums[t] = (n + counts[key][0], b + counts[key][1])
+    return {key: (t, *sums[t]) for key, t in out.items()}
+
+
+def test_tree_matches_brute_force_and_evidence_reaches_unruled_hosts(spark):
+    rng = random.Random(6)
+    urls = [f"http://h{rng.randrange(6)}.{rng.choice(['com', 'net'])}/{rng.choice(['es', 'fr', 'de', 'en'])}/{rng.choice(['a/', 'b/', '', 'c/d/'])}{rng.randrange(9999)}" for _ in range(500)]
+    bad = [f"http://z{i % 3}.org/es/a/{i}" for i in range(30)]
+    good = [f"http://z{i % 3}.org/de/x/{i}" for i in range(30)] + [f"http://y{i}.org/new{i}/p" for i in range(40)]
+    urls += bad + good + [f"http://h{i % 6}.com/de/x/{i}" for i in range(30)]
+    rules = (("block", "net/es/"), ("block", "com/es/a/"), ("allow", "com/de/"), ("block", "h1.net/fr/b/"), ("allow", "net/fr/"))
+    got = judge_urls(spark.createDataFrame([(i, u, "", "") for i, u in enumerate(urls)], SCHEMA), rules).collect()
+    counts, shapes = {}, {}
+    for r in got:
+        r = r.asDict() | {"segments": tuple("{n}" if x.isdigit() else x for x in r.path.strip("/").split("/"))}
+        label = None if r["rule"] is None else int((("block", r["rule"]) in rules))
+        for table, key in ((counts, (r["host"], r["segments"])), (shapes, ("*", r["segments"]))):
+            n, b = table.get(key, (0, 0))
+            table[key] = (n + (label is not None), b + (label or 0))
+    own, above = brute_templates(counts, 8), brute_templates(shapes, 1 << 62)
+    for r in got:
+        segments = tuple("{n}" if x.isdigit() else x for x in r.path.strip("/").split("/"))
+        (t, n, b), (_, wide_n, wide_b) = own[(r.host, segments)], above[("*", segments)]
+        score = (b + 2 * (wide_b + 0.4) / (wide_n + 2)) / (n + 2)
+        assert r.template == t and r.score == pytest.approx(score)
+        if r.rule is None:
+            assert r.verdict == ("block" if score >= 0.5 else "allow")
+    verdicts = {urls[r.page_id]: r.verdict for r in got}
+    assert {verdicts[u] for u in bad} == {"block"} and {verdicts[u] for u in good} == {"allow"}
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None)]])
 def test_edges(spark, rows):
     assert len(judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()) == len(rows)
