@@ -2,7 +2,8 @@
 
 Base detectors find seeds: e-mail and IP addresses, payment cards (Luhn) and phone numbers. Each seed and
 each further identifier-like string (a number run, a token with an at sign, a run of hexadecimal groups)
-is an instance with lexical patterns: the one and the two words before it, a ``key=`` before it included.
+is an instance with lexical patterns: the one and the two words that stand whole within the CONTEXT characters
+before it, a ``key=`` before it included.
 Spark scores the pattern-instance graph: a pattern's confidence in a kind is the mean score of its
 distinct instances (smoothed), an instance's score the noisy-or over its patterns, seeds stay at 1; a few
 rounds settle it. Patterns need ``min_seeds`` distinct seeds to enter the graph at all. Unseen identifiers
@@ -12,21 +13,23 @@ The text is read once; the graph is aggregated by (pattern, instance) before it
 that gained spans meet the documents again by key.
 
 * Null texts count as empty and have no spans. Repeated rows get the same spans. Offsets are code points.
-* Very long texts: every detector is linear in the text. Ties in confidence go to the kind listed first.
+* Very long texts: every detector is linear in the text, and so is the sweep that keeps candidates off base spans. Ties in confidence go to the kind listed first.
 * Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, small_side, stage
+from .common import cut, row_key, scratch, small_side, stage
 
+CONTEXT = 120
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -103,18 +106,26 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         found.add(m.span())
     if "@" in text:
         found.update(m.span() for m in _AT.finditer(text) if "@" in m[0])
-    out = []
+    out, starts, reaches, reach = [], [x for x, _, _ in base], [], 0
+    for _, _, y in base:  # base is sorted by start
+        reach = max(reach, y)
+        reaches.append(reach)
     for s, e in sorted(found):
         while e > s and text[e - 1] in ".:-":
             e -= 1
-        if shapes(text[s:e]) and not any(s < y and x < e for x, _, y in base):
+        before = bisect_left(starts, e)  # base spans that start before e; one of them ends behind s, or none overlaps
+        if not (before and reaches[before - 1] > s) and shapes(text[s:e]):
             out.append((s, e))
     return out
 
 
 def contexts(text: str, start: int) -> list[str]:
     """Lexical patterns left of an instance: its last word, and its last two."""
-    left = text[max(0, start - 80) : start].lower().split()[-2:]
+    window = text[max(0, start - CONTEXT) : start]
+    left = window.lower().split()
+    if start > CONTEXT and not window[0].isspace():  # the first one may be the end of a word
+        left = left[1:]
+    left = left[-2:]
     left = ["".join(c if not c.isdigit() else "0" for c in w).strip("\"'()[]<>") for w in left]
     left = [w for w in left if w]
     return ([left[-1]] if left else []) + ([" ".join(left)] if len(left) == 2 else [])
@@ -168,9 +179,11 @@ def discover(scan: DataFrame, min_seeds: int = 3, rounds: int = 3, confidence: f
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Contract rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)."""
-    scan = _scanned(docs)
-    extra = stage(discover(scan), "pii-extra")
-    both = scan.select("doc_id", "_k", "base").join(small_side(extra), "_k", "left")
+    with scratch():
+        scan = _scanned(docs)
+        extra = stage(discover(scan), "pii-extra", keep=True)
+        base = stage(scan.select("doc_id", "_k", "base"), "pii-base", keep=True)
+    both = base.join(small_side(extra), "_k", "left")
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def text(spans):
@@ -187,8 +200,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with every found span replaced by its kind in brackets; n_chars, if there, follows."""
-    extra = stage(discover(_scanned(docs)), "pii-extra")
+    """The rows of ``docs`` with every found span replaced by its kind in brackets; n_chars, if there, follows.
+    Null and empty texts stay as they are, and so do all other columns; repeated rows are masked alike; of spans
+    that overlap the first is replaced, up to where the last ends. Very long texts: as above."""
+    with scratch():
+        extra = stage(discover(_scanned(docs)), "pii-extra", keep=True)
     schema, columns = docs.schema, docs.columns
     joined = docs.withColumn("_k", row_key("doc_id", "text")).join(small_side(extra), "_k", "left").drop("_k")
 
