@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrow batches to Python workers hold at most so many rows and bytes (a longer row stands alone), where the
+#: session has not chosen sizes of its own: both sides of the pipe keep a few batches of each running task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in bounded batches."""
+    chosen = df.sparkSession._jsparkSession.sessionState().conf()
+    for key, value in BATCH.items():
+        if not chosen.contains(key):
+            df.sparkSession.conf.set(key, value)
+    return df.mapInArrow(run, schema)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """128 bits of id and text: rows with equal id and text share it, others meet with probability 2**-128."""
     name, text = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col))
@@ -85,32 +99,41 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_mark(df: DataFrame, limit: int = KEY_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """What ``small_side`` would do with tables of as many rows as the staged ``df``, counted once."""
+    return F.broadcast if df.limit(limit + 1).count() <= limit else lambda x: x
+
+
 def components(edges: DataFrame, label: str = "cc", known: DataFrame | None = None) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (v, l), l the least vertex of v's component.
 
-    Min-label propagation with pointer jumping; all state stays distributed, each round is staged. ``known``
-    has the components of earlier edges: then only labels that ``edges`` joins anew go through the rounds.
+    Min-label propagation with pointer jumping; all state stays distributed, each round is staged and moves the
+    edges once (labels of up to KEY_ROWS vertices are broadcast, so that a hub's edges need not meet in a task;
+    more are joined by shuffle). ``known`` has the components of earlier edges: then only labels that ``edges``
+    joins anew go through the rounds.
     """
     ends = edges.select("a", "b")
     if known is not None:
-        la, lb = (known.select(F.col("v").alias(c), F.col("l").alias(f"l{c}")) for c in ("a", "b"))
+        mark = small_mark(known)
+        la, lb = (mark(known.select(F.col("v").alias(c), F.col("l").alias(f"l{c}"))) for c in ("a", "b"))
         ends = ends.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
     e = stage(ends.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), back)).alias("e")).select("e.*").distinct(), f"{label}-edges")
     if known is not None and e.isEmpty():
         return known
     labels = stage(e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("l")), f"{label}-0")
-    step, moved = 0, True
+    mark, step, moved = small_mark(labels), 0, True
     while moved:
+        # every vertex is some edge's a: its neighbours' least label, its own, and the label of that label
         step += 1
-        near = e.join(labels, e.b == labels.v).groupBy("a").agg(F.min("l").alias("m"))
-        hooked = labels.join(near, labels.v == near.a, "left").select("v", "l", F.least("l", "m").alias("h"))
-        up = labels.select(F.col("v").alias("u"), F.col("l").alias("ul"))
+        own, up = mark(labels.select(F.col("v").alias("o"), F.col("l").alias("ol"))), mark(labels.select(F.col("v").alias("u"), F.col("l").alias("ul")))
+        near = e.join(mark(labels), e.b == labels.v).groupBy("a").agg(F.min("l").alias("m"))
+        hooked = near.join(own, near.a == own.o).select(F.col("a").alias("v"), F.col("ol").alias("l"), F.least("ol", "m").alias("h"))
         jumped = hooked.join(up, F.col("h") == F.col("u"), "left")
         new = stage(jumped.select("v", F.least("h", "ul").alias("l"), (F.least("h", "ul") != F.col("l")).alias("moved")), f"{label}-{step}")
         labels, moved = new.select("v", "l"), not new.where("moved").isEmpty()
     if known is None:
         return labels
-    joined = labels.select(F.col("v").alias("u"), F.col("l").alias("ul"))
+    joined = mark(labels.select(F.col("v").alias("u"), F.col("l").alias("ul")))
     old = known.join(joined, F.col("l") == F.col("u"), "left").select("v", F.coalesce("ul", "l").alias("l"))
     return stage(old.unionByName(labels.join(known.select("v"), "v", "left_anti")), f"{label}-all")

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import stage
+from .common import in_arrow, stage
+from .textnum import small
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -187,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     def scanner(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = shared.value
-            for batch in batches:
+            for batch in small(batches, "_t"):
                 count, spans, items = [], [], []
                 for t in batch.column("_t"):
                     w = words_of(t.as_py())
@@ -203,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     schema = head + ", n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
 
     def one(block):
-        passes.append(source.mapInArrow(scanner(sc.broadcast(Automaton(block, window))), schema))
+        passes.append(in_arrow(source, scanner(sc.broadcast(Automaton(block, window))), schema))
 
     one(first)
     if second is None:
@@ -274,7 +275,7 @@ def _found(docs: DataFrame, shared, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = shared.value
-        for batch in batches:
+        for batch in small(batches, text_col):
             spans = []
             for t, before in zip(batch.column(batch.schema.get_field_index(text_col)), _earlier(batch)):
                 t = t.as_py()
@@ -283,7 +284,7 @@ def _found(docs: DataFrame, shared, text_col: str) -> DataFrame:
             columns = batch.columns[: len(head)] + [pa.array(spans, _SPAN_LIST)]
             yield pa.record_batch(columns, names=[*head.names, _SPANS])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def _cut(docs: DataFrame, shared, drop_coverage: float, text_col: str, schema: StructType) -> DataFrame:
@@ -291,7 +292,7 @@ def _cut(docs: DataFrame, shared, drop_coverage: float, text_col: str, schema: S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = shared.value
-        for batch in batches:
+        for batch in small(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             texts, keep = [], []
             for t, before in zip(batch.column(at), _earlier(batch)):
@@ -316,7 +317,7 @@ def _cut(docs: DataFrame, shared, drop_coverage: float, text_col: str, schema: S
                 columns[n] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(fields.field(n).type)
             yield pa.record_batch(columns, schema=fields).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def sha_of(items: list[str]) -> str:

@@ -30,6 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_arrow
+from .textnum import small
+
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "article", "furniture")
 
 #: Labelled blocks: the features in that order, then 1 for article text.
@@ -274,9 +277,9 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
     source = pages.select(*names, pages[html_col].alias("_h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "_h"):
             texts = [main_text(h.as_py()) for h in batch.column("_h")]
             yield pa.record_batch({c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     head = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "_h")
-    return source.mapInArrow(run, f"{head}, text string, n_chars bigint")
+    return in_arrow(source, run, f"{head}, text string, n_chars bigint")

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stage
+from .common import in_arrow, scratch, stage
 from .quality import learnable
-from .textnum import PIECE, U, flat, mix, pieces
+from .textnum import PIECE, U, flat, mix, pieces, small
 
 SLOTS, HASHES, GRAM, DENSITY = 1 << 18, 3, 4, 0.2
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -93,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u, n = merged(parts)
             yield pa.record_batch({"lang": pa.array([lang] * len(u), pa.string()), "gram": pa.array(u.astype(np.int64)), "n": pa.array(n)})
 
-    for batch in batches:
+    for batch in small(batches, "_t"):
         data, off = flat(batch.column("_t"))
         langs = np.array(batch.column("lang").to_pylist(), object)
         for i, j, lo, hi, part in stretches(off):
@@ -167,7 +167,7 @@ def learn(train: DataFrame, ratio: float = 0.25) -> Filter | None:
 
 def _learn(train: DataFrame, ratio: float) -> Filter | None:
     source = train.select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("_t"))
-    counts = stage(source.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "lang-grams")
+    counts = stage(in_arrow(source, _count, "lang string, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "lang-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")).orderBy(F.desc("total"), "lang").collect()  # one row per language
     if not totals:
         return None
@@ -180,7 +180,7 @@ def _learn(train: DataFrame, ratio: float) -> Filter | None:
     member = stage(member.select("gram", "k"), "lang-members")
     size = size_for(max(r["count"] for r in member.groupBy("k").count().collect()))
     member = member.groupBy("gram", F.floor(F.col("k") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("mask"))
-    rows = member.mapInArrow(_slot_rows(size), "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    rows = in_arrow(member, _slot_rows(size), "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
     masks = np.zeros(((len(langs) + 63) // 64, size), U)
     masks[rows.column("word").to_numpy(), rows.column("slot").to_numpy()] = rows.column("mask").to_numpy().astype(U)
     return Filter(langs, [r.total / every for r in totals], masks)
@@ -194,7 +194,7 @@ def identify(docs: DataFrame, model: Filter | None, keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches, "_t"):
             col = batch.column("_t")
             data, off = flat(col)
             n = len(off) - 1
@@ -220,7 +220,7 @@ def identify(docs: DataFrame, model: Filter | None, keep: tuple[str, ...] = ("do
             yield pa.record_batch({c: batch.column(c) for c in names} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
 
     head = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "_t")
-    return source.mapInArrow(run, f"{head}, lang_pred string, score double")
+    return in_arrow(source, run, f"{head}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

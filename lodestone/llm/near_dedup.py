@@ -43,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY_ROWS, components, row_key, scratch, small_side, stage, unstage
-from .textnum import U, flat, mix, pieces, shingle_sets, white_lut
+from .common import KEY_ROWS, components, in_arrow, row_key, scratch, small_side, stage, unstage
+from .textnum import U, flat, mix, pieces, shingle_sets, small, white_lut
 
 TREES, DEPTH, SKETCH, LEAF, CHUNK, PANEL = 17, 4, 64, 64, 128, 64
 SHINGLES = 4_000_000
@@ -71,7 +71,7 @@ def _sketcher(words: int, functions: int, trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut, c2 = white_lut(), U(0xD6E8FEB86659FD93)
         seeds = mix(np.arange(1, functions + 1, dtype=U) * U(0xA0761D6478BD642F))
-        for batch in batches:
+        for batch in small(batches, "_t"):
             data, offsets = flat(batch.column("_t"))
             for i, j in pieces(offsets):
                 part = offsets[i : j + 1] - offsets[i]
@@ -242,7 +242,7 @@ def _confirm(words: int, percent: int):
                     out_a.append(held[x][0])
                     out_b.append(held[y][0])
 
-        for batch in batches:
+        for batch in small(batches, "_t"):
             data, offsets = flat(batch.column("_t"))
             keys, classes = batch.column("g").to_pylist(), batch.column("cls").to_pylist()
             for i, j in pieces(offsets, 1 << 21):
@@ -296,7 +296,7 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     key, text = row_key(id_col, text_col).alias("_k"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_t")
     source = docs.select(F.col(id_col).alias("_id"), key, text)
     id_type = dict(source.dtypes)["_id"]
-    wide = stage(source.mapInArrow(_sketcher(words, functions, trees, depth), f"_id {id_type}, _k binary, n bigint, cls binary, low binary"), "near-sketched")
+    wide = stage(in_arrow(source, _sketcher(words, functions, trees, depth), f"_id {id_type}, _k binary, n bigint, cls binary, low binary"), "near-sketched")
     # One row for each distinct set: its sketch is the same on every copy.
     reps = stage(wide.where("n > 0").groupBy("cls").agg(F.min("_k").alias("_k"), F.any_value("n").alias("n"), F.any_value("low").alias("low")), "near-reps")
     base = stage(wide.drop("low"), "near-base")
@@ -317,7 +317,7 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
         if not some:
             large = None
             break
-        large = stage(rows.join(_few(big), "node"), f"near-large{d}")
+        large = stage(rows.join(_few(big), "node", "left_semi"), f"near-large{d}")
         if d in (0, depth - 1):
             leads = stage(large.groupBy("node").agg(F.min("cls").alias("a")), f"near-leads{d}")
             stars.append(large.join(_few(leads), "node").select("a", F.col("cls").alias("b")).where("a <> b"))
@@ -326,10 +326,10 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     def sketched(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing(least), _PAIR + ", est double")
+        return in_arrow(both.select("a", "b", "sa", "sb"), _agreeing(least), _PAIR + ", est double")
 
     leaves = stage(_union(small).join(sig.withColumn("_r", F.xxhash64("cls")), "_r").drop("_r"), "near-leaves")
-    found = [leaves.select("node", "cls", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(_forest(least), _PAIR + ", est double")]
+    found = [in_arrow(leaves.select("node", "cls", "sig").repartition("node").sortWithinPartitions("node"), _forest(least), _PAIR + ", est double")]
     if stars:
         leaders = _union(stars).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))  # two for each set
         found.append(sketched(leaders.select(F.explode("a").alias("a"), "b")))
@@ -350,7 +350,7 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
         if large is not None:
             members.append(_blocks(_labelled(large.select("node", "cls"), label), sig))
         members = _union(members).repartition("node").sortWithinPartitions("node")
-        groups = stage(members.mapInArrow(_apart(least), "cls binary, g bigint").distinct(), "near-apart")
+        groups = stage(in_arrow(members, _apart(least), "cls binary, g bigint").distinct(), "near-apart")
         more = stage(groups.select("cls").distinct().join(ends, "cls", "left_anti"), "near-more")
         if not more.isEmpty():
             texts = texts.unionByName(pulled(more, "near-texts2"))
@@ -411,7 +411,7 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def _compared(texts: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
-    return texts.join(_few(groups), "cls").select("g", "cls", "_t").repartition("g").sortWithinPartitions("g", "cls").mapInArrow(_confirm(words, percent), _PAIR)
+    return in_arrow(texts.join(_few(groups), "cls").select("g", "cls", "_t").repartition("g").sortWithinPartitions("g", "cls"), _confirm(words, percent), _PAIR)
 
 
 def _first_components(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

@@ -26,8 +26,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import cut, row_key, scratch, small_side, stage
+from .common import cut, in_arrow, row_key, scratch, small_side, stage
+from .textnum import small
 
 CONTEXT = 120
 KINDS = ("email", "ip", "card", "phone")
@@ -134,7 +136,7 @@ def contexts(text: str, start: int) -> list[str]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     seen = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("fits", pa.list_(pa.int32())), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
-    for batch in batches:
+    for batch in small(batches, "_t"):
         bases, instances = [], []
         for t in batch.column("_t"):
             text = t.as_py()
@@ -153,7 +155,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scanned(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", row_key("doc_id", "text").alias("_k"), F.coalesce("text", F.lit("")).alias("_t"))
     schema = f"doc_id {dict(source.dtypes)['doc_id']}, _k binary, base array<struct<start: int, kind: int, end: int>>, seen array<struct<start: int, end: int, kind: int, fits: array<int>, value: string, patterns: array<string>>>"
-    return stage(source.mapInArrow(_scan, schema), "pii-scan")
+    return stage(in_arrow(source, _scan, schema), "pii-scan")
 
 
 def discover(scan: DataFrame, min_seeds: int = 3, rounds: int = 3, confidence: float = 0.5) -> DataFrame:
@@ -205,13 +207,15 @@ def masked(docs: DataFrame) -> DataFrame:
     that overlap the first is replaced, up to where the last ends. Very long texts: as above."""
     with scratch():
         extra = stage(discover(_scanned(docs)), "pii-extra", keep=True)
-    schema, columns = docs.schema, docs.columns
-    joined = docs.withColumn("_k", row_key("doc_id", "text")).join(small_side(extra), "_k", "left").drop("_k")
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    text, chars = (docs.columns.index(c) if c in docs.columns else -1 for c in ("text", "n_chars"))
+    keyed = docs.select("*", row_key("doc_id", "text").alias("_k")).toDF(*plain, "_k")
+    joined = keyed.join(small_side(extra), "_k", "left").select(*plain, "extra")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, text):
             texts = []
-            for t, more in zip(batch.column("text").to_pylist(), batch.column("extra").to_pylist()):
+            for t, more in zip(batch.column(text).to_pylist(), batch.column("extra").to_pylist()):
                 if t is not None and _ANY.search(t):
                     spans = sorted(base_spans(t) + [(m["start"], m["kind"], m["end"]) for m in more or ()])
                     parts, last = [], 0
@@ -221,10 +225,11 @@ def masked(docs: DataFrame) -> DataFrame:
                         last = max(last, e)
                     t = "".join(parts) + t[last:] if spans else t
                 texts.append(t)
-            out = {c: batch.column(c) for c in columns}
-            out["text"] = pa.array(texts, out["text"].type)
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(out["n_chars"].type)
-            yield pa.record_batch(out)
-
-    return joined.mapInArrow(run, schema)
+            out = [batch.column(k) for k in range(len(plain))]
+            out[text] = pa.array(texts, out[text].type)
+            if chars >= 0:
+                out[chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(out[chars].type)
+            yield pa.record_batch(out, names=plain)
+
+    masked_rows = in_arrow(joined, run, StructType([StructField(p, f.dataType, f.nullable) for p, f in zip(plain, docs.schema)]))
+    return masked_rows.select(*[F.col(p).alias(f.name, metadata=f.metadata) for p, f in zip(plain, docs.schema)])

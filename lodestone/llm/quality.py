@@ -1,15 +1,18 @@
 """Quality classifier: a sparse rule ensemble over text statistics.
 
-One vectorised pass computes statistics of every whole text. Boosted shallow trees on the labelled rows
+A vectorised pass computes statistics of whole texts. Boosted shallow trees on the labelled rows
 give decision paths; each path is a conjunction of threshold tests, a rule. A lasso logistic regression
 (accelerated proximal gradient) weighs the rules and most get weight zero; the rest compile into one
 Spark column expression over the statistics, so scoring is a projection without Python.
 
 Only rows whose crc32(id as text) mod 3 is not 1 are learnt from, at most ``train_rows`` of them, those
-with the least hash of their id: a documented bound, chosen alike at every size.
+with the least hash of their id: a documented bound, chosen alike at every size. Their ids are chosen first, so
+only their statistics are computed for learning; then one pass over all texts scores them.
 
 * Null and empty texts have all statistics 0 and get a score like any row.
-* Labels that are null are not learnt; several labels of one document count by their mean (ties: 1).
+* Very long texts are read in stretches of a few MB; what is held for one is 8 bytes a word (the word hashes).
+* Labels that are null are not learnt; several labels of one document count by their mean (ties: 1); of several
+  texts under one id the one with the least hash is learnt from.
 * Without labels, or with one class only, the score is that class's (0.5 without labels).
 * Repeated rows score alike; a null id is held out; empty tables give empty results; extra columns are ignored.
 """
@@ -22,16 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stage
-from .textnum import U, _words, flat, pieces, white_lut
+from .common import in_arrow, scratch, stage
+from .textnum import PIECE, U, _words, flat, pieces, small, white_lut
 
 TRAIN_ROWS = 20_000
 STATS = ("words", "mean_len", "distinct", "repeat_prev", "top", "upper", "symbol", "digit", "pipe", "punct", "newline", "odd_end", "long_words", "short_words")
 
 
-def _statistics(batches: Iterator[pa.RecordBatch], ids: list[str]) -> Iterator[pa.RecordBatch]:
-    lut = white_lut()
+def _byte_kinds() -> np.ndarray:
     kind = np.zeros((6, 256), np.uint8)
     kind[0, 0x41:0x5B] = 1
     kind[1, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 1
@@ -40,60 +43,91 @@ def _statistics(batches: Iterator[pa.RecordBatch], ids: list[str]) -> Iterator[p
     kind[3, ord("|")] = 1
     kind[4, [ord(c) for c in ".,;:!?"]] = 1
     kind[5, 0x0A] = 1
-    for batch in batches:
-        data_all, off_all = flat(batch.column("_t"))
-        blocks = []
-        for i, j in pieces(off_all):
-            data, off = data_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
-            m = j - i
-            out = np.zeros((len(STATS), m))
-            size = np.diff(off)
-            full = np.flatnonzero(size)
-            if len(full):
-                chars = np.maximum(size, 1)
-                for k, row in enumerate((5, 6, 7, 8, 9, 10)):
-                    out[row, full] = np.add.reduceat(kind[k][data], off[:-1][full], dtype=np.int64) / chars[full]
-                h, starts = _words(data, off[:-1], lut)
-                doc = np.searchsorted(off, starts, side="right") - 1
-                n = np.bincount(doc, minlength=m)
-                has = np.flatnonzero(n)
-                if len(has):
-                    # a word ends before the next separator; lengths in bytes without separators
-                    is_word = lut[data] != 0
-                    length = np.add.reduceat(is_word, starts, dtype=np.int64)
-                    at = np.cumsum(n) - n
-                    ends_odd = kind[1][data[np.minimum(starts + length - 1, len(data) - 1)]]
-                    same = np.zeros(len(h), bool)
-                    same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-                    ordered = h.copy()
-                    for a, b in zip(at[has], (at + n)[has]):
-                        ordered[a:b].sort()
-                    new = np.ones(len(h), bool)
-                    new[1:] = (ordered[1:] != ordered[:-1]) | (doc[1:] != doc[:-1])
-                    runs = np.flatnonzero(new)
-                    run_len = np.diff(np.append(runs, len(h)))
-                    most = np.zeros(m, np.int64)
-                    np.maximum.at(most, doc[runs], run_len)
-                    cuts, w = at[has], n[has]
-                    out[0, has] = w
-                    out[1, has] = np.add.reduceat(length, cuts) / w
-                    out[2, has] = np.add.reduceat(new.astype(np.int64), cuts) / w
-                    out[3, has] = np.add.reduceat(same.astype(np.int64), cuts) / w
-                    out[4, has] = most[has] / w
-                    out[11, has] = np.add.reduceat(ends_odd.astype(np.int64), cuts) / w
-                    out[12, has] = np.add.reduceat((length > 15).astype(np.int64), cuts) / w
-                    out[13, has] = np.add.reduceat((length < 3).astype(np.int64), cuts) / w
-            blocks.append(out)
+    return kind
+
+
+def _measured(data: np.ndarray, off: np.ndarray, lut: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums by byte kind and word measure, word hashes, their documents) of some documents or of a stretch of one."""
+    m = len(off) - 1
+    sums = np.zeros((10, m), np.int64)
+    full = np.flatnonzero(np.diff(off))
+    if not len(full):
+        return sums, np.zeros(0, U), np.zeros(0, np.int64)
+    for k in range(6):
+        sums[k, full] = np.add.reduceat(kind[k][data], off[:-1][full], dtype=np.int64)
+    h, starts = _words(data, off[:-1], lut)
+    doc = np.searchsorted(off, starts, side="right") - 1
+    n = np.bincount(doc, minlength=m)
+    has = np.flatnonzero(n)
+    if len(has):
+        # a word ends before the next separator; lengths in bytes without separators
+        length = np.add.reduceat(lut[data] != 0, starts, dtype=np.int64)
+        cuts = (np.cumsum(n) - n)[has]
+        odd = kind[1][data[np.minimum(starts + length - 1, len(data) - 1)]]
+        for k, x in enumerate((length, odd, length > 15, length < 3), 6):
+            sums[k, has] = np.add.reduceat(x.astype(np.int64), cuts)
+    return sums, h, doc
+
+
+def _of_pieces(data: np.ndarray, off: np.ndarray, lut: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The statistics (one row each) of the documents between ``off``: a long document in stretches that end at separators."""
+    m, size = len(off) - 1, np.diff(off)
+    if m == 1 and size[0] > 2 * PIECE:
+        sums, parts, at = np.zeros((10, 1), np.int64), [], 0
+        while at < len(data):
+            end = min(at + PIECE, len(data))
+            while end < len(data) and lut[data[end]] != 0:
+                end += 1
+            s, h, _ = _measured(data[at:end], np.array([0, end - at]), lut, kind)
+            sums += s
+            parts.append(h)
+            at = end
+        h = np.concatenate(parts)
+        doc = np.zeros(len(h), np.int8)
+    else:
+        sums, h, doc = _measured(data, off, lut, kind)
+    out = np.zeros((len(STATS), m))
+    out[5:11] = sums[:6] / np.maximum(size, 1)
+    n = np.bincount(doc, minlength=m)
+    has = np.flatnonzero(n)
+    if len(has):
+        at = np.cumsum(n) - n
+        cuts, w = at[has], n[has]
+        same = np.zeros(len(h), np.int64)
+        same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+        out[3, has] = np.add.reduceat(same, cuts) / w
+        for a, b in zip(cuts, cuts + w):
+            h[a:b].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        runs = np.flatnonzero(new)
+        most = np.zeros(m, np.int64)
+        np.maximum.at(most, doc[runs], np.diff(np.append(runs, len(h))))
+        out[0, has] = w
+        out[1, has] = sums[6, has] / w
+        out[2, has] = np.add.reduceat(new.astype(np.int64), cuts) / w
+        out[4, has] = most[has] / w
+        for k, row in ((7, 11), (8, 12), (9, 13)):
+            out[row, has] = sums[k, has] / w
+    return out
+
+
+def _statistics(batches: Iterator[pa.RecordBatch], text: int, ids: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns ``ids`` of each batch as they come, then the statistics of column ``text``."""
+    lut, kind = white_lut(), _byte_kinds()
+    for batch in small(batches, text):
+        data, off = flat(batch.column(text))
+        blocks = [_of_pieces(data[off[i] : off[j]], off[i : j + 1] - off[i], lut, kind) for i, j in pieces(off)]
         stats = np.concatenate(blocks, axis=1) if blocks else np.zeros((len(STATS), 0))
-        yield pa.record_batch({c: batch.column(c) for c in ids} | {s: pa.array(stats[k]) for k, s in enumerate(STATS)})
+        yield pa.record_batch([batch.column(c) for c in ids] + [pa.array(row) for row in stats], names=names)
 
 
 def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and one double column per statistic."""
-    source = docs.select(*keep, F.coalesce(text_col, F.lit("")).cast("binary").alias("_t"))
-    names = list(keep)
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "_t") + ", " + ", ".join(f"{s} double" for s in STATS)
-    return source.mapInArrow(lambda batches: _statistics(batches, names), schema)
+    source = docs.select(*keep, F.col(text_col).alias("_t"))
+    ids, names = list(range(len(keep))), [*keep, *STATS]
+    schema = StructType([*source.schema.fields[:-1], *[StructField(s, DoubleType()) for s in STATS]])
+    return in_arrow(source, lambda batches: _statistics(batches, len(ids), ids, names), schema)
 
 
 def learnable(id_col: Column, mod: int = 3, out: int = 1) -> Column:
@@ -189,25 +223,36 @@ def compile_rules(rules: list[tuple[float, Rule]], intercept: float) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def learn(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Column:
-    """The score column for ``stats`` rows (doc_id and statistics)."""
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Column:
+    """The score column over the statistics. Of ``docs`` only (doc_id, text) of the chosen rows is measured."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    train = stats.where(learnable(F.col("doc_id"))).dropDuplicates(["doc_id"]).join(known, "doc_id")
-    rows = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("y", *STATS).toArrow()
-    x = np.stack([rows.column(s).to_numpy() for s in STATS], axis=1) if rows.num_rows else np.zeros((0, len(STATS)))
-    return compile_rules(*fit_rules(x, rows.column("y").to_numpy().astype(float)))
+    there = docs.select("doc_id").where(learnable(F.col("doc_id"))).distinct()
+    with scratch():
+        chosen = there.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+        chosen = stage(chosen, "quality-chosen")
+        texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        measured = statistics(texts.withColumn("h", F.xxhash64("text")), keep=("doc_id", "y", "h"))
+        rows = measured.groupBy("doc_id").agg(F.min_by(F.struct("y", *STATS), "h").alias("r")).select("doc_id", "r.*").toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
+    x = np.stack([rows.column(s).to_numpy()[order] for s in STATS], axis=1) if rows.num_rows else np.zeros((0, len(STATS)))
+    return compile_rules(*fit_rules(x, rows.column("y").to_numpy()[order].astype(float)))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of ``docs``."""
-    stats = stage(statistics(docs), "quality-stats")
-    score = learn(stats, labels, train_rows)
-    out = stats.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), score.alias("score"))
+    score = learn(docs, labels, train_rows)
+    out = statistics(docs).select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, all columns as they are."""
-    score = learn(stage(statistics(docs), "quality-stats"), labels)
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
-    return statistics(held, keep=("_row",)).where(score >= threshold).select("_row.*")
+    """The rows of ``docs`` that the classifier does not reject, all columns as they are, extra ones and those with
+    the names of statistics included. Nulls, empty and very long texts, ties, repeats and empty tables are as
+    above: each row is judged by its text alone. A text passes through one Arrow batch, once."""
+    score = learn(docs, labels)
+    plain, stats = [f"c{k}" for k in range(len(docs.columns))], list(STATS)
+    text = docs.columns.index("text")
+    renamed = docs.toDF(*plain)
+    schema = StructType([*renamed.schema.fields, *[StructField(s, DoubleType()) for s in stats]])
+    judged = in_arrow(renamed, lambda batches: _statistics(batches, text, list(range(len(plain))), plain + stats), schema)
+    return judged.where(score >= threshold).select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns)])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import in_arrow, stage, unstage
 from .textnum import PIECE, U, flat, mix, pieces, powers
 
 SIZE, GRAM, PIECES = 200, 64, (32, 8, 2, 1)
@@ -153,12 +153,12 @@ def _contexts(size: int):
 def repeated_runs(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(_k, n, p1, more): windows p1 .. p1 + more of the document with key _k and n bytes repeat."""
     source = docs.select("_k", "n", "_t")
-    anchors = stage(source.where(F.col("n") >= size).select("_k", "_t").mapInArrow(_anchor_rows(size, gram), "gram bigint, u bigint, _k bigint, n bigint, p1 bigint, more int, x int"), "sub-anchors")
+    anchors = stage(in_arrow(source.where(F.col("n") >= size).select("_k", "_t"), _anchor_rows(size, gram), "gram bigint, u bigint, _k bigint, n bigint, p1 bigint, more int, x int"), "sub-anchors")
     runs, on = _resolve(anchors.withColumnRenamed("gram", "core").withColumn("gram", F.col("core")).withColumn("multi", F.lit(False)), "sub0")
     unstage(anchors)
     found = [runs]
     marks = on.groupBy("_k", "n").agg(F.collect_list(F.struct("p1", "more", "x", "multi", "gram")).alias("marks"))
-    held = source.join(marks, ["_k", "n"]).mapInArrow(_contexts(size), "_k bigint, n bigint, p1 bigint, more int, x int, multi boolean, gram bigint, c binary")
+    held = in_arrow(source.join(marks, ["_k", "n"]), _contexts(size), "_k bigint, n bigint, p1 bigint, more int, x int, multi boolean, gram bigint, c binary")
     held = stage(held, "sub-contexts")
     for step in PIECES:
         # offsets of a row's windows before the anchor: x - more .. x; piece b holds b * step .. b * step + step - 1
@@ -221,4 +221,4 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     runs = repeated_runs(source, size, gram).groupBy("_k", "n").agg(F.collect_list(F.struct("p1", "more")).alias("runs"))
     runs = stage(runs, "sub-runs")
     id_type = dict(source.dtypes)["doc_id"]
-    return source.join(runs, ["_k", "n"], "left").mapInArrow(_kept(size), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return in_arrow(source.join(runs, ["_k", "n"], "left"), _kept(size), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -6,15 +6,22 @@ step, so equal words have equal hashes wherever they stand, and 64-bit collision
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 PIECE = 1 << 20
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _TRIM = None
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit values (a new array)."""
@@ -61,6 +68,28 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def small(batches: Iterator[pa.RecordBatch], text: str | int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the column ``text`` has about PIECE bytes in each (a longer text stands alone); freed
+    memory goes back to the system in between, as a worker outlives its tasks."""
+    for batch in batches:
+        column = batch.column(text)
+        if not batch.num_rows:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        for i, j in pieces(offsets):
+            yield batch.slice(i, j - i)
+        del batch, column
+        lean()
+
+
+def lean() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def _words(data: np.ndarray, breaks: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     val = lut[data]
     is_word = val != 0
