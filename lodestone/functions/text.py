@@ -134,3 +134,62 @@ def span_recall(spans: Column, observed: Column) -> Column:
     low = F.lower(observed)
     hit = F.size(F.filter(spans, lambda s: F.contains(low, F.lower(s))))
     return F.when(F.size(spans) == 0, 1.0).otherwise(hit / F.size(spans))
+
+
+def is_sha256(c: Column) -> Column:
+    return c.rlike("^[0-9a-f]{64}$")
+
+
+def is_token(c: Column) -> Column:
+    return c.rlike("^[a-z][a-z0-9_.-]*$")
+
+
+def is_iso_date(c: Column) -> Column:
+    """The shape YYYY-MM-DD; the date need not exist."""
+    return c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+
+
+def first_filled(*values: Column) -> Column:
+    """The first value that is neither null nor blank."""
+    return F.coalesce(*[F.when(F.trim(v) != "", v) for v in values])
+
+
+def mentions(c: Column, terms: list[str]) -> Column:
+    """Whether any term occurs, whatever its case."""
+    out = F.lit(False)
+    for t in terms:
+        out = out | F.lower(c).contains(t.lower())
+    return out
+
+
+def mapped(c: Column, names: dict[str, str], default: str | None) -> Column:
+    """A value's entry, whatever its case, else the default."""
+    table = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k.upper(), v)])
+    return F.coalesce(F.try_element_at(table, F.upper(c)), F.lit(default).cast("string"))
+
+
+def route(c: Column, signals: dict[str, list[str]], stop: list[str]) -> Column:
+    """The route most of whose signals occur, the first listed of equals; null if none does or a stop term occurs."""
+    low = F.lower(c)
+    count = lambda terms: sum((low.contains(t.lower()).cast("int") for t in terms), F.lit(0))
+    scored = F.array(*[F.struct(count(terms).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, terms) in enumerate(signals.items())])
+    best = F.array_max(scored)
+    return F.when(~mentions(c, stop) & (best["n"] > 0), best["name"])
+
+
+def name_tokens(c: Column, stopwords: list[str], least: int = 4, most: int = 8) -> Column:
+    """The first words of a name that have ``least`` letters and are no stopwords, lower-cased."""
+    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) >= least) & ~w.isin(stopwords))
+    return F.slice(words, 1, most)
+
+
+def bigrams(rows, c: Column):
+    """One row (bigram) for each two neighbouring words of each text."""
+    words = F.split(c, " ")
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return rows.select(F.explode(F.when(F.size(words) > 1, pairs)).alias("bigram"))
+
+
+def episode_key(*parts: Column) -> Column:
+    """Parts with white space collapsed, joined by the unit separator."""
+    return F.concat_ws("\x1f", *[F.trim(F.regexp_replace(p, r"\s+", " ")) for p in parts])

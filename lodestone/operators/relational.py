@@ -93,3 +93,53 @@ def hash_sample(rows: DataFrame, id_col: str, seed: str, n: int) -> DataFrame:
 
 def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def bounded_queue(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows (1 to 2000) in order: a top-k, no global sort."""
+    if not 1 <= limit <= 2000:
+        raise ValueError("a queue holds 1 to 2000 rows")
+    return rows.orderBy(*order).limit(limit)
+
+
+def merge_split(owners: DataFrame, sources: DataFrame, targets: DataFrame, key: str, source_key: str, target_key: str) -> DataFrame:
+    """(key, sources, targets, kind): merge for several sources and one target, split for the converse."""
+    counts = [side.groupBy(F.col(k).alias(f"_{name}")).agg(F.count("*").alias(name)) for side, k, name in ((sources, source_key, "sources"), (targets, target_key, "targets"))]
+    out = owners.select(key)
+    for c, name in zip(counts, ("sources", "targets")):
+        out = out.join(c, F.col(key) == F.col(f"_{name}"), "left")
+    a, b = (F.coalesce(n, F.lit(0)).cast("bigint") for n in ("sources", "targets"))
+    kind = F.when((a >= 2) & (b == 1), "merge").when((a == 1) & (b >= 2), "split").otherwise("other")
+    return out.select(key, a.alias("sources"), b.alias("targets"), kind.alias("kind"))
+
+
+def family_counts(families: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(family, parent, n): children of each parent by family."""
+    out = None
+    for name, (rows, key) in families.items():
+        part = rows.groupBy(F.col(key).alias("parent")).agg(F.count("*").alias("n")).select(F.lit(name).alias("family"), "parent", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def system_delta(rows: DataFrame, metric: str, system: str, value: str, left: str, right: str) -> DataFrame:
+    """(metric, delta): one system's value less the other's."""
+    side = lambda name: F.max(F.when(F.col(system) == name, F.col(value)))
+    return rows.groupBy(metric).agg((side(left) - side(right)).alias("delta"))
+
+
+def membership(rows: DataFrame, keys: list[str], label: str, names: dict[str, str]) -> DataFrame:
+    """0/1 columns telling which labels a key has."""
+    return rows.groupBy(*keys).agg(*[F.max((F.col(label) == k).cast("int")).alias(v) for k, v in names.items()])
+
+
+def patched(rows: DataFrame, patch: DataFrame, keys: list[str], value: str, new: str) -> DataFrame:
+    """Rows with the values of keyed cells replaced; a key occurs once in ``patch``."""
+    return rows.join(patch, keys, "left").withColumn(value, F.coalesce(new, value)).drop(new)
+
+
+def first_overlap(cells: DataFrame, column: str, value: str) -> DataFrame:
+    """(a, b, first): the least value that two columns share. Values are made distinct by column first, so the
+    join has at most one row per value and pair of columns."""
+    one = cells.select(F.col(column).alias("a"), F.col(value).alias("v")).distinct()
+    return one.join(one.select(F.col("a").alias("b"), "v"), "v").where("a < b").groupBy("a", "b").agg(F.min("v").alias("first"))
