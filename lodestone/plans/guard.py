@@ -94,29 +94,45 @@ def cell(value) -> dict | None:
     raise GuardError("query_result_invalid", type(value).__name__)
 
 
-_REFUSED = re.compile(r"Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|SetCatalog|UseNamespace|Cache|Explain|Describe|Show|Replace(Table|Data)|Script|UnresolvedTableValuedFunction|Generate|LateralJoin|SubqueryWithCTERef|UnresolvedInlineTable$")
+#: Plan and expression nodes of a permitted statement, as Spark's parser names them; every other node is refused,
+#: whatever syntax it came from.
+NODES = frozenset(
+    "Project Filter GlobalLimit LocalLimit Offset Sort UnresolvedHaving Aggregate WithWindowDefinition UnresolvedWith UnresolvedSubqueryColumnAliases OneRowRelation Join SubqueryAlias "
+    "UnresolvedRelation Except Distinct Union Intersect UnresolvedAlias Alias Cast UnresolvedAttribute CaseWhen Literal EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan "
+    "LessThanOrEqual Concat UnaryPositive UnaryMinus Add Subtract Multiply Divide Remainder Or And Not IsNull IsNotNull In InSubquery ListQuery Exists ScalarSubquery UnresolvedStar "
+    "UnresolvedFunction SortOrder UnresolvedOrdinal WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame$ UnboundedFollowing$ UnboundedPreceding$ "
+    "UnresolvedWindowExpression CurrentRow$ BitwiseAnd BitwiseOr BitwiseNot".split()
+)
+#: Names that the analyser reads as functions or hidden columns where no column has them.
+HIDDEN = frozenset("current_user user session_user current_date current_time current_timestamp localtimestamp current_catalog current_database current_schema grouping__id _metadata".split())
+_COMMAND = re.compile(r"Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|SetCatalog|UseNamespace|Cache|Explain|Describe|Show|Replace(Table|Data)|Script|LocalRelation$")
+
+
+def _seq(s) -> list:
+    return [s.apply(i) for i in range(s.size())]
 
 
-def _walk(plan):
-    """All logical nodes with their expressions, subqueries and CTE definitions included."""
-    stack = [plan]
+def _walk(plan, scope: frozenset[str] = frozenset()):
+    """All nodes of a parsed plan with the names of the common table expressions they can see: subqueries and
+    definitions included, a definition sees only those before it."""
+    stack = [(plan, scope)]
     while stack:
-        node = stack.pop()
-        yield node
+        node, seen = stack.pop()
+        yield node, seen
         name = node.getClass().getSimpleName()
-        kids = node.children()
-        stack.extend(kids.apply(i) for i in range(kids.size()))
         if name == "UnresolvedWith":
-            defs = node.cteRelations()
-            stack.extend(defs.apply(i)._2() for i in range(defs.size()))
+            for d in _seq(node.cteRelations()):
+                stack.append((d._2(), seen))
+                seen = seen | {d._1().lower()}
+        stack.extend((x, seen) for x in _seq(node.children()))
         if hasattr(node, "expressions"):
             try:
-                exprs = node.expressions()
-                stack.extend(exprs.apply(i) for i in range(exprs.size()))
+                exprs = _seq(node.expressions())
             except Exception:  # expressions have no expressions of their own
-                pass
+                exprs = []
+            stack.extend((x, seen) for x in exprs)
         if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-            stack.append(node.plan())
+            stack.append((node.plan(), seen))
 
 
 def inspect(spark: SparkSession, sql: str, tables: set[str], functions: frozenset[str] = FUNCTIONS) -> list[str]:
@@ -129,40 +145,50 @@ def inspect(spark: SparkSession, sql: str, tables: set[str], functions: frozense
     except Exception as e:
         code = "query_multiple_statements" if ";" in text.rstrip(";") and re.search(r";\s*\S", text) else "query_invalid"
         raise GuardError(code, str(e).splitlines()[0][:200]) from None
-    read: list[str] = []
-    ctes: set[str] = set()
-    for node in _walk(plan):
+    allowed, sources = {x.lower() for x in tables}, set()
+    for node, seen in _walk(plan):
         name = node.getClass().getSimpleName()
-        if _REFUSED.search(name):
-            root = "query_not_select" if node.equals(plan) else "query_forbidden_operation"
-            raise GuardError(root, name)
-        if name == "UnresolvedWith":
-            if node.allowRecursion():
-                raise GuardError("query_forbidden_operation", "recursion")
-            defs = node.cteRelations()
-            ctes |= {defs.apply(i)._1().lower() for i in range(defs.size())}
-        elif name == "UnresolvedRelation":
-            parts = node.multipartIdentifier()
-            read.append(".".join(parts.apply(i) for i in range(parts.size())).lower())
+        if name not in NODES:
+            raise GuardError("query_not_select" if node.equals(plan) and _COMMAND.search(name) else "query_forbidden_operation", name)
+        if name == "UnresolvedWith" and node.allowRecursion():
+            raise GuardError("query_forbidden_operation", "recursion")
+        if name == "UnresolvedRelation":
+            table = ".".join(_seq(node.multipartIdentifier())).lower()
+            if table not in seen:
+                sources.add(table)
+        elif name == "UnresolvedAttribute":
+            if not HIDDEN.isdisjoint(x.lower() for x in _seq(node.nameParts())):
+                raise GuardError("query_forbidden_operation", ".".join(_seq(node.nameParts())))
         elif name == "UnresolvedFunction":
-            parts = node.nameParts()
-            f = ".".join(parts.apply(i) for i in range(parts.size())).lower()
+            f = ".".join(_seq(node.nameParts())).lower()
             if f not in functions:
                 raise GuardError("query_forbidden_operation", f)
-        elif name in ("Like", "RLike", "LikeAll", "LikeAny", "ILike", "NotLikeAll", "NotLikeAny", "CurrentDate", "CurrentTimestamp"):
-            raise GuardError("query_forbidden_operation", name.lower())
-    sources = sorted({t for t in read if t not in ctes})
-    for t in sources:
-        if t not in {x.lower() for x in tables}:
-            raise GuardError("query_forbidden_operation", t)
-    return sources
+    for table in sorted(sources - allowed):
+        raise GuardError("query_forbidden_operation", table)
+    return sorted(sources)
 
 
 _TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|[A-Za-z_][A-Za-z_0-9.]*|\s+|.""", re.S)
 
 
-def expand_total(sql: str) -> str:
-    """total(x), with or without OVER: the sum as a double, 0 for no rows."""
+def _null_if_any(args: list[str], best: str) -> str:
+    """max(a, b) and min(a, b): null if any argument is."""
+    return "CASE WHEN " + " OR ".join(f"({a}) IS NULL" for a in args) + f" THEN NULL ELSE {best}({', '.join(args)}) END"
+
+
+def _substr(args: list[str]) -> str:
+    """Place 0 stands before the first character; a negative length takes what stands before the place."""
+    x, y = args[0], f"({args[1]})"
+    if len(args) == 2:
+        return f"substring({x}, CASE WHEN {y} = 0 THEN 1 ELSE {y} END)"
+    z = f"({args[2]})"
+    before = f"substring({x}, greatest({y} + {z}, 1), least(-{z}, greatest({y} - 1, 0)))"
+    return f"CASE WHEN {z} < 0 AND {y} > 0 THEN {before} WHEN {y} = 0 THEN substring({x}, 1, {z} - 1) ELSE substring({x}, {y}, {z}) END"
+
+
+def rewrite(sql: str) -> str:
+    """The embedded database's functions in Spark's terms: total(x), with or without OVER, as a double that is 0 for
+    no rows; max and min of several arguments; substr."""
     tokens = _TOKEN.findall(sql)
 
     def skip(i: int) -> int:
@@ -178,18 +204,32 @@ def expand_total(sql: str) -> str:
                 return k
         return len(tokens) - 1
 
+    def arguments(i: int, end: int) -> list[str]:
+        out, depth, at = [], 0, i
+        for k in range(i, end):
+            depth += (tokens[k] == "(") - (tokens[k] == ")")
+            if tokens[k] == "," and depth == 0:
+                out.append("".join(tokens[at:k]))
+                at = k + 1
+        return [rewrite(x).strip() for x in (*out, "".join(tokens[at:end]))]
+
     out, i = [], 0
     while i < len(tokens):
-        at = skip(i + 1)
-        if tokens[i].lower() == "total" and at < len(tokens) and tokens[at] == "(":
+        name, at = tokens[i].lower(), skip(i + 1)
+        if name in ("total", "max", "min", "substr", "substring") and at < len(tokens) and tokens[at] == "(":
             end = closing(at)
-            inner, over, after = "".join(tokens[at + 1 : end]), "", end + 1
-            k = skip(end + 1)
-            if k < len(tokens) and tokens[k].lower() == "over":
-                w = skip(k + 1)
-                stop = closing(w) if w < len(tokens) and tokens[w] == "(" else w
-                over, after = " " + "".join(tokens[k : stop + 1]), stop + 1
-            out.append(f"coalesce(sum(cast({expand_total(inner)} as double)){over}, 0D)")
+            args, after = arguments(at + 1, end), end + 1
+            if name == "total":
+                over, k = "", skip(end + 1)
+                if k < len(tokens) and tokens[k].lower() == "over":
+                    w = skip(k + 1)
+                    stop = closing(w) if w < len(tokens) and tokens[w] == "(" else w
+                    over, after = " " + "".join(tokens[k : stop + 1]), stop + 1
+                out.append(f"coalesce(sum(cast({args[0]} as double)){over}, 0D)")
+            elif name in ("max", "min"):
+                out.append(_null_if_any(args, "greatest" if name == "max" else "least") if len(args) > 1 else f"{tokens[i]}({args[0]})")
+            else:
+                out.append(_substr(args) if len(args) in (2, 3) else "".join(tokens[i : end + 1]))
             i = after
         else:
             out.append(tokens[i])
@@ -211,8 +251,11 @@ class GuardedSession:
         if policy_digest is not None and policy_digest != self.policy.digest():
             raise GuardError("configuration_mismatch")
         read = inspect(self.spark, sql, set(self.tables), self.policy.functions)
+        size = sum(self._bytes(self.tables[t]) for t in read)
+        if size > self.policy.max_input_bytes:
+            raise GuardError("query_input_too_large", f"{size} bytes")
         try:
-            df = self.spark.sql(expand_total(sql.strip().rstrip(";")))
+            df = self.spark.sql(rewrite(sql.strip().rstrip(";")))
         except Exception as e:
             raise GuardError("query_invalid", str(e).splitlines()[0][:200]) from None
         self._admit(df)
@@ -224,11 +267,19 @@ class GuardedSession:
             raise GuardError("query_result_too_large")
         return out
 
+    def _bytes(self, df: DataFrame) -> int:
+        """Size of an input as planned; where that is unknown, by its rows (counted up to the limit) and columns."""
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size < 1 << 62:
+            return size
+        width = 8 + sum(8 if f.dataType.simpleString() not in ("string", "binary") else 20 for f in df.schema)
+        return width * df.limit(min(self.policy.max_input_bytes // width + 1, (1 << 31) - 1)).count()
+
     def _admit(self, df: DataFrame) -> None:
         """Refuse products of relations before they run: a nested loop cannot be interrupted midway."""
         plan = df._jdf.queryExecution()
         if re.search("CartesianProduct|BroadcastNestedLoopJoin", plan.executedPlan().toString()):
-            for node in _walk(plan.optimizedPlan()):
+            for node, _ in _walk(plan.optimizedPlan()):
                 if node.getClass().getSimpleName() == "Join" and int(node.stats().sizeInBytes()) > self.policy.max_product_bytes:
                     raise GuardError("query_budget_exceeded", "product of relations")
 

@@ -25,11 +25,9 @@ def replay_into(stream: DataFrame, path: str, checkpoint: str, id_col: str, dige
     schema = stream.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
-        try:
-            known = spark.read.schema(schema).parquet(path)
-            known.isEmpty()
-        except Exception:
-            known = spark.createDataFrame([], schema)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)  # any other failure fails the batch
+        known = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
         if not collisions(known, batch, id_col, digest_col).isEmpty():
             raise ValueError("a known id came with another payload")
         append_new(known, batch, id_col).write.mode("append").parquet(path)

@@ -6,7 +6,7 @@ from lodestone.plans.guard import GuardedSession, GuardError, Policy, cell
 @pytest.fixture(scope="module")
 def guarded(spark):
     t = spark.createDataFrame([(1, "a", 2.5), (2, "b", None), (3, "b", 4.0)], "k int, s string, x double")
-    return GuardedSession(spark, {"t": t, "u": t.limit(2)}, Policy(max_rows=10, timeout_ms=20_000))
+    return GuardedSession(spark, {"t": t, "u": t.limit(2)}, Policy(max_rows=10, max_input_bytes=1 << 40, timeout_ms=20_000))
 
 
 @pytest.mark.parametrize(
@@ -19,6 +19,11 @@ def guarded(spark):
         ("with recursive r(n) as (select 1 union all select n+1 from r where n<3) select * from r", "query_forbidden_operation"), ("selec 1", "query_invalid"),
         ("select nothere from t", "query_invalid"), ("set a=b", "query_not_select"), ("select (select max(k) from other)", "query_forbidden_operation"),
         ("select * from t where exists (select 1 from secret)", "query_forbidden_operation"), ("select * from range(10)", "query_forbidden_operation"),
+        ("select * from (with secret as (select 1 x) select * from secret) a, secret", "query_forbidden_operation"),
+        ("with a as (select * from secret), secret as (select 1 x) select * from a", "query_forbidden_operation"),
+        ("with secret as (select 1 x) select * from db.secret", "query_forbidden_operation"), ("select * from t for version as of 1", "query_forbidden_operation"),
+        *[(f"select {x} from t", "query_forbidden_operation") for x in ("position('a' in s)", "overlay(s placing 'x' from 1)", "current_user", "t._metadata.file_path", "current_date", "timestampadd(day, 1, k)", "first(k)", "any_value(k)", "array(1)[0]", "s collate utf8_lcase", "k div 2", "trim(s)", "struct(k).k", "* except (k)", "extract(day from k)")],
+        *[(f"select k from t {x}", "query_forbidden_operation") for x in ("group by cube(k)", "group by k with rollup", "group by grouping sets ((k))", "tablesample (10 percent)", "distribute by k", "lateral view explode(array(1)) e", "|> where k > 1")],
         ("select k from t union all select k from t union all select k from t union all select k from t", "query_result_too_large"), ("select t1.k from t t1, t t2, t t3", "query_budget_exceeded"),
     ],
 )
@@ -37,9 +42,29 @@ def test_results(guarded):
     assert guarded.query("select k, rank() over (order by x desc) from t where k in (select k from u) order by k").tables == ["t", "u"]
 
 
+def test_embedded_functions_in_sql_text(guarded):
+    one = lambda e: guarded.query(f"select {e}").rows[0][0]
+    assert one("substr('abcd', 0, 3)") == cell("ab") and one("substr('abcd', -2)") == cell("cd") and one("SUBSTR('abcd', 3, -2)") == cell("ab") and one("substr('abcd', 0)") == cell("abcd")
+    assert one("max(1, 3, 2)") == cell(3) and one("min(2, null)") is None and one("max(substr('xay', 2, 1), 'b')") == cell("b")
+    assert guarded.query("select max(k), min(x) from t").rows == [[cell(3), cell(2.5)]]
+    assert guarded.query("select max(k, 2) m from t order by k").rows == [[cell(2)], [cell(2)], [cell(3)]]
+
+
+def test_common_table_expressions_are_scoped(guarded):
+    assert guarded.query("with t as (select 7 k) select k from t").lineage == "none"
+    assert guarded.query("with a as (select k from t), b as (select * from a) select k from b union all (with a as (select 1 x) select * from a)").tables == ["t"]
+
+
+def test_input_bytes_are_bounded(spark):
+    g = GuardedSession(spark, {"t": spark.range(1000)}, Policy(max_input_bytes=100))
+    with pytest.raises(GuardError) as e:
+        g.query("select count(*) from t")
+    assert e.value.code == "query_input_too_large" and g.query("select 1").kind == "scalar"
+
+
 def test_budget_stops_a_runaway(spark):
     t = spark.range(3000).toDF("k")
-    g = GuardedSession(spark, {"t": t}, Policy(timeout_ms=500))
+    g = GuardedSession(spark, {"t": t}, Policy(timeout_ms=500, max_input_bytes=1 << 40))
     with pytest.raises(GuardError) as e:
         g.query("select count(*) from t a, t b, t c, t d where a.k + b.k + c.k + d.k = 7")
     assert e.value.code == "query_budget_exceeded"
