@@ -6,13 +6,17 @@ query skips a half when ``factor`` times the triangle inequality's lower bound e
 distance so far: factor 1 is exact search, larger factors prune more and lose some recall. Distances are
 Euclidean on the original vectors in double precision.
 
-Queries go to the shards in blocks of QUERY_BLOCK; a task holds one shard and one block, both bounded, and
-returns k rows per query. Equal vectors split by rank, so a large group of copies stays balanced.
+Each vector moves once, to its shard of about SHARD_BYTES; each query goes to every shard. A shard's rows arrive
+sorted, vectors first: its tree is built once and the queries stream through it batch by batch, so a task holds
+one shard and one batch, both bounded, and returns k rows per query. Equal vectors split by rank, so a large
+group of copies stays balanced. What moves grows with the vectors, and with queries times shards, which is
+what asking every shard takes.
 
 * Vectors that are null, empty, zero or hold null or non-finite components take no part, as query or as
   candidate; so do rows without an id. Vectors of different lengths are never compared.
 * A row with the query's own id is not its neighbour. Rows that repeat are candidates as often as they stand.
 * Ties go to the smaller vec_id. Fewer than k candidates give fewer rows. Extra columns are ignored.
+* Very long vectors make shards of fewer rows, one at least. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import in_arrow, scratch, stage
 
-SHARD_ROWS, QUERY_BLOCK, LEAF = 8192, 2048, 128
+SHARD_BYTES, LEAF = 8 << 20, 128
 FACTOR = 1.5
 
 
@@ -101,33 +105,49 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
+def _searcher(k: int, factor: float):
+    """Rows (shard, dim, asks, id, v) sorted by the first three: vectors (asks 0) of a shard and dim, then queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, tree = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard, dim, asks, ids = (batch.column(c).to_numpy() for c in ("shard", "dim", "asks", "id"))
+            keys = np.stack([shard, dim, asks])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            v = batch.column("v")
+            for i, j in zip(np.append(0, cuts), np.append(cuts, batch.num_rows)):
+                if (now := (shard[i], dim[i])) != place:
+                    place, held, tree = now, [], None
+                x = v.slice(i, j - i).flatten().to_numpy().reshape(j - i, dim[i])
+                if not asks[i]:
+                    held.append((ids[i:j].copy(), x.copy()))
+                    continue
+                if tree is None and held:
+                    every = np.concatenate([h[0] for h in held])
+                    order = np.argsort(every, kind="stable")
+                    tree, held = Tree(every[order], np.concatenate([h[1] for h in held])[order]), []
+                if tree is not None:
+                    d, found = tree.search(ids[i:j], x, k, factor)
+                    ok = np.isfinite(d)
+                    yield pa.record_batch({"query_id": pa.array(np.repeat(ids[i:j], k).reshape(d.shape)[ok]), "vec_id": pa.array(found[ok]), "score": pa.array(d[ok])})
+
+    return run
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows. Both inputs are (id, v)."""
-    rows = stage(vectors.withColumn("dim", F.size("v")), "vp-vectors")
-    asked = stage(queries.withColumn("dim", F.size("v")), "vp-queries")
-    shards = max(8, -(-rows.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    with scratch():
+        rows = stage(vectors.withColumn("dim", F.size("v")), "vp-vectors", keep=True)
+        asked = stage(queries.withColumn("dim", F.size("v")), "vp-queries", keep=True)
+    size = rows.agg(F.sum(F.col("dim").cast("bigint") * 8)).first()[0] or 0
+    shards = max(8, -(-size // SHARD_BYTES))
     shard_of = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int")
-    block_of = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
-    left = rows.select("id", "v", "dim", shard_of.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asked.select("id", "v", "dim", block_of.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def one(a: pa.Table, b: pa.Table) -> pa.Table:
-        def arrays(t: pa.Table):
-            v = t.column("v").combine_chunks()
-            return t.column("id").to_numpy(), v.flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
-
-        ids, x = arrays(a)
-        qids, q = arrays(b)
-        if not len(ids) or not len(qids):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.argsort(ids, kind="stable")
-        d, i = Tree(ids[order], x[order]).search(qids, q, k, factor)
-        ok = np.isfinite(d)
-        return pa.table({"query_id": pa.array(np.repeat(qids, k).reshape(d.shape)[ok]), "vec_id": pa.array(i[ok]), "score": pa.array(d[ok])})
-
-    keys = ("shard", "block", "dim")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(one, "query_id bigint, vec_id bigint, score double")
+    left = rows.select(shard_of.alias("shard"), "dim", F.lit(0).alias("asks"), "id", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.lit(1).alias("asks"), "id", "v")
+    met = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
+    found = in_arrow(met, _searcher(k, factor), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -30,9 +30,9 @@ def brute(data, every=100, k=10):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_factor_one_is_exact(spark, monkeypatch, block):
-    monkeypatch.setattr(vp_search, "QUERY_BLOCK", block)
+@pytest.mark.parametrize("size", [8 << 20, 9000])
+def test_factor_one_is_exact(spark, monkeypatch, size):
+    monkeypatch.setattr(vp_search, "SHARD_BYTES", size)
     data = rows()
     got = {}
     for r in nearest(spark.createDataFrame(data, SCHEMA).repartition(3), factor=1.0).orderBy("query_id", "rank").collect():
@@ -57,3 +57,9 @@ def test_recall_at_the_default_factor(spark):
 @pytest.mark.parametrize("data", [[], [(100, [1.0], 1, 0.0)], [(None, None, None, None)]])
 def test_edges(spark, data):
     assert nearest(spark.createDataFrame(data, SCHEMA)).count() == 0
+
+
+def test_vectors_move_once(spark):
+    plan = nearest(spark.createDataFrame(rows(1000), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1  # only the queries are copied to the shards
+    assert plan.count("Exchange hashpartitioning(shard") == 1 and plan.count("Exchange") == 2
