@@ -193,3 +193,44 @@ def bigrams(rows, c: Column):
 def episode_key(*parts: Column) -> Column:
     """Parts with white space collapsed, joined by the unit separator."""
     return F.concat_ws("\x1f", *[F.trim(F.regexp_replace(p, r"\s+", " ")) for p in parts])
+
+
+def markdown_sections(rows, id_col: str, c: Column):
+    """(id, heading, position, line): the lines of each text under their last ``## `` heading; lines before the
+    first heading have none and are left out."""
+    from pyspark.sql import Window
+
+    lines = rows.select(id_col, F.posexplode(F.split(c, "\n")).alias("position", "line"))
+    head = F.when(F.col("line").startswith("## "), F.struct(F.col("position").alias("at"), F.col("line").substr(F.lit(4), F.length("line")).alias("heading")))
+    under = F.last(head, ignorenulls=True).over(Window.partitionBy(id_col).orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    out = lines.withColumn("_h", under).where("_h is not null and position <> _h.at")
+    return out.select(id_col, F.col("_h.at").alias("section"), F.col("_h.heading").alias("heading"), "position", "line")
+
+
+def bulletin_items(c: Column, section: str) -> Column:
+    """Items (date, title) of one ``## `` section's list: lines such as ``- 2024-05-01: Title``."""
+    body = F.regexp_extract(c, f"(?s)(?:^|\n)## {section}\n(.*?)(?:\n## |$)", 1)
+    items = F.regexp_extract_all(body, F.lit(r"(?m)^- ([0-9]{4}-[0-9]{2}-[0-9]{2}: [^\n]+)$"), F.lit(1))
+    return F.transform(items, lambda x: F.struct(F.substring(x, 1, 10).alias("date"), F.substring(x, F.lit(13), F.length(x)).alias("title")))
+
+
+def covered_cells(c: Column, cells: Column) -> Column:
+    """Share of table cells found in a text, as often as they stand in the table and between word boundaries;
+    1 for a table without cells."""
+    quoted = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), x, F.lit(r"\E(?![\p{L}\p{N}])"))
+    found = lambda x: F.least(F.regexp_count(c, quoted(x)), F.size(F.filter(cells, lambda y: y == x)))
+    got = F.aggregate(F.array_distinct(cells), F.lit(0), lambda n, x: n + found(x))
+    return F.when(F.size(cells) == 0, 1.0).otherwise(got / F.size(cells))
+
+
+def token_index(rows, id_col: str, c: Column):
+    """(token, id): the inverted index of texts, each token once per text; bucket it by token when it is kept."""
+    words = F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return rows.select(id_col, F.explode(words).alias("token")).distinct()
+
+
+def search_index(index, id_col: str, terms: list[str]):
+    """Ids whose texts hold all terms: one pass over the terms' postings."""
+    terms = sorted({t.lower() for t in terms})
+    hits = index.where(F.col("token").isin(terms)).groupBy(id_col).agg(F.count("*").alias("n"))
+    return hits.where(F.col("n") == len(terms)).select(id_col)

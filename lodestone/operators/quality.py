@@ -217,3 +217,19 @@ def outside_vocabulary(checks: dict[str, tuple[DataFrame, str, list[str]]]) -> D
         part = rows.where(F.col(column).isNotNull() & ~F.col(column).isin(allowed)).select(F.lit(name).alias("vocabulary"), F.col(column).alias("value")).distinct()
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def table_fidelity(expected: DataFrame, observed: DataFrame, key: str, cells: list[str]) -> DataFrame:
+    """(row_recall, cell_fidelity, false_cells) of an observed table against the expected one, by key."""
+    o = observed.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in cells])
+    right = sum((F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False)).cast("int") for c in cells), F.lit(0))
+    met = expected.join(o, F.col(key) == F.col("_k"), "left").withColumn("_right", F.when(F.col("_k").isNotNull(), right + 1))
+    width = len(cells) + 1
+    out = met.agg(F.count("*").alias("n"), F.count_if(F.col("_right") == width).alias("rows"), F.sum(F.coalesce("_right", F.lit(0))).alias("cells"), F.sum(width - F.col("_right")).alias("wrong"))
+    share = lambda a, b: F.when(F.col("n") > 0, F.col(a) / b).otherwise(1.0)
+    return out.select(share("rows", F.col("n")).alias("row_recall"), share("cells", F.col("n") * width).alias("cell_fidelity"), F.coalesce("wrong", F.lit(0)).cast("bigint").alias("false_cells"))
+
+
+def errors(**checks: Column) -> Column:
+    """Names of the checks that hold, as a sorted array: a row's list of errors."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in sorted(checks.items())]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import quality, relational, review, selectors
 from .queries import C, query
+from .sources import tables
 
 # --- selectors
 
@@ -508,3 +509,123 @@ def episode_key(t):
 def announcement_titles(t):
     lines = F.split("text", "\n")
     return t("documents").where("text is not null").select("doc_id", F.size(lines).cast("bigint").alias("lines"), F.get(lines, F.lit(0)).alias("title"))
+
+
+# --- sources in text and JSON
+
+
+@query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+def api_envelopes(t):
+    wrap = [("", ""), ('{"results":', "}"), ('{"result":{"records":', "}}"), ('{"data":', ',"total":1}')]
+    payload = F.lit(None).cast("string")
+    for n, (a, b) in enumerate(wrap):
+        payload = F.when(C("event_id") % 4 == n, F.concat(F.lit(f"{a}["), C("props"), F.lit(f"]{b}"))).otherwise(payload)
+    got = tables.unwrapped(payload, "struct<k: bigint>")
+    return t("events").select("event_id", F.explode(got).alias("r")).select("event_id", "r.k")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, o_custkey::VARCHAR AS customer FROM orders WHERE o_orderkey % 3 > 0")
+def list_of_lists(t):
+    body = F.concat(F.lit('[["status","customer"],["'), C("o_orderstatus"), F.lit('","'), C("o_custkey").cast("string"), F.lit('"]]'))
+    payload = F.when(C("o_orderkey") % 3 == 0, '{"status":1}').otherwise(body)
+    got = t("orders").select("o_orderkey", F.explode(tables.list_of_lists(payload)).alias("r"))
+    return got.select("o_orderkey", C("r")["status"].alias("status"), C("r")["customer"].alias("customer"))
+
+
+@query("""WITH p AS (SELECT user_id, row_number() OVER w AS page, event_type = lag(event_type) OVER w AS again FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, min(page) FILTER (WHERE again) AS stop, count(*) AS n FROM p GROUP BY user_id)
+SELECT user_id, coalesce(stop - 1, n) AS pages, stop IS NOT NULL AS repeated, coalesce(stop - 1, n) IN (2, 5) AS at_boundary FROM s""")
+def repeated_pages(t):
+    e = t("events").select("user_id", F.struct("ts", "event_id").alias("page"), "event_type")
+    return tables.pages_until_repeat(e, "user_id", "page", "event_type", [2, 5])
+
+
+@query("SELECT f AS file, count(*) AS sheets, sum(n - 1)::BIGINT AS data_rows, max(n) AS most, CASE WHEN sum(n - 1) > 0 THEN 'has_data' ELSE 'empty' END AS status FROM (SELECT l_orderkey % 500 AS f, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY f")
+def workbook_audit(t):
+    sheets = t("lineitem").groupBy((C("l_orderkey") % 500).alias("file"), "l_linenumber").agg(F.count("*").alias("rows"))
+    return tables.workbook_audit(sheets, "file", "rows")
+
+
+@query(r"SELECT conv_id, role || ' ' || turn AS heading, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (SELECT conv_id, role, turn, unnest(string_split(replace(text, '## ', '## '), chr(10))) AS line FROM conversations WHERE text IS NOT NULL) GROUP BY 1, 2")
+def markdown_episodes(t):
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), C("role"), F.lit(" "), C("turn").cast("string"), F.lit("\n"), C("text")).alias("s"))))
+    md = t("conversations").where("text is not null").groupBy("conv_id").agg(F.concat(F.lit("# top\n"), F.array_join(F.transform(turns, lambda x: x["s"]), "\n")).alias("md"))
+    return text.markdown_sections(md, "conv_id", C("md")).groupBy("conv_id", "heading").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS date, 'Order ' || o_orderkey AS title FROM orders")
+def bulletin_announcements(t):
+    line = F.concat(F.lit("- "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(": Order "), C("o_orderkey").cast("string"))
+    doc = t("orders").groupBy("o_custkey").agg(F.concat(F.lit("intro\n- 2000-01-01: no\n## Notices\n"), F.concat_ws("\n", F.collect_list(line)), F.lit("\n## Other\n- 2001-01-01: not this\n")).alias("md"))
+    return doc.select("o_custkey", F.explode(text.bulletin_items(C("md"), "Notices")).alias("i")).select("o_custkey", "i.date", "i.title")
+
+
+# --- index, tables in text, reports
+
+
+@query("""SELECT DISTINCT d.doc_id FROM documents d WHERE d.lang = 'en' AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'license')""")
+def index_search(t):
+    eligible = t("documents").where("lang = 'en'").join(t("labels").where("toxic = 1"), "doc_id", "left_anti")
+    return text.search_index(text.token_index(eligible, "doc_id", C("text")), "doc_id", ["The", "license"])
+
+
+@query("""SELECT 'missing' AS side, count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND regexp_matches(text, '[\\p{L}\\p{N}]') EXCEPT SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 6 <> 0) UNION ALL
+SELECT 'extra', count(*) FROM (SELECT DISTINCT doc_id FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 6 <> 0 AND regexp_matches(text, '[\\p{L}\\p{N}]') EXCEPT SELECT doc_id FROM documents WHERE lang = 'en')""")
+def index_coverage(t):
+    eligible, indexed = t("documents").where("lang = 'en'"), t("documents").where("lang in ('en', 'fr') and doc_id % 6 <> 0")
+    want, have = (text.token_index(x, "doc_id", C("text")).select("doc_id").distinct() for x in (eligible, indexed))
+    status = relational.reconcile(want, have, "doc_id")
+    return status.agg(F.count_if(C("status") == "missing").alias("m"), F.count_if(C("status") == "extra").alias("e")).select(F.explode(F.array(F.struct(F.lit("missing").alias("side"), C("m").alias("n")), F.struct(F.lit("extra").alias("side"), C("e").alias("n")))).alias("r")).select("r.*")
+
+
+@query("""WITH x AS (SELECT p_partkey, p_partkey % 11 <> 0 AS there, p_size % 7 = 0 AS wrong FROM part) SELECT count(*) FILTER (WHERE there AND NOT wrong) / count(*)::DOUBLE AS row_recall, (count(*) FILTER (WHERE there) * 3 - count(*) FILTER (WHERE there AND wrong)) / (count(*) * 3)::DOUBLE AS cell_fidelity,
+count(*) FILTER (WHERE there AND wrong) AS false_cells FROM x""")
+def table_fidelity(t):
+    p = t("part").select("p_partkey", "p_name", "p_brand", "p_size")
+    seen = p.where("p_partkey % 11 <> 0").withColumn("p_brand", F.when(C("p_size") % 7 == 0, F.concat("p_brand", F.lit("?"))).otherwise(C("p_brand")))
+    return quality.table_fidelity(p, seen, "p_partkey", ["p_name", "p_brand"])
+
+
+@query(r"""WITH c AS (SELECT p_partkey, p_name || ', ' || p_brand || ' ' || p_name || 's' AS text, string_split(p_name, ' ') AS w FROM part), x AS (SELECT p_partkey, text, unnest(w || ['ring', 'ring', 'absent']) AS cell FROM c), k AS (SELECT p_partkey, text, cell, count(*) AS n FROM x GROUP BY ALL)
+SELECT p_partkey, sum(least(n, len(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9#]+', '  ', 'g') || ' ', '(?:^| )' || cell || ' '))))::BIGINT / sum(n)::DOUBLE AS coverage FROM k GROUP BY p_partkey""")
+def table_coverage(t):
+    said = F.concat("p_name", F.lit(", "), "p_brand", F.lit(" "), "p_name", F.lit("s"))
+    cells = F.concat(F.split("p_name", " "), F.array(F.lit("ring"), F.lit("ring"), F.lit("absent")))
+    return t("part").select("p_partkey", text.covered_cells(said, cells).alias("coverage"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_sort([x for x in [CASE WHEN c_acctbal < 0 THEN 'debt' END, CASE WHEN c_nationkey > 20 THEN 'nation' END, CASE WHEN length(c_name) > 17 THEN 'name' END] if x IS NOT NULL]), ',') AS errors FROM customer""")
+def config_errors(t):
+    e = quality.errors(debt=C("c_acctbal") < 0, nation=C("c_nationkey") > 20, name=F.length("c_name") > 17)
+    return t("customer").select("c_custkey", F.array_join(e, ",").alias("errors"))
+
+
+@query("""SELECT label, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([lang, source, CASE WHEN n_chars > 1000 THEN 'long' END, lang]) AS label FROM documents) WHERE label IS NOT NULL GROUP BY label""")
+def multi_label_exploded(t):
+    labels = F.array_distinct(F.array_compact(F.array("lang", "source", F.when(C("n_chars") > 1000, "long"), "lang")))
+    return t("documents").select("doc_id", F.explode(labels).alias("label")).distinct().groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, count(*) OVER r AS n, min(event_id) OVER r AS lo, max(event_id) OVER r AS hi, (sum(value::DECIMAL(18,4)) OVER r)::DOUBLE AS total, round(avg(event_id) OVER r, 6) AS mean FROM events WINDOW r AS (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND 200 FOLLOWING)""")
+def range_frames(t):
+    w = Window.partitionBy("user_id").orderBy("event_id").rangeBetween(-500, 200)
+    v = C("value").cast("decimal(18,4)")
+    return t("events").select("event_id", F.count("*").over(w).alias("n"), F.min("event_id").over(w).alias("lo"), F.max("event_id").over(w).alias("hi"), F.sum(v).over(w).cast("double").alias("total"), F.round(F.avg("event_id").over(w), 6).alias("mean"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE (p_partkey - 500) // (p_size % 4) END AS q FROM part WHERE p_partkey >= 500")
+def integer_division(t):
+    return t("part").where("p_partkey >= 500").select("p_partkey", F.expr("(p_partkey - 500) div nullif(p_size % 4, 0)").alias("q"))
+
+
+@query("""SELECT lower(trim(p_name)) || '|' || p_brand AS key, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) > 1""")
+def functional_duplicates_whole(t):
+    return relational.duplicates(t("part"), F.concat_ws("|", F.lower(F.trim("p_name")), C("p_brand")), "p_partkey")
+
+
+@query(r"""WITH w AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), c AS (SELECT item_id, w, count(*) AS n FROM w GROUP BY 1, 2), d AS (SELECT w, count(*) AS n FROM w WHERE item_id = 0 GROUP BY w)
+SELECT item_id, coalesce(sum(CASE WHEN d.n IS NOT NULL THEN least(c.n, d.n) END), 0)::BIGINT AS shared, sum(greatest(c.n - coalesce(d.n, 0), 0))::BIGINT AS only FROM c LEFT JOIN d ON c.w = d.w GROUP BY item_id""")
+def multiset_overlap(t):
+    counts = t("benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("n"))
+    base = counts.where("item_id = 0").select(C("w").alias("bw"), C("n").alias("bn"))
+    met = counts.join(base, C("w") == C("bw"), "left")
+    return met.groupBy("item_id").agg(F.coalesce(F.sum(F.when(C("bn").isNotNull(), F.least("n", "bn"))), F.lit(0)).alias("shared"), F.sum(F.greatest(C("n") - F.coalesce("bn", F.lit(0)), F.lit(0))).alias("only"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,3 +118,42 @@ def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
         head.unionByName(df.select(line.alias("value"))).write.mode("overwrite").text(path)
     else:
         getattr(df.write.mode("overwrite"), kind)(path, **({"header": True} if kind == "csv" else {}))
+
+
+#: Keys under which services wrap their records, in order.
+ENVELOPES = ("results", "result", "data", "records", "items")
+
+
+def unwrapped(payload: Column, item: str) -> Column:
+    """The records of an API page as an array of ``item``: a list, or an object that holds one under a known key, one
+    more level down at most; null if there is none."""
+    of = f"array<{item}>"
+    listed = lambda x: F.when(F.ltrim(x).startswith("["), F.from_json(x, of))
+    found = [listed(payload)]
+    for key in ENVELOPES:
+        inner = F.get_json_object(payload, f"$.{key}")
+        found += [listed(inner), *[listed(F.get_json_object(inner, f"$.{k}")) for k in ENVELOPES]]
+    return F.coalesce(*found)
+
+
+def list_of_lists(payload: Column) -> Column:
+    """Rows of a header-first list of lists as an array of maps; null if it is none."""
+    rows = F.when(F.ltrim(payload).rlike(r"^\[\s*\["), F.from_json(payload, "array<array<string>>"))
+    return F.when(F.size(rows) > 0, F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda r: F.map_from_arrays(rows[0], r)))
+
+
+def pages_until_repeat(pages: DataFrame, key: str, page: str, payload: str, boundaries: list[int]) -> DataFrame:
+    """(key, pages, repeated, at_boundary): pages up to the first that repeats the one before, and whether their
+    number is one at which services stop."""
+    w = Window.partitionBy(key).orderBy(page)
+    digest = F.sha2(F.col(payload).cast("binary"), 256)
+    marked = pages.withColumn("_r", (digest == F.lag(digest).over(w)).cast("int"))
+    marked = marked.withColumn("_s", F.coalesce(F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    out = marked.groupBy(key).agg(F.count_if(F.col("_s") == 0).alias("pages"), (F.max("_s") == 1).alias("repeated"))
+    return out.withColumn("at_boundary", F.col("pages").isin(boundaries))
+
+
+def workbook_audit(sheets: DataFrame, file: str, rows: str) -> DataFrame:
+    """(file, sheets, data_rows, most, status) from rows (file, rows of one sheet, its header included)."""
+    out = sheets.groupBy(file).agg(F.count("*").alias("sheets"), F.sum(F.greatest(F.col(rows) - 1, F.lit(0))).alias("data_rows"), F.max(rows).alias("most"))
+    return out.withColumn("status", F.when(F.col("data_rows") > 0, "has_data").otherwise("empty"))
