@@ -9,12 +9,14 @@ per source; the solution is r = min(cap, exp(multiplier * words / mean words)).
 by Newton steps on the logarithm of the constraint, kept inside a shrinking bracket, for all sources at
 once over a histogram of (source, size): the loop's state is one row per source, and no document moves.
 
-Copies: a rate is rounded up when a hash of the document's id falls below its fraction plus its source's
+Copies: a rate is rounded up when a hash of the document's id (of its text without one) falls below its fraction plus its source's
 correction. The correction is read off a histogram of 4096 buckets per source, so that rounding errors
 cancel to within about one bucket (a 4096th of the source's words).
 
 * Null text: size 0, never taken. A source without words has target 0.
-* Null and repeated ids: rows are judged one by one; rows with one id round alike.
+* Null and repeated ids: rows are judged one by one; rows with one id round alike, rows without an id by their texts.
+* Very long texts are counted where they stand and do not move. The bracket of a multiplier halves at least where
+  a Newton step fails, so 60 steps settle it; what a multiplier still misses, the correction below makes up.
 * An empty table gives an empty result. Extra columns are ignored.
 * Ties in source names cannot arise: equal names are one source.
 """
@@ -26,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, stage
+from .common import cut, scratch, small_side, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -98,12 +100,23 @@ def multipliers(hist: DataFrame, goals: DataFrame, cap: float = 3.0, tolerance:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, copies, rate), one for each row of ``docs``."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    with scratch():
+        sized, plan = _planned(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col)).alias("h")), weights, cap)
+        done = _rounded(sized, plan, cap)
+    return done.select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), F.col("copies").cast("int").alias("copies"), "rate"
+    )
+
+
+def _planned(rows: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
+    sized = stage(rows, "mix-sizes", keep=True)
     hist = stage(sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
     goals = stage(targets(sized, weights, cap), "mix-targets")
     lam = multipliers(hist, goals, cap)
-    plan = stage(goals.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
+    return sized, stage(goals.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan", keep=True)
 
+
+def _rounded(sized: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
     g = small_side(plan).withColumnRenamed("source", "s")
     rated = sized.join(g, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rate = (
@@ -113,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_
     )
     rated = rated.withColumn("rate", rate)
     # v in (-1, 1): the document is rounded up where v < correction; whole rates have no choice
-    unit = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     rated = rated.withColumn("low", F.floor("rate")).withColumn("v", F.when(F.col("rate") > F.col("low"), unit - (F.col("rate") - F.col("low"))))
     rated = rated.withColumn("bucket", F.floor((F.col("v") + 1) * (BUCKETS / 2)))
     masses = rated.groupBy("source", "bucket").agg(F.sum("size").alias("mass"), F.sum(F.col("low") * F.col("size")).alias("base"))
@@ -122,9 +135,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_
     upto = F.sum(F.when(F.col("bucket").isNotNull(), F.col("mass")).otherwise(0)).over(Window.partitionBy("s").orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     gap = F.abs(total_base + upto - F.col("target"))
     best = masses.withColumn("gap", gap).groupBy(F.col("s").alias("src")).agg(F.min_by(F.coalesce("bucket", F.lit(-1)), F.struct("gap", F.coalesce("bucket", F.lit(-1)))).alias("last"))
-    best = small_side(stage(best, "mix-correction"))
+    best = small_side(stage(best, "mix-correction", keep=True))
     done = rated.join(best, F.col("source").eqNullSafe(F.col("src")), "left")
-    copies = F.col("low") + F.when(F.col("bucket") <= F.col("last"), 1).otherwise(0)
-    return done.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken"), copies.cast("int").alias("copies"), "rate"
-    )
+    return done.withColumn("copies", F.col("low") + F.when(F.col("bucket") <= F.col("last"), 1).otherwise(0))
