@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, stage, unstage
+from .common import KEY_ROWS, in_arrow, scratch, small_side, stage, unstage
 from .textnum import PIECE, U, flat, mix, pieces, powers
 
 SIZE, GRAM, PIECES = 200, 64, (32, 8, 2, 1)
@@ -157,8 +157,9 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     runs, on = _resolve(anchors.withColumnRenamed("gram", "core").withColumn("gram", F.col("core")).withColumn("multi", F.lit(False)), "sub0")
     unstage(anchors)
     found = [runs]
-    marks = on.groupBy("_k", "n").agg(F.collect_list(F.struct("p1", "more", "x", "multi", "gram")).alias("marks"))
-    held = in_arrow(source.join(marks, ["_k", "n"]), _contexts(size), "_k bigint, n bigint, p1 bigint, more int, x int, multi boolean, gram bigint, c binary")
+    marks = stage(on.groupBy("_k", "n").agg(F.collect_list(F.struct("p1", "more", "x", "multi", "gram")).alias("marks")), "sub-marks")
+    marked = source.join(small_side(marks.select("_k", "n"), KEY_ROWS), ["_k", "n"], "left_semi")  # only their texts move
+    held = in_arrow(marked.join(marks, ["_k", "n"]), _contexts(size), "_k bigint, n bigint, p1 bigint, more int, x int, multi boolean, gram bigint, c binary")
     held = stage(held, "sub-contexts")
     for step in PIECES:
         # offsets of a row's windows before the anchor: x - more .. x; piece b holds b * step .. b * step + step - 1
@@ -215,10 +216,15 @@ def covered(runs, size: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """Contract rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    """Contract rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256). Texts meet their runs by 64 bits of id and
+    text and by their length."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), F.octet_length(text).cast("bigint").alias("n"), text.alias("_t"))
-    runs = repeated_runs(source, size, gram).groupBy("_k", "n").agg(F.collect_list(F.struct("p1", "more")).alias("runs"))
-    runs = stage(runs, "sub-runs")
-    id_type = dict(source.dtypes)["doc_id"]
-    return in_arrow(source.join(runs, ["_k", "n"], "left"), _kept(size), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    with scratch():
+        runs = repeated_runs(source, size, gram).groupBy("_k", "n").agg(F.collect_list(F.struct("p1", "more")).alias("runs"))
+        runs = stage(runs, "sub-runs", keep=True)
+    id_type, keys = dict(source.dtypes)["doc_id"], small_side(runs.select("_k", "n"), KEY_ROWS)
+    # texts without a run stay where they are while the keys of the others are few enough to broadcast
+    whole = source.join(keys, ["_k", "n"], "left_anti").withColumn("runs", F.lit(None).cast("array<struct<p1: bigint, more: int>>"))
+    cut = source.join(keys, ["_k", "n"], "left_semi").join(runs, ["_k", "n"])
+    return in_arrow(whole.select("doc_id", "n", "_t", "runs").unionByName(cut.select("doc_id", "n", "_t", "runs")), _kept(size), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
