@@ -104,6 +104,22 @@ def small_mark(df: DataFrame, limit: int = KEY_ROWS) -> Callable[[DataFrame], Da
     return F.broadcast if df.limit(limit + 1).count() <= limit else lambda x: x
 
 
+#: Rows of one key from which it counts as hot.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``side``, which is staged and has one row per key with the key's
+    ``count`` of rows: hot keys, at most a thousandth of the rows, are broadcast, so that their rows stay dealt as
+    they are; the others meet by shuffle."""
+    hot, rest = side.where(F.col(count) >= HOT), side.where(F.col(count) < HOT)
+    if hot.isEmpty():
+        return rows.join(side, keys, how)
+    near = rows.join(small_side(hot, KEY_ROWS), keys)
+    far = rows.join(small_side(hot.select(*keys), KEY_ROWS), keys, "left_anti").join(rest, keys, how)
+    return near.unionByName(far)
+
+
 def components(edges: DataFrame, label: str = "cc", known: DataFrame | None = None) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (v, l), l the least vertex of v's component.
 

@@ -17,7 +17,8 @@ anchor stands for a run of consecutive windows. Per round,
   formed again from a hash of the bytes that all windows of the piece share (the core).
 
 A round moves only suffixes whose bucket is still mixed, those near the ends of repeated passages. All
-grouping is by content hash, so hot passages combine map-side and otherwise spread by their contexts.
+grouping is by content hash, so hot passages combine map-side and otherwise spread by their contexts; rows meet
+hot buckets by broadcast, where they are.
 Hashes have 64 bits on top of the bucket's own 64.
 
 * Null texts count as empty; texts shorter than ``size`` lose nothing. Rows that repeat repeat each other.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_ROWS, in_arrow, scratch, small_side, stage, unstage
+from .common import KEY_ROWS, in_arrow, scratch, small_side, spread_join, stage, unstage
 from .textnum import PIECE, U, flat, mix, pieces, powers
 
 SIZE, GRAM, PIECES = 200, 64, (32, 8, 2, 1)
@@ -122,13 +123,16 @@ def _resolve(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """
     weight = F.when(F.col("multi"), 2).otherwise(1)
     bucket = rows.groupBy("core").agg(F.sum(weight).alias("w"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("w > 1")
-    met = stage(rows.join(bucket.select("core", (F.col("u0") != F.col("u1")).alias("mixed")), "core"), f"{label}-met")
+    bucket = stage(bucket.select("core", "w", (F.col("u0") != F.col("u1")).alias("mixed")), f"{label}-buckets")
+    met = stage(spread_join(rows, bucket, ["core"], "w").drop("w"), f"{label}-met")
+    unstage(bucket)
     uniform = stage(met.where("not mixed and not multi").select("_k", "n", "p1", "more"), f"{label}-uniform")
     mixed = met.where("mixed")
     tag = F.xxhash64("_k", "n", "p1")
-    same = mixed.groupBy("core", "u").agg(F.sum(weight).alias("w"), F.min(tag).alias("tag")).where("w > 1")
-    seen = stage(mixed.join(same, ["core", "u"], "left").drop("core", "mixed"), f"{label}-mixed")
+    same = stage(mixed.groupBy("core", "u").agg(F.sum(weight).alias("w"), F.min(tag).alias("tag")).where("w > 1"), f"{label}-same")
+    seen = stage(spread_join(mixed, same, ["core", "u"], "w", "left").drop("core", "mixed"), f"{label}-mixed")
     unstage(met)
+    unstage(same)
     runs = uniform.unionByName(seen.where("w > 1 and not multi").select("_k", "n", "p1", "more"))
     on = seen.where(F.col("w").isNull() | (tag == F.col("tag"))).withColumn("multi", F.col("w").isNotNull()).drop("w", "tag", "u")
     return runs, on
