@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestone.llm import decontaminate
 from tests.llm.test_decontaminate import words
@@ -63,6 +65,21 @@ def test_each_stage_does_its_work_on_what_came_before(spark, tmp_path):
     assert len(rows["mixing"]) == len(rows["pii"])
 
 
+def test_stages_keep_extra_columns_with_clashing_names(spark, tmp_path):
+    sf, *_ = tables(spark, tmp_path)
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["_k", "extra", "words", "c0", "n", "cls", "_row", "_t", "spans", "top"]
+    for k, name in enumerate(names):
+        df = df.withColumn(name, F.lit(k).cast("string"))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, df, sf)
+        assert out.schema == df.schema, name
+        out.write.parquet(f"{sf}/x-{name}")
+        df = spark.read.parquet(f"{sf}/x-{name}")
+        assert df.where(" or ".join(f"`{c}` <> '{k}' or `{c}` is null" for k, c in enumerate(names))).isEmpty(), name
+    assert corpus_pipeline.mix_sources(spark, df, sf).count() == df.count() > 300
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     sf, *_ = tables(spark, tmp_path / "a")
     out = corpus_pipeline.run(spark, sf)
