@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import in_arrow, scratch, stage
-from .textnum import PIECE, U, _words, flat, pieces, small, white_lut
+from .textnum import PIECE, U, _words, flat, lean, pieces, small, white_lut
 
 TRAIN_ROWS = 20_000
 STATS = ("words", "mean_len", "distinct", "repeat_prev", "top", "upper", "symbol", "digit", "pipe", "punct", "newline", "odd_end", "long_words", "short_words")
@@ -181,10 +181,9 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """L1-penalised logistic regression by FISTA; the intercept is free."""
-    n, m = r.shape
-    a = np.hstack([r, np.ones((n, 1))])
+def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """L1-penalised logistic regression by FISTA; the last column is 1 for the intercept, which is free."""
+    n, m = a.shape[0], a.shape[1] - 1
     v = np.ones(m + 1)
     for _ in range(20):  # largest singular value
         v = a.T @ (a @ v)
@@ -208,7 +207,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[list
     if y.min() == y.max():
         return [], 30.0 if y[0] else -30.0
     rules = _paths(x, y)
-    cover = np.stack([holds(q, x) for q in rules], axis=1).astype(float) if rules else np.zeros((len(y), 0))
+    cover = np.ones((len(y), len(rules) + 1))
+    for k, q in enumerate(rules):
+        cover[:, k] = holds(q, x)
     w, b = _lasso(cover, y, penalty)
     return [(float(v), q) for v, q in zip(w, rules) if v != 0], b
 
@@ -235,7 +236,11 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> C
         rows = measured.groupBy("doc_id").agg(F.min_by(F.struct("y", *STATS), "h").alias("r")).select("doc_id", "r.*").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
     x = np.stack([rows.column(s).to_numpy()[order] for s in STATS], axis=1) if rows.num_rows else np.zeros((0, len(STATS)))
-    return compile_rules(*fit_rules(x, rows.column("y").to_numpy()[order].astype(float)))
+    y = rows.column("y").to_numpy()[order].astype(float)
+    del rows
+    score = compile_rules(*fit_rules(x, y))
+    lean()
+    return score
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
