@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, mixing, near_dedup, pii, quality, substring_dedup, url_filter, vp_search
+from . import decontaminate, html_text, language, mixing, near_dedup, pii, quality, snapshot_diff, substring_dedup, url_filter, vector_codes, vp_search
 from .common import table
 
 
@@ -50,6 +50,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return snapshot_diff.snapshot_diff(docs, snapshot_diff.later_snapshot(docs))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -61,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_url_filter": op10_url_filter,
+    "op11_snapshot_diff": op11_snapshot_diff,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Nearest neighbours by brute force. The registered query prunes with a factor above 1, but finds all on
@@ -107,4 +118,60 @@ c AS (SELECT r, min(m) AS m FROM reach GROUP BY r)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id, doc_id = c.m AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_nearest_neighbours": _OP2, "op4_decontamination": _OP4, "op9_near_duplicates": _OP9}
+#: crc32 bit by bit; pairs by key, then by content and rank within it.
+_OP11 = """
+WITH c AS (
+  SELECT doc_id, text, lang, source,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 10 AS m
+  FROM documents
+), later AS (
+  SELECT unnest(CASE WHEN m = 0 THEN [] WHEN m IN (3, 4) THEN [-1 - doc_id] WHEN m = 5 THEN [doc_id, -1 - doc_id] ELSE [doc_id] END) AS k,
+    CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text, CASE WHEN m = 2 THEN source ELSE lang END AS lang,
+    CASE WHEN m = 2 THEN lang WHEN m = 4 THEN NULL ELSE source END AS source
+  FROM c
+), j AS (
+  SELECT e.doc_id AS ek, e.text AS et, e.lang AS el, e.source AS es, e.doc_id IS NOT NULL AS eh, l.k AS lk, l.text AS lt, l.lang AS ll, l.source AS ls, l.k IS NOT NULL AS lh
+  FROM documents e FULL OUTER JOIN later l ON e.doc_id = l.k
+), e AS (SELECT ek, et, el, es, row_number() OVER (PARTITION BY et, el, es ORDER BY ek) AS i FROM j WHERE NOT lh),
+l AS (SELECT lk, lt, ll, ls, row_number() OVER (PARTITION BY lt, ll, ls ORDER BY lk DESC) AS i FROM j WHERE NOT eh),
+r AS (
+  SELECT ek, lk, lt, ll, ls, e.i IS NULL AS ins, l.i IS NULL AS del FROM e FULL OUTER JOIN l
+  ON et IS NOT DISTINCT FROM lt AND el IS NOT DISTINCT FROM ll AND es IS NOT DISTINCT FROM ls AND e.i = l.i
+), a AS (
+  SELECT lk AS key, ek AS old_key, concat_ws(',', CASE WHEN et IS DISTINCT FROM lt THEN 'text' END, CASE WHEN el IS DISTINCT FROM ll THEN 'lang' END,
+    CASE WHEN es IS DISTINCT FROM ls THEN 'source' END) AS changed, lt, ll, ls, NULL AS op FROM j WHERE eh AND lh
+  UNION ALL SELECT coalesce(lk, ek), ek, '', lt, ll, ls, CASE WHEN ins THEN 'insert' WHEN del THEN 'delete' ELSE 'rekey' END FROM r
+)
+SELECT key, old_key, coalesce(op, CASE WHEN changed = '' THEN 'same' ELSE 'update' END) AS op, changed,
+  CASE WHEN op = 'delete' THEN NULL ELSE sha256(coalesce(lt, '~') || chr(10) || coalesce(ll, '~') || chr(10) || coalesce(ls, '~')) END AS row_sha256
+FROM a
+"""
+
+
+def _op13(rounds: int = 6) -> str:
+    """Lloyd rounds written out one after another, over all vectors."""
+    nearest = "SELECT r, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT q.r, q.p, q.x, b.e, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - b.y[i]) * (q.x[i] - b.y[i])))::BIGINT AS d FROM q JOIN b{0} b USING (p)) GROUP BY r, p, x"
+    floored = "((sum(x[i])::HUGEINT - ((sum(x[i])::HUGEINT % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS ({nearest.format(k)})")
+        steps.append(
+            f"m{k} AS (SELECT p, e, list(v ORDER BY i) AS y FROM (SELECT p, e, i, {floored} AS v FROM a{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM q))) AS i) GROUP BY p, e, i) GROUP BY p, e)"
+        )
+        steps.append(f"b{k + 1} AS (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM b{k} b LEFT JOIN m{k} m USING (p, e))")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT r, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM k, (SELECT unnest(range(8)) AS p)),
+b0 AS (SELECT p, r - 1 AS e, x AS y FROM q WHERE r <= 16),
+{", ".join(steps)},
+f AS ({nearest.format(rounds)}),
+g AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM f GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda c: c::VARCHAR), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN g USING (r), h
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_nearest_neighbours": _OP2, "op4_decontamination": _OP4, "op9_near_duplicates": _OP9, "op11_snapshot_diff": _OP11, "op13_vector_codes": _op13()}
