@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, near_dedup, pii, quality, snapshot_diff, substring_dedup, url_filter, vector_codes, vp_search
+from . import decontaminate, html_text, language, mixing, near_dedup, phrase_dedup, pii, quality, snapshot_diff, substring_dedup, url_filter, vector_codes, vp_search
 from .common import table
 
 
@@ -55,6 +56,11 @@ def op11_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_diff.snapshot_diff(docs, snapshot_diff.later_snapshot(docs))
 
 
+def op12_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_dedup.remove_phrases(table(spark, sf_dir, "documents"), words=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_url_filter": op10_url_filter,
     "op11_snapshot_diff": op11_snapshot_diff,
+    "op12_phrase_dedup": op12_phrase_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -149,6 +156,17 @@ FROM a
 """
 
 
+#: Every window of 13 words with the smallest doc_id that has it.
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS low FROM x GROUP BY win),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM x JOIN f USING (win) WHERE low < coalesce(doc_id, 9223372036854775807))),
+k AS (SELECT r, count(*) AS n, string_agg(o, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS o, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+
 def _op13(rounds: int = 6) -> str:
     """Lloyd rounds written out one after another, over all vectors."""
     nearest = "SELECT r, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT q.r, q.p, q.x, b.e, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - b.y[i]) * (q.x[i] - b.y[i])))::BIGINT AS d FROM q JOIN b{0} b USING (p)) GROUP BY r, p, x"
@@ -174,4 +192,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_nearest_neighbours": _OP2, "op4_decontamination": _OP4, "op9_near_duplicates": _OP9, "op11_snapshot_diff": _OP11, "op13_vector_codes": _op13()}
+ORACLE_SQL: dict[str, str] = {"op2_nearest_neighbours": _OP2, "op4_decontamination": _OP4, "op9_near_duplicates": _OP9, "op11_snapshot_diff": _OP11, "op12_phrase_dedup": _OP12, "op13_vector_codes": _op13()}
