@@ -6,13 +6,14 @@ import pytest
 
 from lodestone.queries import ORACLE_SQL, QUERIES
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps"
 SF = os.environ.get("LODESTONE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for name in TABLES.split():
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return c
 
