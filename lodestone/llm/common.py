@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -87,6 +89,16 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs now: Spark deletes them once the driver's JVM has collected the
+    plans that made them, which a driver with much free memory may not do for a long time. The first collection
+    ends what Python and the listeners held, the second the plans."""
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder, for small loop state."""
     shared_dir(df.sparkSession)

@@ -6,15 +6,16 @@ A word goes if it lies in a window of ``words`` words whose sequence also starts
   places. Consecutive windows that share an anchor form a stretch, of at most 2 * words - gram words.
 * Recurring passages. The anchors of all documents are range-sorted by hash; those that stand alone in sorted order
   are dropped in one pass over each partition. What is left goes back to its documents, which cut out the stretches
-  of recurring anchors.
-* Automata. Stretches are dealt by anchor. Each task goes through its anchors in shards of about SHARD stretches: it
-  confirms the windows that two documents share, word by word, compiles them into an Aho-Corasick automaton over
-  the shard's vocabulary and streams the stretches through it; every occurrence in a document above the window's
-  smallest id is marked. Stretches with equal words go through once.
-* Frequent anchors. An anchor with more than HOT occurrences would put an unbounded group into one task. Its windows
-  are dealt one by one, by 128 bits of hash, instead, and meet their smallest id in a join whose hot keys are
-  broadcast (checked in size). Where an anchor lies at the edge of a partition, so that its count is not known
-  there, its stretches take both ways.
+  of recurring anchors, equal ones of a document once. Equal stretches of all documents become one row with their
+  number, smallest and greatest id.
+* Automata. These distinct stretches are dealt by anchor. Each task goes through its anchors in shards of about
+  SHARD stretches: it confirms the windows that two documents share, word by word, compiles them into an
+  Aho-Corasick automaton over the shard's vocabulary and streams the stretches through it. The smallest ids so
+  found at each place of a stretch go back to all documents that have it: a window is marked in every document
+  above its smallest id.
+* Crowded anchors. Frequent words in ever new contexts can give an anchor an unbounded number of distinct stretches.
+  The windows of an anchor with more than HOT of them are dealt one by one, by their text, instead.
+* Stretches that many documents have meet their documents by broadcast (checked in size), the others by shuffle.
 
 Documents with marks are cut; the texts of the others stay where they are while the list of marked documents is
 short enough to broadcast (checked), and move once beyond.
@@ -30,22 +31,23 @@ short enough to broadcast (checked), and move once beyond.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_ROWS, in_arrow, scratch, small_side, spread_join, stage
+from .common import KEY_ROWS, in_arrow, release, scratch, small_side, spread_join, stage, unstage
 from .textnum import U, flat, lean, mix, powers, small, word_hashes
 
 WORDS, GRAM = 13, 5
-#: Occurrences from which an anchor's windows are dealt one by one; stretches of one automaton; windows hashed at a time.
+#: Distinct stretches from which an anchor is crowded; stretches of one automaton; windows hashed at a time.
 HOT, SHARD, CHUNK = 5000, 20_000, 1 << 20
 _NONE = (1 << 63) - 1
 _LOW = U((1 << 24) - 1)
-_COLD, _HOT, _BOTH = 0, 1, 2
 
 
 def _lut() -> np.ndarray:
@@ -99,105 +101,72 @@ def _anchor_rows(words: int, gram: int):
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted partition whose anchor does not stand alone, with their kind. The partition's first and last
-    anchor may go on in the next one: they are kept, and count as both kinds unless hot here."""
-    held: list[pa.RecordBatch] = []  # rows of the last anchor seen, unless it is hot already
-    n, anchor, hot, first = 0, None, False, True
-
-    def kept(parts: list[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows:
-                yield pa.record_batch([*part.columns, pa.array(np.full(part.num_rows, kind, np.int32))], ["anchor", "_k", "_h", "kind"])
-
+    """Rows of a sorted partition whose anchor does not stand alone. The partition's first and last rows are kept, as
+    their anchor may go on in the next one."""
+    held: pa.RecordBatch | None = None  # the last row seen, with whether it is kept already
+    kept = True
     for batch in batches:
         if not batch.num_rows:
             continue
         a = batch.column("anchor").to_numpy()
-        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        ends = np.append(starts[1:], len(a))
-        goes_on = anchor is not None and a[0] == anchor
-        if not goes_on:  # the anchor held is whole
-            if anchor is not None:
-                if first or n > 1:
-                    yield from kept(held, _BOTH if first else _COLD)
-                first = False
-            held, n, hot = [], 0, False
-        # the batch's first anchor, continued or new
-        part = batch.slice(0, int(ends[0]))
-        n, anchor = n + part.num_rows, a[0]
-        held.append(part)
-        if hot or n > HOT:
-            yield from kept(held, _HOT)
-            held, hot = [], True
-        if len(starts) > 1:
-            if not hot and (first or n > 1):
-                yield from kept(held, _BOTH if first else _COLD)
-            first = False
-            # whole anchors in the middle of the batch; the last one is held
-            sizes = ends[1:-1] - starts[1:-1]
-            kinds = np.where(sizes > HOT, _HOT, _COLD)
-            mid = batch.slice(int(ends[0]), int(starts[-1] - ends[0]))
-            if mid.num_rows:
-                keep = np.repeat(sizes > 1, sizes)
-                out = pa.record_batch([*mid.columns, pa.array(np.repeat(kinds, sizes).astype(np.int32))], ["anchor", "_k", "_h", "kind"])
-                yield out.filter(pa.array(keep))
-            held, anchor, hot = [batch.slice(int(starts[-1]))], a[-1], False
-            n = held[0].num_rows
-            if n > HOT:
-                yield from kept(held, _HOT)
-                held, hot = [], True
-    if held:
-        yield from kept(held, _BOTH)
+        if held is not None and not kept and a[0] == held.column("anchor")[0].as_py():
+            yield held
+        same = np.append(a[1:] == a[:-1], False)
+        before = held is None or a[0] == held.column("anchor")[0].as_py()
+        keep = same | np.append(before, same[:-1])
+        yield batch.filter(pa.array(keep))
+        held, kept = batch.slice(batch.num_rows - 1), bool(keep[-1])
+    if held is not None and not kept:
+        yield held
 
 
 def _cut(words: int, gram: int):
-    """Stretches of a document's recurring anchors (way 0) and single windows of its hot ones (way 1)."""
-    schema = pa.schema([("way", pa.int32()), ("anchor", pa.int64()), ("other", pa.int64()), ("_k", pa.int64()), ("_h", pa.int64()), ("ord", pa.int64()), ("at", pa.int32()), ("c", pa.string())])
+    """The stretches of a document's recurring anchors, with the places where it has them."""
+    schema = pa.schema([("anchor", pa.int64()), ("_k", pa.int64()), ("_h", pa.int64()), ("ord", pa.int64()), ("at", pa.list_(pa.int32())), ("c", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut = _lut()
         for batch in small(batches, "_t"):
             h, doc = word_hashes(*flat(batch.column("_t")), lut)
             begin = np.searchsorted(doc, np.arange(batch.num_rows))
-            w1, w2 = _sum(h, words).astype(np.int64), _sum(h, words, words).astype(np.int64)
-            marks, texts = batch.column("marks"), batch.column("_t")
-            keys = [batch.column(c).to_pylist() for c in ("_k", "_h", "ord")]
-            out: list[list] = [[] for _ in schema]
+            keys = [batch.column(c).to_numpy() for c in ("_k", "_h", "ord")]
             row, split = -1, []
             for d, p1, p2, g in stretches(h, doc, words, gram):
-                for i in np.unique(d):
-                    mine = np.flatnonzero(d == i) if d[0] != d[-1] else np.arange(len(d))
-                    listed = marks[int(i)].values
-                    anchors = listed.field("anchor").to_numpy()
-                    order = np.argsort(anchors)
-                    at = np.minimum(np.searchsorted(anchors, g[mine], sorter=order), len(anchors) - 1)
-                    met = order[at]
-                    hit = anchors[met] == g[mine]
-                    kinds = listed.field("kind").to_numpy()[met]
+                ends = np.append(np.flatnonzero(np.append(d[1:] != d[:-1], True)) + 1, 0)[:-1]
+                first = 0
+                for end in ends.tolist():
+                    i, mine = int(d[first]), slice(first, end)
+                    hit = np.flatnonzero(np.isin(g[mine], batch.column("marks")[i].values.to_numpy())) + first
+                    first = end
+                    if not len(hit):
+                        continue
                     if row != i:
-                        row, split = i, texts[int(i)].as_buffer().to_pybytes().split()
-                    k, t, o = (c[int(i)] for c in keys)
-                    for x in np.flatnonzero(hit):
-                        s = mine[x]
-                        a, b = int(p1[s]), int(p2[s])
-                        place = a - int(begin[i])
-                        if kinds[x] != _HOT:
-                            text = b" ".join(split[place : place + b - a + words]).decode()
-                            for c, v in zip(out, (0, int(g[s]), 0, k, t, o, place, text)):
-                                c.append(v)
-                        if kinds[x] != _COLD:
-                            for p in range(a, b + 1):
-                                for c, v in zip(out, (1, int(w1[p]), int(w2[p]), k, t, o, p - int(begin[i]), None)):
-                                    c.append(v)
-                    if len(out[0]) > 5000:
-                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-                        out = [[] for _ in schema]
-            if out[0]:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                        row, split = i, batch.column("_t")[i].as_buffer().to_pybytes().split()
+                    found: dict[tuple[int, bytes], list[int]] = {}
+                    at = p1[hit] - begin[i]
+                    for x, a, b in zip(g[hit].tolist(), at.tolist(), (at + p2[hit] - p1[hit] + words).tolist()):
+                        found.setdefault((x, b" ".join(split[a:b])), []).append(a)
+                    n = len(found)
+                    yield pa.record_batch(
+                        [pa.array([x for x, _ in found], pa.int64()), *(pa.array(np.full(n, c[i])) for c in keys), pa.array(found.values(), pa.list_(pa.int32())),
+                         pa.array([c for _, c in found], pa.binary()).cast(pa.string())], schema=schema
+                    )
 
     return run
 
 
+def _few(batches: Iterator[pa.RecordBatch], least: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``least`` (the last one has what is left)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def locate(texts: list[str], low: np.ndarray, high: np.ndarray, words: int, most: int) -> np.ndarray:
     """For each text and window: the smallest id that has the window, _NONE where only one id has it.
 
@@ -223,16 +192,15 @@ def locate(texts: list[str], low: np.ndarray, high: np.ndarray, words: int, most
 
 
 def _shard(rows: pa.Table, words: int, most: int) -> pa.RecordBatch:
-    """Marks (first window, bits of the windows from there) of one shard's stretches."""
-    text = rows.column("c").combine_chunks().dictionary_encode()
-    code, ids = text.indices.to_numpy(), rows.column("ord").to_numpy()
-    low, high = np.full(len(text.dictionary), _NONE), np.full(len(text.dictionary), -_NONE - 1)
-    np.minimum.at(low, code, ids)
-    np.maximum.at(high, code, ids)
-    least = locate(text.dictionary.to_pylist(), low, high, words, most)
-    bits = ((least[code] < ids[:, None]) << np.arange(most)).sum(1)
-    hit = np.flatnonzero(bits)
-    return pa.record_batch({"_k": rows.column("_k").combine_chunks().take(pa.array(hit)), "_h": rows.column("_h").combine_chunks().take(pa.array(hit)), "at": rows.column("at").combine_chunks().take(pa.array(hit)), "bits": pa.array(bits[hit])})
+    """(anchor, s, lows) of the stretches of one shard that have a window of two documents."""
+    rows = rows.combine_chunks()
+    low, high = (rows.column(c).to_numpy() for c in ("low", "high"))
+    lows = locate(rows.column("c").to_pylist(), low, high, words, most)
+    hit = np.flatnonzero((lows < _NONE).any(1))
+    values = pa.array(lows[hit].ravel())
+    found = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1) * most, pa.int32()), values)
+    taken = rows.select(["anchor", "s", "n"]).take(pa.array(hit)).combine_chunks()
+    return pa.record_batch([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in taken.columns), found], ["anchor", "s", "n", "lows"])
 
 
 def _shards(words: int, gram: int):
@@ -263,24 +231,49 @@ def _shards(words: int, gram: int):
 
 
 def repeated_windows(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """(_k, _h, at, bits): the windows ``at`` + i of the document, for each bit i, also start in a document of a
-    smaller ``ord``. ``docs``: _k, _h, ord and the text _t."""
+    """(_k, _h, at, bits): the windows a + i of the document, for each a in ``at`` and bit i, also start in a document
+    of a smaller ``ord``. ``docs``: _k, _h, ord and the text _t."""
     if not 1 <= gram <= words or words - gram > 30:
         raise ValueError("gram has at least 1 and at most words words, and at most 30 fewer")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words - gram + 1
     anchors = in_arrow(docs.select("_t", "_k", "_h"), _anchor_rows(words, gram), "anchor bigint, _k bigint, _h bigint")
     dealt = anchors.repartitionByRange(parts, "anchor", "_k").sortWithinPartitions("anchor")
-    found = in_arrow(dealt, _recurring, "anchor bigint, _k bigint, _h bigint, kind int")
-    marks = found.groupBy("_k", "_h").agg(F.collect_set(F.struct("anchor", "kind")).alias("marks"))
-    cut = in_arrow(docs.join(marks, ["_k", "_h"]).select("_k", "_h", "ord", "_t", "marks"), _cut(words, gram), "way int, anchor bigint, other bigint, _k bigint, _h bigint, ord bigint, at int, c string")
-    cut = stage(cut, "phrase-cut")
-    cold = cut.where("way = 0").select("anchor", "_k", "_h", "ord", "at", "c").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    out = in_arrow(cold, _shards(words, gram), "_k bigint, _h bigint, at int, bits bigint")
-    hot = cut.where("way = 1").select("anchor", "other", "_k", "_h", "ord", "at")
-    least = hot.groupBy("anchor", "other").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.count("*").alias("w")).where("low < high")
-    least = stage(least.select("anchor", "other", "low", "w"), "phrase-hot")
-    met = spread_join(hot, least, ["anchor", "other"], "w").where("low < ord")
-    return out.unionByName(met.select("_k", "_h", "at", F.lit(1).cast("bigint").alias("bits")))
+    marks = in_arrow(dealt, _recurring, "anchor bigint, _k bigint, _h bigint").groupBy("_k", "_h").agg(F.collect_set("anchor").alias("marks"))
+    cut = _cut(words, gram)
+    held = in_arrow(docs.join(marks, ["_k", "_h"]).select("_k", "_h", "ord", "_t", "marks"), lambda batches: _few(cut(batches)), "anchor bigint, _k bigint, _h bigint, ord bigint, at array<int>, c string")
+    held = stage(held, "phrase-stretches")
+    release(docs.sparkSession)
+    distinct = held.groupBy("anchor", "c").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.count("*").alias("n"))
+    distinct = stage(distinct.withColumn("s", F.xxhash64("c")), "phrase-distinct")
+    release(docs.sparkSession)
+    per = stage(distinct.groupBy("anchor").agg(F.count("*").alias("w")).where("w > 1"), "phrase-anchors")
+    several, crowded = per.where(F.col("w") <= HOT).select("anchor"), per.where(F.col("w") > HOT).select("anchor")
+    # a stretch alone with its anchor is shared as a whole or not at all
+    windows = F.size(F.split("c", " ")) - words + 1
+    alone = distinct.join(small_side(per.select("anchor"), KEY_ROWS), "anchor", "left_anti").where("low < high").select("anchor", "s", "n", F.array_repeat("low", windows).alias("lows"))
+    lows = [alone]
+    if not crowded.isEmpty():  # at most one anchor in HOT stretches
+        lows.append(_one_by_one(distinct.join(small_side(crowded, KEY_ROWS), "anchor", "left_semi"), words))
+    dealt = distinct.join(small_side(several, KEY_ROWS), "anchor", "left_semi").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    lows.append(in_arrow(dealt, _shards(words, gram), "anchor bigint, s bigint, n bigint, lows array<bigint>"))
+    found = stage(reduce(DataFrame.unionByName, lows), "phrase-lows")
+    unstage(distinct)
+    release(docs.sparkSession)
+    met = spread_join(held.select("anchor", F.xxhash64("c").alias("s"), "_k", "_h", "ord", "at"), found, ["anchor", "s"], "n")
+    bit = lambda i: F.when(F.get("lows", F.lit(i)) < F.col("ord"), F.lit(1 << i)).otherwise(0)
+    return met.select("_k", "_h", "at", reduce(lambda a, b: a + b, map(bit, range(most))).cast("bigint").alias("bits")).where("bits > 0")
+
+
+def _one_by_one(stretched: DataFrame, words: int) -> DataFrame:
+    """What a shard would find, for stretches of crowded anchors: each window meets its smallest id by its text."""
+    split = F.split("c", " ")
+    windows = F.transform(F.sequence(F.lit(1), F.size(split) - words + 1), lambda i: F.array_join(F.slice(split, i, words), " "))
+    rows = stretched.select("anchor", "s", "n", "low", "high", F.posexplode(windows).alias("i", "window"))
+    least = rows.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("w")).where("least < most")
+    met = spread_join(rows, stage(least.select("window", "least", "w"), "phrase-windows"), ["window"], "w")
+    per = met.groupBy("anchor", "s", "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "least"))).alias("m"))
+    last = F.array_max(F.map_keys("m"))
+    return per.select("anchor", "s", "n", F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(_NONE))).alias("lows"))
 
 
 def _kept(words: int):
@@ -291,7 +284,8 @@ def _kept(words: int):
                 split = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 total.append(len(split))
                 if marks.is_valid:
-                    at, bits = (marks.values.field(c).to_numpy().astype(np.int64) for c in ("at", "bits"))
+                    places, bits = marks.values.field("at"), marks.values.field("bits").to_numpy()
+                    at, bits = places.flatten().to_numpy().astype(np.int64), np.repeat(bits, pc.list_value_length(places).to_numpy())
                     change = np.zeros(len(split) + 1, np.int64)
                     for i in range(int(bits.max()).bit_length()):
                         starts = at[(bits >> i) & 1 == 1] + i
@@ -315,7 +309,7 @@ def remove_phrases(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> Dat
         found = repeated_windows(source.select("_k", "_h", "ord", "_t"), words, gram)
         marks = stage(found.groupBy("_k", "_h").agg(F.collect_set(F.struct("at", "bits")).alias("marks")), "phrase-marks", keep=True)
     keys = small_side(marks.select("_k", "_h"), KEY_ROWS)
-    whole = source.join(keys, ["_k", "_h"], "left_anti").withColumn("marks", F.lit(None).cast("array<struct<at: int, bits: bigint>>"))
+    whole = source.join(keys, ["_k", "_h"], "left_anti").withColumn("marks", F.lit(None).cast("array<struct<at: array<int>, bits: bigint>>"))
     cut = source.join(keys, ["_k", "_h"], "left_semi").join(marks, ["_k", "_h"])
     columns = ["doc_id", "_t", "marks"]
     id_type = dict(source.dtypes)["doc_id"]

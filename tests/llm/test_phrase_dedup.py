@@ -61,10 +61,10 @@ def test_anchors_alone_are_dropped_and_edges_kept():
     import pyarrow as pa
 
     batch = lambda a: pa.record_batch({"anchor": pa.array(a, pa.int64()), "_k": pa.array(range(len(a)), pa.int64()), "_h": pa.array([0] * len(a), pa.int64())})
-    for cuts in ([9], [1, 8], [4, 5], [2, 2, 2, 3]):
+    for cuts in ([9], [1, 8], [4, 5], [2, 2, 2, 3], [1] * 9):
         values, batches = [1, 2, 3, 3, 4, 5, 5, 5, 6], []
         for n in cuts:
             batches.append(batch(values[:n]))
             values = values[n:]
-        got = sorted((r["anchor"], r["kind"]) for out in phrase_dedup._recurring(iter(batches)) for r in out.to_pylist())
-        assert got == [(1, 2), (3, 0), (3, 0), (5, 0), (5, 0), (5, 0), (6, 2)]
+        got = [r["anchor"] for out in phrase_dedup._recurring(iter(batches)) for r in out.to_pylist()]
+        assert got == [1, 3, 3, 5, 5, 5, 6]
