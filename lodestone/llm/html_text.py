@@ -2,12 +2,14 @@
 
 A page becomes a flat list of blocks: text between block-level tags, with its word count and the share of
 its words inside links. A block's features are these two, the same two of the blocks before and after it,
-and whether an enclosing element marks it as article or as page furniture. A decision tree, grown here on
-the labelled table below, decides which blocks are article text: inside an article by link densities, the
-block's and its neighbours', elsewhere by these and the word counts.
+whether it lies inside an article (1), outside the page's (0) or on a page without any (0.5), and how far an
+enclosing element marks it as page furniture. A decision tree, grown here on the labelled table below, decides
+which blocks are article text by link densities, word counts and the neighbours'.
 
-Any element can mark furniture, by its tag, class, id, role or hidden state; inside a text block, what an
-inline element (a span, a link) so marked holds is left out of the block.
+An element surely marks furniture (1) by its tag or hidden state, or by a class, id or role that is a name of
+furniture or made of such names and of words of layout only. A name that merely has such a part (notice-period,
+search-results-analysis) is a hint (0.5): there the tree goes by the block and its neighbours. Inside a text block,
+what an inline element (a span, a link) surely marked holds is left out of the block.
 
 Markup need not be well formed: unclosed and stray tags, unquoted attributes, truncated pages and broken
 character references are read as browsers read them. Comments, scripts, styles and the like never become
@@ -62,13 +64,16 @@ LABELLED = (
     (25, 0.0, 8, 0.0, 5, 0.6, 1, 0, 1), (80, 0.1, 60, 0.0, 3, 0.67, 1, 0, 1), (5, 0.0, 2, 0.0, 6, 0.5, 1, 0, 1), (40, 0.0, 5, 0.6, 30, 0.0, 1, 0, 1), (8, 0.0, 6, 0.6, 12, 0.0, 1, 0, 1),
     (2, 0.0, 4, 1.0, 5, 0.6, 1, 0, 1), (1, 0.0, 5, 0.6, 3, 1.0, 1, 0, 1), (18, 0.15, 5, 1.0, 4, 1.0, 1, 0, 1), (50, 0.2, 33, 0.0, 6, 0.67, 1, 0, 1),
     # pages without an article element: long text, and short text next to it
-    (70, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1), (35, 0.1, 6, 0.0, 60, 0.0, 0, 0, 1), (22, 0.0, 50, 0.0, 18, 0.0, 0, 0, 1), (16, 0.0, 30, 0.0, 4, 1.0, 0, 0, 1),
-    (8, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1), (6, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1), (5, 0.0, 44, 0.0, 80, 0.0, 0, 0, 1), (90, 0.2, 2, 1.0, 3, 1.0, 0, 0, 1),
-    (14, 0.0, 16, 0.0, 20, 0.0, 0, 0, 1),
-    # the rest of such pages: menus, bylines of boxes, copyright lines
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 1.0, 3, 1.0, 1, 1.0, 0, 0, 0), (5, 1.0, 4, 1.0, 20, 0.0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0),
-    (4, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0), (8, 0.6, 3, 0.5, 2, 1.0, 0, 0, 0), (6, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0), (12, 0.9, 6, 1.0, 5, 1.0, 0, 0, 0),
-    (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0), (7, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0),
+    (70, 0.0, 40, 0.0, 55, 0.0, 0.5, 0, 1), (35, 0.1, 6, 0.0, 60, 0.0, 0.5, 0, 1), (22, 0.0, 50, 0.0, 18, 0.0, 0.5, 0, 1), (16, 0.0, 30, 0.0, 4, 1.0, 0.5, 0, 1),
+    (8, 0.0, 3, 1.0, 70, 0.0, 0.5, 0, 1), (6, 0.0, 60, 0.0, 45, 0.0, 0.5, 0, 1), (5, 0.0, 44, 0.0, 80, 0.0, 0.5, 0, 1), (90, 0.2, 2, 1.0, 3, 1.0, 0.5, 0, 1),
+    (14, 0.0, 16, 0.0, 20, 0.0, 0.5, 0, 1),
+    # their headlines, and short or single blocks away from links
+    (4, 0.0, 0, 0.0, 60, 0.0, 0.5, 0, 1), (7, 0.0, 0, 0.0, 25, 0.0, 0.5, 0, 1), (5, 0.0, 2, 1.0, 48, 0.0, 0.5, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 1),
+    (3, 0.0, 2, 0.0, 4, 0.0, 0.5, 0, 1), (7, 0.0, 3, 0.0, 0, 0.0, 0.5, 0, 1), (3, 0.0, 0, 0.0, 5, 0.0, 0.5, 0, 1), (6, 0.0, 30, 0.0, 0, 0.0, 0.5, 0, 1), (2, 0.0, 9, 0.0, 7, 0.1, 0.5, 0, 1),
+    # the rest of such pages: menus, short lines among links
+    (1, 1.0, 1, 1.0, 1, 1.0, 0.5, 0, 0), (2, 1.0, 3, 1.0, 1, 1.0, 0.5, 0, 0), (5, 1.0, 4, 1.0, 20, 0.0, 0.5, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0.5, 0, 0),
+    (4, 0.0, 1, 1.0, 3, 0.0, 0.5, 0, 0), (8, 0.6, 3, 0.5, 2, 1.0, 0.5, 0, 0), (6, 0.0, 4, 1.0, 0, 0.0, 0.5, 0, 0), (12, 0.9, 6, 1.0, 5, 1.0, 0.5, 0, 0),
+    (5, 0.0, 1, 1.0, 2, 1.0, 0.5, 0, 0), (2, 0.0, 3, 1.0, 1, 1.0, 0.5, 0, 0),
     # marked furniture, whatever its length
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (12, 0.0, 5, 1.0, 9, 0.0, 0, 1, 0), (60, 0.0, 4, 1.0, 70, 0.0, 0, 1, 0), (9, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0),
     (25, 0.1, 50, 0.0, 8, 0.5, 1, 1, 0), (40, 0.0, 66, 0.0, 30, 0.0, 1, 1, 0), (5, 0.0, 7, 0.0, 90, 0.0, 1, 1, 0), (110, 0.0, 30, 0.0, 0, 0.0, 0, 1, 0),
@@ -76,12 +81,26 @@ LABELLED = (
     (2, 1.0, 60, 0.0, 50, 0.0, 1, 1, 0), (8, 0.5, 0, 0.0, 20, 0.0, 0, 1, 0), (14, 0.6, 30, 0.0, 52, 0.0, 1, 1, 0), (20, 0.5, 70, 0.0, 65, 0.0, 1, 1, 0), (9, 0.55, 60, 0.0, 45, 0.0, 1, 1, 0),
     (5, 0.6, 25, 0.0, 0, 0.0, 1, 1, 0), (30, 0.7, 12, 0.0, 40, 0.1, 0, 1, 0),
     # link lines of pages without an article element, next to text
-    (1, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0), (3, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0), (6, 1.0, 30, 0.0, 50, 0.0, 0, 0, 0), (4, 0.8, 44, 0.0, 0, 0.0, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 40, 0.0, 0.5, 0, 0), (3, 1.0, 0, 0.0, 60, 0.0, 0.5, 0, 0), (6, 1.0, 30, 0.0, 50, 0.0, 0.5, 0, 0), (4, 0.8, 44, 0.0, 0, 0.0, 0.5, 0, 0),
+    (5, 0.0, 44, 0.0, 80, 0.0, 0.5, 1, 0), (2, 1.0, 3, 1.0, 40, 0.0, 0.5, 1, 0), (60, 0.0, 4, 1.0, 70, 0.0, 0.5, 1, 0), (4, 0.0, 0, 0.0, 0, 0.0, 0.5, 1, 0),
+    # short lines of an article after long ones, and text after linked lines
+    (3, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1), (2, 0.0, 63, 0.0, 2, 0.0, 1, 0, 1), (5, 0.0, 55, 0.0, 3, 0.0, 1, 0, 1), (1, 0.0, 80, 0.0, 0, 0.0, 1, 0, 1), (30, 0.0, 12, 1.0, 0, 0.0, 1, 0, 1), (40, 0.0, 15, 1.0, 20, 0.0, 1, 0, 1),
+    (5, 0.0, 12, 1.0, 0, 0.0, 1, 0, 1), (4, 0.0, 9, 1.0, 3, 0.0, 1, 0, 1), (8, 0.05, 5, 1.0, 5, 1.0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (3, 0.1, 7, 0.9, 2, 0.8, 1, 0, 1), (60, 0.3, 50, 0.0, 45, 0.2, 1, 0, 1),
+    # a paragraph of an article that is one link, among text
+    (12, 1.0, 40, 0.0, 35, 0.0, 1, 0, 1), (9, 1.0, 20, 0.0, 50, 0.1, 1, 0, 1), (15, 0.95, 60, 0.0, 0, 0.0, 1, 0, 1), (22, 1.0, 6, 0.0, 44, 0.0, 1, 0, 1), (30, 1.0, 0, 0.0, 25, 0.0, 1, 0, 1), (10, 1.0, 0, 0.0, 0, 0.0, 1, 0, 1),
+    (10, 1.0, 9, 1.0, 11, 1.0, 1, 0, 0), (12, 1.0, 40, 0.0, 9, 1.0, 1, 0, 0), (9, 1.0, 10, 1.0, 40, 0.0, 1, 0, 0), (3, 1.0, 50, 0.0, 40, 0.0, 1, 0, 0),
+    # outside the article of a page that has one
+    (70, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0), (8, 0.0, 3, 1.0, 70, 0.0, 0, 0, 0), (4, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (35, 0.1, 6, 0.0, 60, 0.0, 0, 0, 0), (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0),
+    (12, 1.0, 40, 0.0, 35, 0.0, 0, 0, 0), (22, 0.0, 50, 0.0, 18, 0.0, 0, 0, 0), (4, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0), (16, 0.0, 30, 0.0, 4, 1.0, 0, 0, 0),
+    # under a name that hints at furniture: text is text, links and short lines among them are not
+    (40, 0.0, 60, 0.0, 30, 0.0, 1, 0.5, 1), (12, 0.0, 45, 0.0, 50, 0.0, 1, 0.5, 1), (80, 0.1, 0, 0.0, 0, 0.0, 1, 0.5, 1), (9, 0.0, 20, 0.0, 0, 0.0, 1, 0.5, 1), (25, 0.2, 6, 0.0, 12, 0.0, 1, 0.5, 1), (6, 0.0, 0, 0.0, 40, 0.0, 1, 0.5, 1),
+    (5, 1.0, 60, 0.0, 4, 1.0, 1, 0.5, 0), (3, 0.0, 50, 0.0, 40, 0.0, 1, 0.5, 1), (8, 0.75, 30, 0.0, 20, 0.0, 1, 0.5, 0), (2, 1.0, 20, 0.0, 30, 0.0, 1, 0.5, 0), (14, 0.6, 40, 0.0, 35, 0.0, 1, 0.5, 0), (4, 0.0, 5, 1.0, 3, 1.0, 1, 0.5, 0),
+    (50, 0.0, 40, 0.0, 30, 0.0, 0.5, 0.5, 1), (18, 0.0, 30, 0.0, 0, 0.0, 0.5, 0.5, 1), (4, 0.0, 60, 0.0, 30, 0.0, 0.5, 0.5, 1), (9, 1.0, 30, 0.0, 40, 0.0, 0.5, 0.5, 0), (40, 0.0, 60, 0.0, 30, 0.0, 0, 0.5, 0),
 )
 
 
 @cache
-def tree(depth: int = 6) -> tuple:
+def tree(depth: int = 10) -> tuple:
     """The decision tree grown on LABELLED by Gini impurity: (feature, threshold, low, high) or a label."""
     x, y = np.array([r[:-1] for r in LABELLED], float), np.array([r[-1] for r in LABELLED])
 
@@ -130,33 +149,49 @@ FURNITURE_NAME = {
 }
 
 
-def _marks(name: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
+#: Words of layout that names of furniture are made with.
+LAYOUT = {
+    "site", "page", "main", "top", "bottom", "left", "right", "upper", "lower", "global", "local", "primary", "secondary", "box", "bar", "list", "block", "area", "section", "container", "wrapper", "wrap", "inner", "outer", "content",
+    "item", "items", "link", "links", "button", "buttons", "post", "posts", "article", "articles", "form", "input", "field", "header", "title", "slot", "unit", "panel", "row", "col", "column", "group", "icon", "icons", "js", "c", "l", "m",
+}
+
+
+@cache
+def mark(name: str) -> float:
+    """How far a class, id or role marks furniture: 1 if it is made of names of furniture and words of layout, 0.5 if
+    it has such a part among others, else 0."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    named = [p in FURNITURE_NAME for p in parts]
+    return 0.0 if not any(named) else 1.0 if all(n or p in LAYOUT or p.isdigit() for n, p in zip(named, parts)) else 0.5
+
+
+def _marks(name: str, attrs: str, inside_article: bool) -> tuple[bool, float]:
     """(article, furniture) of an element."""
     article = name in ("article", "main")
-    furniture = name in FURNITURE_TAG or (name == "header" and not inside_article)
+    furniture = float(name in FURNITURE_TAG or (name == "header" and not inside_article))
     if attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                furniture = True
+                furniture = 1.0
             elif key != "aria-hidden" and name not in ("body", "html"):
-                words = set(re.split(r"[^a-z0-9]+", value))
-                furniture |= not words.isdisjoint(FURNITURE_NAME) and not article
+                if not article:
+                    furniture = max([furniture, *(mark(t) if len(t) <= 100 else 0.0 for t in value.split())])
                 article |= key == "role" and value == "main"
     return article, furniture
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, share of linked words, inside an article, inside furniture) by block.
+def blocks(page: str) -> list[tuple[str, float, bool, float]]:
+    """(text, share of linked words, inside an article, mark of furniture) by block.
 
     The stack holds block elements and the inline ones that are marked; ``inside`` counts the open articles,
     the furniture and the marked inline elements among them, ``opened`` the open elements by name."""
-    out: list[tuple[str, float, bool, bool]] = []
+    out: list[tuple[str, float, bool, float]] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, float, bool]] = []
     opened: dict[str, int] = {}
-    inside = [0, 0, 0]
+    inside = [0, 0, 0, 0]
     link = 0
 
     def say(part: str) -> None:
@@ -170,23 +205,25 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             words = html.unescape("".join(text)).split()
             if words:
                 inner = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append((" ".join(words), min(1.0, inner / len(words)), inside[0] > 0, inside[1] > 0))
+                out.append((" ".join(words), min(1.0, inner / len(words)), inside[0] > 0, 1.0 if inside[1] else 0.5 if inside[3] else 0.0))
             text.clear()
             linked.clear()
 
-    def push(name: str, article: bool, furniture: bool, inline: bool) -> None:
+    def push(name: str, article: bool, furniture: float, inline: bool) -> None:
         stack.append((name, article, furniture, inline))
         opened[name] = opened.get(name, 0) + 1
         inside[0] += article
-        inside[1] += furniture and not inline
-        inside[2] += furniture and inline
+        inside[1] += furniture == 1 and not inline
+        inside[2] += furniture == 1 and inline
+        inside[3] += furniture == 0.5 and not inline
 
     def pop() -> str:
         name, article, furniture, inline = stack.pop()
         opened[name] -= 1
         inside[0] -= article
-        inside[1] -= furniture and not inline
-        inside[2] -= furniture and inline
+        inside[1] -= furniture == 1 and not inline
+        inside[2] -= furniture == 1 and inline
+        inside[3] -= furniture == 0.5 and not inline
         return name
 
     i, n = 0, len(page)
@@ -238,8 +275,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                 if stack and stack[-1][3] and stack[-1][0] == name:
                     pop()
             elif name not in VOID and not attrs.endswith("/"):
-                furniture = bool(attrs) and _marks(name, attrs, True)[1]
-                if furniture or (opened.get(name) and stack[-1][3]):  # the second: so that its end is not taken for the marked one's
+                furniture = _marks(name, attrs, True)[1] if attrs else 0.0
+                if furniture == 1 or (opened.get(name) and stack[-1][3]):  # the second: so that its end is not taken for the marked one's
                     push(name, False, furniture, True)
         else:
             close()
@@ -262,11 +299,12 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     size = [len(b[0].split()) for b in found]
+    page_has = any(b[2] for b in found)
     keep = []
     for k, (text, links, article, furniture) in enumerate(found):
         before = (size[k - 1], found[k - 1][1]) if k else (0, 0.0)
         after = (size[k + 1], found[k + 1][1]) if k + 1 < len(found) else (0, 0.0)
-        if is_article((size[k], links, *before, *after, int(article), int(furniture))):
+        if is_article((size[k], links, *before, *after, float(article) if page_has else 0.5, furniture)):
             keep.append(text)
     return "\n".join(keep)
 

@@ -32,6 +32,14 @@ def test_tree_fits_its_table():
         ("<article><p>Name <label>Field</label><input name=q> after</p><table><tr><td class=ad>" + LONG + "<td>cell<tr><td>more</table></article>", "Name\nafter\ncell\nmore"),
         ("<article><p>" + LONG + "</p><p>see <a href=x>the other report</a> too</p><p>" + LONG + "</p></article>", LONG + "\nsee the other report too\n" + LONG),
         ("<article><p>" + LONG + "</p><p><a>One two three</a> 3 May</p><p><a>Two x more</a> 4 May</p><p><a>Three and more</a> 5 May</p></article>", LONG),
+        ("<article><p class='notice-period'>The period is three months</p><section class='search-results-analysis'><p>" + LONG + "</p></section></article>", "The period is three months\n" + LONG),
+        ("<article><p>" + LONG + "</p><p><a href=x>" + LONG + "</a></p><p>" + LONG + "</p></article>", LONG + "\n" + LONG + "\n" + LONG),
+        ("<body><h1>A headline</h1><p>" + LONG + "</p></body>", "A headline\n" + LONG),
+        ("<body><p>Only one short paragraph.</p></body>", "Only one short paragraph."),
+        ("no tags at all", "no tags at all"),
+        ("<article><p>One</p><div class='related-posts'><p>" + LONG + "</p></div><div class='site-nav_list'>x</div><div id='ad-slot-3'>" + LONG + "</div><p class='c-share__buttons'>Tell all</p></article>", "One"),
+        ("<article><p>" + LONG + "</p><div class='promo-story'><a href=x>See</a> <a href=y>more</a></div><div class='social-history'>" + LONG + "</div></article>", LONG + "\n" + LONG),
+        ("<p>" + LONG + "</p><article><p>In</p></article><p>" + LONG + "</p>", "In"),
     ],
 )
 def test_pages(page, text):
