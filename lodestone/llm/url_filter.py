@@ -19,7 +19,7 @@ host costs its distinct templates, not its urls.
 
 * A null url, or one without "://": host and path are empty, no rule fits and, without labels, the verdict is allow.
 * Repeated rows are judged alike; empty tables give empty results; extra columns are ignored.
-* Very long urls are read whole, at any depth; one level of the tree is one aggregation.
+* Very long urls are read whole, at any depth: the tree takes as many rounds as one path has forks.
 * Ties between rules of one length cannot fit one url unless equal; the first listed wins.
 """
 
@@ -70,30 +70,45 @@ def segment_kind(segment: Column) -> Column:
     )
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix of two arrays."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
+
+
 def tree(counts: DataFrame, z: float = 3.0, variable: int = 8) -> DataFrame:
     """(host, segments, template, n, b): the merged tree with the labelled and the blocked urls of each template,
     one row for each branch before merging. ``counts`` has host, segments (generalised, all of them), n and b.
-    Level by level, rows leave the tree where their path ends or no other shares their branch, so the levels
-    worked on are those of the longest shared prefix."""
-    rows, ended, k = stage(counts.withColumn("template", F.col("host")), "url-templates"), [], 0
+
+    A round takes every template to its next fork and decides its branches there. On the way to the fork there is one
+    branch a level, which is kept where it has no labels and merged where it has, so these levels need no round:
+    what lies before the fork is the common prefix of the template's least and greatest rest of path. There are as
+    many rounds as forks on one path, however deep the paths go, and a path that shares no fork any more ends."""
+    rows, ended, k = stage(counts.withColumn("template", F.col("host")).withColumn("k", F.lit(0)), "url-templates"), [], 0
     while True:
+        rest = F.slice("segments", F.col("k") + 1, F.greatest(F.size("segments") - F.col("k"), F.lit(0)))
+        group = rows.groupBy("template").agg(F.min(rest).alias("least"), F.max(rest).alias("most"), F.sum("n").alias("all_n"), F.count("*").alias("rows"))
+        labels = F.col("all_n") > 0
+        trunk = F.array_join(F.transform(F.slice("least", F.lit(1), F.col("shared")), lambda x: F.concat(F.lit("/"), F.when(labels, "*").otherwise(x))), "")
+        group = group.withColumn("shared", _shared(F.col("least"), F.col("most"))).select("template", "shared", trunk.alias("trunk"), (F.col("rows") == 1).alias("alone"))
+        moved = rows.join(small_side(stage(group, f"url-group{k}")), "template")
+        moved = moved.select("host", "segments", "n", "b", F.concat("template", "trunk").alias("template"), (F.col("k") + F.col("shared")).alias("k"), "alone")
+        ended.append(moved.where("alone").select("host", "segments", "n", "b", "template"))
         # a path that has ended takes part once more, as the branch ""
-        level = rows.withColumn("at", F.coalesce(F.get("segments", F.lit(k)), F.lit("")))
-        branch = level.groupBy("template", "at").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("rows"))
-        around = branch.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count("*").alias("width"), (F.sum("rows") == 1).alias("alone"))
+        level = stage(moved.where("not alone").drop("alone").withColumn("at", F.coalesce(F.get("segments", F.col("k")), F.lit(""))), f"url-level{k}")
+        if level.isEmpty():
+            break
+        branch = level.groupBy("template", "at").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        around = branch.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count("*").alias("width"))
         rate = F.try_divide("all_b", "all_n")
         apart = F.abs(F.try_divide("b", "n") - rate) > z * F.sqrt(F.try_divide(rate * (1 - rate), "n"))
         unknown = (F.col("n") == 0) & (F.col("width") < variable)
         keep = unknown | F.coalesce(apart, F.lit(False))
         name = F.when(F.col("at") == "", "").otherwise(F.concat(F.lit("/"), F.when(keep, F.col("at")).otherwise("*")))
-        named = branch.join(small_side(stage(around, f"url-around{k}")), "template").select("template", "at", name.alias("name"), "alone")
-        # without siblings every further level is kept where it has no labels and merged where it has
-        rest = F.slice("segments", k + 2, F.greatest(F.size("segments") - (k + 1), F.lit(0)))
-        rest = F.when(F.col("alone"), F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), F.when(F.col("n") == 0, x).otherwise("*"))), "")).otherwise("")
-        text = F.concat("template", "name", rest)
-        done = F.col("alone") | (F.size("segments") <= k)
-        rows = stage(level.join(named, ["template", "at"]).select("host", "segments", "n", "b", text.alias("template"), done.alias("done")), f"url-{k + 1}")
-        ended.append(rows.where("done").drop("done"))
+        named = branch.join(small_side(stage(around, f"url-around{k}")), "template").select("template", "at", name.alias("name"))
+        rows = level.join(named, ["template", "at"]).select("host", "segments", "n", "b", F.concat("template", "name").alias("template"), (F.col("k") + 1).alias("k"), (F.col("at") == "").alias("done"))
+        rows = stage(rows, f"url-{k + 1}")
+        ended.append(rows.where("done").select("host", "segments", "n", "b", "template"))
         rows, k = rows.where("not done").drop("done"), k + 1
         if rows.isEmpty():
             break

@@ -134,6 +134,45 @@ def test_tree_matches_brute_force_and_evidence_reaches_unruled_hosts(spark):
     assert {verdicts[u] for u in bad} == {"block"} and {verdicts[u] for u in good} == {"allow"}
 
 
+def test_deep_paths_take_as_many_rounds_as_forks(spark):
+    """60 and 2,000 shared segments; a fork a level is slow, no fork is not."""
+    import time
+
+    deep, very = "/".join(f"s{i}" for i in range(60)), "/".join(f"v{i}" for i in range(2000))
+    urls = [f"http://a.org/{deep}/{x}" for x in "xyz"] + [f"http://b.org/{very}/{x}" for x in "xy"] + [f"http://b.org/{very}"]
+    urls += [f"http://example.com/en/{deep}/{x}" for x in "pq"] + ["http://a.org/s0/s1"]
+    df = spark.createDataFrame([(i, u, "", "") for i, u in enumerate(urls)], SCHEMA)
+    judge_urls(df.limit(2)).collect()  # compiles
+    start = time.perf_counter()
+    got = {r.page_id: r for r in judge_urls(df).collect()}
+    assert time.perf_counter() - start < 60
+    counts = {}
+    for r in got.values():
+        key = (r.host, tuple(r.path.strip("/").split("/")))
+        n, b = counts.get(key, (0, 0))
+        counts[key] = (n + (r.rule is not None), b + (r.rule == "example.com/en/"))
+    kinds = {k: tuple("{n}" if x.isdigit() else x for x in k[1]) for k in counts}
+    want = brute_templates({(k[0], kinds[k]): v for k, v in counts.items()}, 8)
+    for r in got.values():
+        assert r.template == want[r.host, kinds[r.host, tuple(r.path.strip("/").split("/"))]][0]
+
+
+def test_forks_of_many_depths_match_brute_force(spark):
+    rng = random.Random(12)
+    urls = {f"http://{rng.choice('ab')}.{rng.choice(['com', 'net', 'org'])}/" + "/".join(rng.choice(["es", "p", "q", "r", "7"]) for _ in range(rng.randrange(9))) for _ in range(150)}
+    urls = sorted(urls)
+    rules = (("block", "net/es/"), ("allow", "com/p/"), ("block", "a.com/q/"))
+    got = judge_urls(spark.createDataFrame([(i, u, "", "") for i, u in enumerate(urls)], SCHEMA), rules).collect()
+    counts = {}
+    for r in got:
+        key = (r.host, tuple("{n}" if x.isdigit() else x for x in r.path.strip("/").split("/") if x))
+        n, b = counts.get(key, (0, 0))
+        counts[key] = (n + (r.rule is not None), b + (r.rule is not None and ("block", r.rule) in rules))
+    want = brute_templates(counts, 8)
+    for r in got:
+        assert r.template == want[r.host, tuple("{n}" if x.isdigit() else x for x in r.path.strip("/").split("/") if x)][0]
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None)]])
 def test_edges(spark, rows):
     assert len(judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()) == len(rows)
