@@ -12,6 +12,8 @@ Documents do not move and no document's result depends on another's.
 * Null and empty texts have no words and no hits. Items without words (or null) have no windows.
 * Items with one id are one item; a null item_id is listed as "null". Repeated rows are judged alike.
 * Empty tables give empty results or no hits. Extra columns are ignored.
+* Very long texts are read whole, word by word, in memory that grows with the text and not with its square. Ties:
+  items that share a window are all counted where it occurs, and listed by id as text.
 """
 
 from __future__ import annotations
@@ -240,7 +242,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, dr
     """The rows of ``docs`` with matched spans cut out of the text; rows whose hit words exceed
     ``drop_coverage`` of all words go. Rows without hits stay as they are, byte for byte; n_chars, if there,
     follows the text. All blocks scan the original text; coverage is tested and the text cut once, by their
-    merged spans, so the number of blocks does not change the result."""
+    merged spans, so the number of blocks does not change the result. Null and empty texts, and very long ones
+    without hits, stay as they are; rows that repeat are cut alike; an empty benchmark changes nothing."""
     sc = docs.sparkSession.sparkContext
     blocks = item_blocks(benchmark, "item_id", "text")
     out, block = docs, next(blocks)
