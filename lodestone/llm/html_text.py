@@ -86,6 +86,11 @@ LABELLED = (
     # short lines of an article after long ones, and text after linked lines
     (3, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1), (2, 0.0, 63, 0.0, 2, 0.0, 1, 0, 1), (5, 0.0, 55, 0.0, 3, 0.0, 1, 0, 1), (1, 0.0, 80, 0.0, 0, 0.0, 1, 0, 1), (30, 0.0, 12, 1.0, 0, 0.0, 1, 0, 1), (40, 0.0, 15, 1.0, 20, 0.0, 1, 0, 1),
     (5, 0.0, 12, 1.0, 0, 0.0, 1, 0, 1), (4, 0.0, 9, 1.0, 3, 0.0, 1, 0, 1), (8, 0.05, 5, 1.0, 5, 1.0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (3, 0.1, 7, 0.9, 2, 0.8, 1, 0, 1), (60, 0.3, 50, 0.0, 45, 0.2, 1, 0, 1),
+    # half-linked lines after text, with more of them to follow
+    (5, 0.6, 19, 0.0, 5, 0.6, 1, 0, 0), (5, 0.6, 8, 0.0, 6, 0.5, 1, 0, 0), (6, 0.6, 15, 0.0, 6, 0.7, 1, 0, 0), (4, 0.5, 12, 0.0, 5, 0.6, 1, 0, 0), (6, 0.5, 23, 0.0, 4, 0.75, 1, 0, 0), (5, 0.6, 3, 0.0, 5, 0.8, 1, 0, 0),
+    (4, 0.5, 10, 0.0, 30, 0.0, 1, 0, 1), (5, 0.6, 18, 0.0, 0, 0.0, 1, 0, 1), (6, 0.5, 22, 0.0, 19, 0.1, 1, 0, 1), (5, 0.5, 4, 0.0, 12, 0.0, 1, 0, 1),
+    (19, 0.0, 2, 1.0, 0, 0.0, 1, 0.5, 1), (30, 0.0, 5, 1.0, 40, 0.0, 1, 0.5, 1), (12, 0.0, 3, 1.0, 6, 1.0, 1, 0.5, 1), (15, 0.1, 4, 1.0, 20, 0.0, 1, 0.5, 1),
+    (2, 0.5, 20, 0.0, 30, 0.0, 1, 0.5, 0), (5, 0.6, 15, 0.0, 20, 0.0, 1, 0.5, 0),
     # a paragraph of an article that is one link, among text
     (12, 1.0, 40, 0.0, 35, 0.0, 1, 0, 1), (9, 1.0, 20, 0.0, 50, 0.1, 1, 0, 1), (15, 0.95, 60, 0.0, 0, 0.0, 1, 0, 1), (22, 1.0, 6, 0.0, 44, 0.0, 1, 0, 1), (30, 1.0, 0, 0.0, 25, 0.0, 1, 0, 1), (10, 1.0, 0, 0.0, 0, 0.0, 1, 0, 1),
     (10, 1.0, 9, 1.0, 11, 1.0, 1, 0, 0), (12, 1.0, 40, 0.0, 9, 1.0, 1, 0, 0), (9, 1.0, 10, 1.0, 40, 0.0, 1, 0, 0), (3, 1.0, 50, 0.0, 40, 0.0, 1, 0, 0),
@@ -199,6 +204,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, float]]:
             text.append(part)
             if link:
                 linked.append(part)
+            elif linked and (not part.strip() or part[:1].isspace() or part[-1:].isspace()):
+                linked.append(" ")  # what stands between two links keeps their words apart
 
     def close() -> None:
         if text:

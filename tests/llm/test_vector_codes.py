@@ -36,6 +36,8 @@ def brute(rows, parts, rounds=6, entries=16, scale=4096):
     label = {}
     for r, e in zip(ok, errors):
         label[r[2]] = label.get(r[2], 0) + e
+    top = (1 << 63) - 1
+    errors, label = [min(e, top) for e in errors], {k: min(v, top) for k, v in label.items()}
     sha = hashlib.sha256(",".join(map(str, books)).encode()).hexdigest()
     return sorted(((r[0], r[2], tuple(c), "".join(f"{k:02x}" for k in c), e, label[r[2]], sha) for r, c, e in zip(ok, codes, errors)), key=repr)
 
