@@ -9,7 +9,7 @@ Equal patterns and rows that fit the same patterns of a case are one node with a
 a case are its distinct patterns and the distinct sets of patterns that rows fit, however many rows the case has.
 
 * Integers and numbers are equal by value, other values by type and text. Nulls equal only nulls of the same type.
-* A pattern without values fits every row. A case without patterns is met.
+* A pattern without values fits every row. A case without patterns is met and not listed.
 * ``exact`` also asks for as many rows as patterns.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,13 +83,35 @@ def row_sets(results: DataFrame, patterns: DataFrame, exact: bool = False) -> Da
     nodes = named.select("case", F.array("name").alias("names"), F.col("copies").alias("n"), F.lit(True).alias("wanted")).unionByName(groups.withColumn("wanted", F.lit(False)))
     case_type = dict(patterns.dtypes)["case"]
 
-    def match(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        f = frames
-        want = {r.names[0]: int(r.n) for r in f[f.wanted].itertuples()}
-        rows = {tuple(r.names): int(r.n) for r in f[~f.wanted].itertuples()}
-        return pd.DataFrame({"case": f["case"].iloc[:1], "patterns": [sum(want.values())], "matched": [feasible(want, rows)]})
-
-    found = nodes.groupBy("case").applyInPandas(match, f"case {case_type}, patterns bigint, matched bigint")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nodes come sorted by case; a case is decided when the next one begins."""
+        out: list[tuple] = []
+        case, want, rows = None, {}, {}
+
+        def decided() -> None:
+            if want:
+                out.append((case, sum(want.values()), feasible(want, rows)))
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [(), (), ()]
+            return pa.record_batch([pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["case", "patterns", "matched"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("case").type
+            for c, names, n, wanted in zip(*(batch.column(x).to_pylist() for x in ("case", "names", "n", "wanted"))):
+                if c != case:
+                    decided()
+                    case, want, rows = c, {}, {}
+                (want if wanted else rows)[names[0] if wanted else tuple(names)] = n
+            yield batch_of()
+            out.clear()
+        if kind is not None:
+            decided()
+            yield batch_of()
+
+    dealt = nodes.repartition("case").sortWithinPartitions("case")
+    found = dealt.select("case", "names", "n", "wanted").mapInArrow(match, f"case {case_type}, patterns bigint, matched bigint")
     counts = results.groupBy("case").agg(F.count("*").alias("rows"))
     out = found.where("patterns > 0").join(counts, "case", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     met = (F.col("matched") == F.col("patterns")) & (~F.lit(exact) | (F.col("rows") == F.col("patterns")))

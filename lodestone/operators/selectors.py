@@ -140,6 +140,20 @@ def table_slice(rows: Column, a1: Column) -> Column:
     return F.transform(cut(rows, b["min_row"], b["max_row"]), lambda r: cut(r, b["min_col"], b["max_col"]))
 
 
+def range_problem(sheets: Column, sheet: Column, a1: Column, row_start: Column, row_end: Column, observed: Column) -> Column:
+    """Null if a cited table range reopens: one sheet has the name, the row bounds are those of the A1 range, the
+    range lies in the sheet, and its cells are the observed values. ``sheets``: array of (name, rows of cells)."""
+    named = F.filter(sheets, lambda s: s["name"] == sheet)
+    bounds, rows = a1_bounds(a1), F.get(named, F.lit(0))["rows"]
+    return (
+        F.when(F.coalesce(F.size(named), F.lit(0)) != 1, "sheet_not_unique")
+        .when(bounds.isNull(), "bad_range")
+        .when(~F.coalesce((bounds["min_row"] == row_start) & (bounds["max_row"] == row_end), F.lit(False)), "bounds_disagree")
+        .when((F.size(rows) < row_end) | F.exists(table_slice(rows, a1), lambda r: F.size(r) < bounds["max_col"] - bounds["min_col"] + 1), "range_outside")
+        .when(~table_slice(rows, a1).eqNullSafe(observed), "values_differ")
+    )
+
+
 def media_problem(source: Column, digest: Column, duration: Column, start: Column, end: Column) -> Column:
     """Null if a media span lies in its duration and points at these bytes."""
     inside = (duration > 0) & (start >= 0) & (end > start) & (end <= duration)
