@@ -156,7 +156,7 @@ def test_units_are_the_text(spark):
 def test_units_know_their_kind_and_pages():
     got = list(units("one\n\ntwo\n\fthree\nfour\n" + "five six\n" * 12, 60, 40))
     assert [(u["kind"], u["page_start"]) for u in got][:4] == [("source", 1), ("block", 1), ("page", 2), ("continuation", 2)]
-    assert [u["kind"] for u in units("a\f\nb\n\nc")] == ["source", "page", "block"] and [u["page_start"] for u in units("no pages\n\nhere")] == [None, None]
+    assert [u["kind"] for u in units("a\fb\n\nc")] == ["source", "page", "block"] and [u["page_start"] for u in units("no pages\n\nhere")] == [None, None]
 
 
 # --- obligations
