@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of ``documents``.
+
+Null and empty texts go through every stage as documents without words; rows that repeat are treated alike, except
+that near duplicates keep one of them; very long texts are read whole; an empty table stays empty; extra columns,
+whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
