@@ -6,7 +6,7 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,7 +92,31 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def token_counts(text: Column) -> Column:
     """Lower-cased white-space tokens."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+
+
+def runs(values: Column) -> Column:
+    """(kinds, most) of an array without nulls: its different values and the count of the most frequent, from the runs of the sorted array."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("kinds"))
+
+    def step(s, v):
+        same = s["last"].eqNullSafe(v)
+        run = F.when(same, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(v.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"), F.when(same, s["kinds"]).otherwise(s["kinds"] + 1).alias("kinds"))
+
+    return F.aggregate(F.sort_array(values), start, step, lambda s: F.struct(s["kinds"].cast("bigint").alias("kinds"), s["most"].cast("bigint").alias("most")))
+
+
+def multiset_sizes(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, tokens, kinds, most) of each key with tokens: how many, how many different, the count of the most frequent.
+
+    Tokens are counted inside the row and only the counts move; rows that share a key are counted word by word."""
+    words = rows.select(key, token_counts(text).alias("_w"))
+    counts = words.select(key, F.size("_w").cast("bigint").alias("tokens"), runs(F.col("_w")).alias("_r")).select(key, "tokens", "_r.*")
+    alone = counts.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("tokens", "kinds", "most")]).where("_n = 1 and tokens > 0").drop("_n")
+    shared = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
+    each = words.join(shared, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(key, F.explode("_w").alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    return alone.unionByName(each.groupBy(key).agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds"), F.max("n").alias("most")))
 
 
 def char_error_rate(truth: Column, observed: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder the session names (a temporary one only in local mode if it names none)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -22,10 +22,10 @@ def _cut(df: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth): distinct nodes reached along src -> dst within ``depth`` steps, each at every
     depth it is met. Each step is deduplicated, so parallel edges and diamonds do not multiply rows."""
-    level = _cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
+    level = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
     out = level
     for d in range(1, depth + 1):
-        level = _cut(level.join(edges, level.node == edges.src).select("start", F.col("dst").alias("node"), F.lit(d).alias("depth")).distinct())
+        level = cut(level.join(edges, level.node == edges.src).select("start", F.col("dst").alias("node"), F.lit(d).alias("depth")).distinct())
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -33,14 +33,25 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): least node of each connected component of src - dst."""
-    e = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    label = _cut(e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
-    while True:
-        near = e.join(label, e.dst == label.node).groupBy("src").agg(F.min("component").alias("m"))
-        new = label.join(near, label.node == near.src).select("node", "component", F.least("component", "m").alias("h"))
-        up = label.select(F.col("node").alias("u"), F.col("component").alias("c"))
-        new = _cut(new.join(up, new.h == up.u).select("node", "component", F.least("h", "c").alias("new")))
-        if new.where("new <> component").isEmpty():
-            return label
-        label = new.select("node", F.col("new").alias("component"))
+    """(node, component): least node of each connected component of src - dst; loops give no node.
+
+    Rounds of contraction: each node takes its least neighbour if that is smaller and follows such choices up to four
+    steps; the edges move to where their ends went, with a link for each end of a walk that goes on. Edges within one
+    end leave, so the edges shrink with every round instead of being read whole. A hub costs one combined minimum."""
+    e, went = cut(edges.select("src", "dst").where("src <> dst")), []
+    while not went or not e.isEmpty():
+        both = e.union(e.select("dst", "src"))
+        up = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("top")))
+        end = up
+        for k in range(3):
+            end = end.join(up.toDF(f"n{k}", f"t{k}"), F.col("top") == F.col(f"n{k}")).select("node", F.col(f"t{k}").alias("top"))
+        end = cut(end)
+        went.append(end)
+        src, dst, on = end.toDF("src", "a"), end.toDF("dst", "b"), end.toDF("on", "b")
+        moved = e.join(src, "src").join(dst, "dst").select("a", "b")
+        walks = end.select(F.col("top").alias("a")).distinct().join(on, F.col("a") == F.col("on")).select("a", "b")
+        e = cut(moved.union(walks).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    label = went[0].toDF("node", "component")
+    for end in went[1:]:
+        label = label.join(end.toDF("at", "to"), F.col("component") == F.col("at"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    return label

@@ -11,21 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _cut
+from .graph import cut
 
 
 def inherited(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): the seeds and every node that is reached from them along ``edges`` (src -> dst), each once.
 
     Cycles end, as a node is added once. Null nodes are none."""
-    found = _cut(seeds.select("node").where("node is not null").distinct())
+    found = cut(seeds.select("node").where("node is not null").distinct())
     new = found
     while True:
         step = new.join(edges.select("src", "dst").where("dst is not null"), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = _cut(step.join(found, "node", "left_anti"))
+        new = cut(step.join(found, "node", "left_anti"))
         if new.isEmpty():
             return found
-        found = _cut(found.unionByName(new))
+        found = cut(found.unionByName(new))
 
 
 def coverage(evidence: DataFrame, lineage: DataFrame, inside: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def current(revisions: DataFrame, id_col: str, supersedes_col: str) -> DataFrame:
     """Revisions that no other revision supersedes."""
@@ -52,38 +54,75 @@ def other_end(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return edges.select(F.col(src).alias("node"), F.col(dst).alias("other")).unionByName(edges.select(F.col(dst).alias("node"), F.col(src).alias("other")))
 
 
-def shared_pairs(items: DataFrame, item: str, feature: str, min_shared: int, min_jaccard: float) -> DataFrame:
+def shared_pairs(items: DataFrame, item: str, feature: str, min_shared: int, min_jaccard: float, hot: int = 1000) -> DataFrame:
     """Pairs of items with at least ``min_shared`` common features or Jaccard >= ``min_jaccard``.
-    ``items`` has one row per item and distinct feature; pairs come from an equi-join on the feature."""
-    sizes = items.groupBy(item).agg(F.count("*").alias("_n"))
-    a = items.select(F.col(item).alias("a"), feature)
-    b = items.select(F.col(item).alias("b"), feature)
-    both = a.join(b, feature).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    both = both.join(sizes.select(F.col(item).alias("a"), F.col("_n").alias("na")), "a").join(sizes.select(F.col(item).alias("b"), F.col("_n").alias("nb")), "b")
+    ``items`` has one row per item and distinct feature; pairs come from an equi-join on the feature.
+
+    A partner of an item of n features shares at least ``need`` = min(min_shared, ceil(min_jaccard * n)) of them, so
+    the item's need - 1 most frequent features make no pair alone. Those that more than ``hot`` items have are its
+    tail: two tails do not meet in the join, what they share is counted from the tails of a pair that met elsewhere.
+    So a feature in the tail of all its items meets none. ``hot`` decides the plan, not the rows."""
+    rows = cut(items.select(F.col(item).alias("_i"), F.col(feature).alias("_f")))
+    sizes = rows.groupBy("_i").agg(F.count("*").alias("_n"))
+    often = rows.groupBy("_f").agg(F.count("*").alias("_c")).where(F.col("_c") > hot)
+    if often.isEmpty():
+        met = rows.toDF("a", "_f").join(rows.toDF("b", "_f"), "_f").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
+        met = met.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").withColumnRenamed("met", "shared")
+    else:
+        met = _met_by_heads(rows, sizes, often, min_shared, min_jaccard)
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return both.select("a", "b", "shared", jaccard.alias("jaccard")).where((F.col("shared") >= min_shared) | (F.col("jaccard") >= min_jaccard))
-
-
-def upper_median(rows: DataFrame, col: str):
-    """The value at place n // 2 of the sorted non-null values, as a scalar (null if there are none).
-
-    Two passes without a global sort: counts by value, then a range-partitioned running total."""
-    counts = rows.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    if total is None:
-        return None
-    part = counts.repartitionByRange(col).withColumn("_p", F.spark_partition_id())
-    part = part.persist()
-    try:
-        before, target = 0, total // 2 + 1
-        for r in part.groupBy("_p").agg(F.sum("n").alias("n")).orderBy("_p").collect():  # one row per partition
-            if before + r.n >= target:
-                w = Window.orderBy(col)
-                inside = part.where(F.col("_p") == r["_p"]).withColumn("_upto", F.sum("n").over(w))
-                return inside.where(F.col("_upto") >= target - before).agg(F.min(col)).first()[0]
-            before += r.n
-    finally:
-        part.unpersist()
+    return met.select("a", "b", "shared", jaccard.alias("jaccard")).where((F.col("shared") >= min_shared) | (F.col("jaccard") >= min_jaccard))
+
+
+def _met_by_heads(rows: DataFrame, sizes: DataFrame, often: DataFrame, min_shared: int, min_jaccard: float) -> DataFrame:
+    """(a, b, na, nb, shared) of all pairs that meet by a feature outside one's tail."""
+    # the most frequent of an item, first among slices of it, so that no item's rows meet in one task
+    slices = Window.partitionBy("_i", F.pmod(F.hash("_f"), F.lit(32))).orderBy(F.desc("_c"), F.desc("_f"))
+    top = rows.join(often, "_f").withColumn("_k", F.row_number().over(slices)).where(F.col("_k") < min_shared)
+    top = top.groupBy("_i").agg(F.sort_array(F.collect_list(F.struct("_c", "_f")), asc=False).alias("_t"))
+    need = F.greatest(F.lit(1), F.least(F.lit(min_shared), F.ceil(F.lit(float(min_jaccard)) * F.col("_n") - 1e-9))).cast("int")
+    tails = top.join(sizes, "_i").select("_i", F.slice(F.col("_t")["_f"], F.lit(1), need - 1).alias("_t"))
+    tail = tails.select("_i", F.explode("_t").alias("_f"), F.lit(True).alias("_tail"))
+    sides = rows.join(tail, ["_i", "_f"], "left").join(often.select("_f", F.lit(True).alias("_hot")), "_f", "left")
+    # ways to meet: 0 head to head, 1 tail to head, 2 head to tail
+    ways = lambda as_tail, as_head: F.explode(F.when(F.col("_tail"), F.array(F.lit(as_tail))).when(F.col("_hot"), F.array(F.lit(0), F.lit(as_head))).otherwise(F.array(F.lit(0))))
+    a = sides.select(F.col("_i").alias("a"), "_f", ways(1, 2).alias("_m"))
+    b = sides.select(F.col("_i").alias("b"), "_f", ways(2, 1).alias("_m"))
+    met = a.join(b, ["_f", "_m"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    per = sizes.join(tails, "_i", "left")
+    met = met.join(per.toDF("a", "na", "ta"), "a").join(per.toDF("b", "nb", "tb"), "b")
+    both = F.when(F.col("ta").isNotNull() & F.col("tb").isNotNull(), F.size(F.array_intersect("ta", "tb"))).otherwise(F.lit(0))
+    return met.select("a", "b", "na", "nb", (F.col("met") + both).alias("shared"))
+
+
+def upper_median(rows: DataFrame, col: str, most: int = 50_000):
+    """The value at place n // 2 of the sorted non-null numbers, as a scalar (null if there are none).
+
+    A bounded sketch brackets the place, one aggregate counts what lies below, on and between the two values, and the
+    search goes on strictly between them until at most ``most`` rows are left. Each step reads the column, moves none
+    of it, and narrows the bracket some thousandfold; any two values of it would give the same result."""
+    inside, accuracy = rows.select(col).where(F.col(col).isNotNull()), 10_000
+    n, skipped, target = None, 0, None
+    while True:
+        p = 0.5 if n is None else (target - skipped) / n
+        around = [min(max(p + d / accuracy, 0.0), 1.0) for d in (-2, 2)]
+        count, pair = inside.agg(F.count("*"), F.percentile_approx(col, around, accuracy)).first()
+        if not count:
+            return None
+        n, target = count, target or count // 2 + 1
+        lo, hi = (F.lit(v).cast(inside.schema[col].dataType) for v in pair)
+        c, wanted = F.col(col), target - skipped
+        parts = (c < lo, c == lo, (c > lo) & (c < hi), (c == hi) & (hi > lo), c > hi)
+        held = inside.agg(*[F.count_if(x) for x in parts]).first()
+        for k, here in enumerate(held):
+            if wanted <= here:
+                break
+            wanted, skipped = wanted - here, skipped + here
+        if k in (1, 3):
+            return pair[k // 2]
+        inside, n = inside.where(parts[k]), here
+        if n <= most:
+            return inside.agg(F.sort_array(F.collect_list(col)).alias("v")).select(F.element_at("v", F.lit(int(wanted)))).first()[0]
 
 
 def hash_sample(rows: DataFrame, id_col: str, seed: str, n: int) -> DataFrame:

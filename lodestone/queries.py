@@ -404,8 +404,7 @@ def char_error_rate_whole(t):
 @query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2)
 SELECT doc_id, sum(n)::BIGINT AS tokens, count(*) AS kinds, max(n) AS most FROM c GROUP BY doc_id""".replace("\\\\", "\\"))
 def token_multiset(t):
-    c = t("documents").select("doc_id", F.explode(text.token_counts(C("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    return c.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds"), F.max("n").alias("most"))
+    return text.multiset_sizes(t("documents"), "doc_id", C("text"))
 
 
 @query("SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^a-z0-9]+'), 'license')")
