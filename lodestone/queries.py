@@ -511,4 +511,4 @@ def flagship(t):
     return named.withColumn("rnk", F.rank().over(Window.orderBy(F.desc("revenue")))).where("rnk <= 10")
 
 
-from . import archive_queries, corpus_queries, record_queries, score_queries  # noqa: E402,F401  they register their queries in the tables above
+from . import action_queries, archive_queries, corpus_queries, record_queries, score_queries  # noqa: E402,F401  they register their queries in the tables above
