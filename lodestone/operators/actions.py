@@ -43,15 +43,14 @@ def answered(requests: DataFrame, decisions: DataFrame, known: DataFrame, known_
     old = known.select("action", *HEADER).distinct()
     changed = heads.select("action", *HEADER).join(old.select("action").distinct(), "action", "left_semi")
     head_differs = _any(_differing(changed.distinct(), old.join(heads.select("action"), "action", "left_semi"), HEADER), "_head")
-    asked = decisions.join(heads.select("action").distinct(), "action", "left_semi")
-    kept = known_decisions.join(old.select("action").distinct(), "action", "left_semi")
-    decides_differ = _any(_differing(asked.join(old.select("action").distinct(), "action", "left_semi"), kept, DECISION), "_decides")
-    pairs = asked.select("action", "subject").distinct()
+    # decisions are counted by what they say before they meet anything, so an action of any size shrinks first
+    decides_differ = _any(_differing(decisions, known_decisions, DECISION), "_decides")
+    pairs = decisions.select("action", "subject").distinct()
     gone = pairs.join(current_ids(revisions, "subject", "supersedes"), F.col("subject") == F.col("_id"), "left_anti")
     batch = pairs.join(heads.where("representation is not null").select("action", "representation"), "action")
     bare = batch.join(evidence.select("subject", "representation").distinct(), ["subject", "representation"], "left_anti")
     out = several.join(old.select("action", F.lit(True).alias("_known")).distinct(), "action", "left")
-    for part in (head_differs, decides_differ, _any(gone, "_gone"), _any(bare, "_bare"), asked.groupBy("action").agg(F.count("*").alias("_d"))):
+    for part in (head_differs, decides_differ, _any(gone, "_gone"), _any(bare, "_bare"), decisions.groupBy("action").agg(F.count("*").alias("_d"))):
         out = out.join(part, "action", "left")
     state = (
         F.when((F.col("_k") > 1) | (F.col("_known") & F.col("_head")), STATES[1]).when(F.col("_known") & F.col("_decides"), STATES[2]).when(F.col("_known"), STATES[0])
