@@ -11,6 +11,8 @@ a case are its distinct patterns and the distinct sets of patterns that rows fit
 * Integers and numbers are equal by value, other values by type and text. Nulls equal only nulls of the same type.
 * A pattern without values fits every row. A case without patterns is met and not listed.
 * ``exact`` also asks for as many rows as patterns.
+* Both sides of a join grow with the cases, so none goes through the driver: files are many times smaller than their
+  rows in memory, and an estimate from their size would broadcast them.
 """
 
 from __future__ import annotations
@@ -76,8 +78,8 @@ def row_sets(results: DataFrame, patterns: DataFrame, exact: bool = False) -> Da
     named = by_set.withColumn("name", F.sha2(F.to_json(F.struct("values")), 256)).withColumn("size", F.size("values"))
     want = _occurrences(named, ["case", "name", "size"], "values")
     have = _occurrences(results, ["case", "row"], "values")
-    fits = want.join(have, ["case", "v", "k"]).groupBy("case", "row", "name", "size").agg(F.count("*").alias("n")).where("n = size").select("case", "row", "name")
-    anything = named.where("size = 0").select("case", "name").join(results.select("case", "row"), "case").select("case", "row", "name")
+    fits = want.hint("merge").join(have, ["case", "v", "k"]).groupBy("case", "row", "name", "size").agg(F.count("*").alias("n")).where("n = size").select("case", "row", "name")
+    anything = named.where("size = 0").select("case", "name").hint("merge").join(results.select("case", "row"), "case").select("case", "row", "name")
     kinds = fits.unionByName(anything).groupBy("case", "row").agg(F.array_sort(F.collect_set("name")).alias("names"))
     groups = kinds.groupBy("case", "names").agg(F.count("*").alias("n"))
     nodes = named.select("case", F.array("name").alias("names"), F.col("copies").alias("n"), F.lit(True).alias("wanted")).unionByName(groups.withColumn("wanted", F.lit(False)))
@@ -113,7 +115,7 @@ def row_sets(results: DataFrame, patterns: DataFrame, exact: bool = False) -> Da
     dealt = nodes.repartition("case").sortWithinPartitions("case")
     found = dealt.select("case", "names", "n", "wanted").mapInArrow(match, f"case {case_type}, patterns bigint, matched bigint")
     counts = results.groupBy("case").agg(F.count("*").alias("rows"))
-    out = found.where("patterns > 0").join(counts, "case", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    out = found.where("patterns > 0").join(counts.hint("merge"), "case", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     met = (F.col("matched") == F.col("patterns")) & (~F.lit(exact) | (F.col("rows") == F.col("patterns")))
     return out.select("case", "patterns", "rows", "matched", met.alias("met"))
 
@@ -121,7 +123,7 @@ def row_sets(results: DataFrame, patterns: DataFrame, exact: bool = False) -> Da
 def holds_scalar(results: DataFrame, wanted: DataFrame) -> DataFrame:
     """(case, met): whether some row of the case's result holds the case's value (``wanted``: case, v)."""
     values = results.select("case", F.explode(F.array_distinct("values")).alias("v")).distinct().withColumn("met", F.lit(True))
-    return wanted.join(values, ["case", "v"], "left").select("case", F.coalesce("met", F.lit(False)).alias("met"))
+    return wanted.join(values.hint("merge"), ["case", "v"], "left").select("case", F.coalesce("met", F.lit(False)).alias("met"))
 
 
 def tables_covered(events: DataFrame, required: DataFrame) -> DataFrame:
@@ -129,4 +131,4 @@ def tables_covered(events: DataFrame, required: DataFrame) -> DataFrame:
 
     ``events``: case, tables (of one query), met; ``required``: case, table."""
     read = events.where("met").select("case", F.explode("tables").alias("table")).distinct().withColumn("there", F.lit(True))
-    return required.join(read, ["case", "table"], "left").groupBy("case").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("met"))
+    return required.join(read.hint("merge"), ["case", "table"], "left").groupBy("case").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("met"))
