@@ -70,6 +70,15 @@ def column_number(letters: Column) -> Column:
     return F.aggregate(F.filter(F.split(letters, ""), lambda x: x != ""), F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64)
 
 
+def column_letters(number: Column) -> Column:
+    """The letters of a spreadsheet column, as ``column_number`` reads them: 1 to 18278 (ZZZ), null beyond."""
+    letter = lambda n: F.chr(65 + F.pmod(n, F.lit(26)))
+    n = number.cast("bigint") - 1
+    two, three = F.floor(n / 26) - 1, F.floor((F.floor(n / 26) - 1) / 26) - 1
+    letters = F.concat(F.when(three >= 0, letter(three)).otherwise(""), F.when(two >= 0, letter(two)).otherwise(""), letter(n))
+    return F.when((n >= 0) & (n < 26 + 26**2 + 26**3), letters)
+
+
 def a1_bounds(a1: Column) -> Column:
     """(min_col, min_row, max_col, max_row) of a range such as B2:D7 or B2; null if it is none or runs backwards."""
     part = lambda k: F.nullif(F.regexp_extract(a1, A1, k), F.lit(""))

@@ -55,16 +55,17 @@ def selector_valid(t):
 a.l_suppkey <= b.l_suppkey AND a.l_linenumber <= b.l_linenumber AND a.l_suppkey + 30 >= b.l_suppkey + 5 AND a.l_linenumber + 9 >= b.l_linenumber + 2 AS cells
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber""")
 def scope_contains(t):
-    letters = lambda n: F.concat(F.when(n > 26, F.chr((64 + F.floor((n - 1) / 26)).cast("int"))).otherwise(""), F.chr((65 + F.pmod(n - 1, F.lit(26))).cast("int")))
+    letters = selectors.column_letters
 
     def side(name, wide, cols, rows):
         end = (C("l_partkey") + C("l_quantity") * wide).cast("bigint")
         span = F.to_json(F.struct(F.lit("x").alias("exact"), C("l_partkey").alias("start_char"), end.alias("end_char")))
-        rect = F.concat(letters(C("l_suppkey") + 1), C("l_linenumber") + 1, F.lit(":"), letters(C("l_suppkey") + 1 + cols), C("l_linenumber") + 1 + rows)
+        # a key that grows with the table is a row, since columns end at ZZZ
+        rect = F.concat(letters(C("l_linenumber") + 1), C("l_suppkey") + 1, F.lit(":"), letters(C("l_linenumber") + 1 + cols), C("l_suppkey") + 1 + rows)
         area = F.to_json(F.struct(F.lit("s").alias("sheet"), rect.alias("a1_range")))
         return t("lineitem").select(C("l_orderkey").alias(f"k{name}"), C("l_linenumber").alias(f"n{name}"), C("l_partkey").alias(name), span.alias(f"span{name}"), area.alias(f"area{name}"))
 
-    both = side("a", 20, 30, 9).join(side("b", 1, 5, 2), (C("ka") == C("kb")) & (C("na") < C("nb")))
+    both = side("a", 20, 9, 30).join(side("b", 1, 2, 5), (C("ka") == C("kb")) & (C("na") < C("nb")))
     q, r = F.lit("text_quote"), F.lit("table_range")
     return both.select(C("ka").alias("k"), "a", "b", selectors.contains(q, C("spana"), q, C("spanb")).alias("chars"), selectors.contains(r, C("areaa"), r, C("areab")).alias("cells"))
 
