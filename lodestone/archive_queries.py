@@ -41,7 +41,7 @@ def _feed(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def connector_replay(spark, sf_dir):
     """All events through the connector in steps, then once more from the start: nothing is lost or repeated."""
     folder = shared_folder(spark, "inbox")
-    options = {"id": "event_id", "locator": "user_id", "observed_at": "ts", "outcome": "event_type", "failed": "error", "rows_per_step": "20000"}
+    options = {"id": "event_id", "locator": "user_id", "observed_at": "ts", "outcome": "event_type", "failed": "error", "rows_per_step": "20000", "catch_up": "0.25"}
     feed = lambda: _feed(spark, f"{sf_dir}/events.parquet", **options)
     inbox.run_connector(spark, connector.RecordFeed.descriptor, feed(), f"{folder}/rows", f"{folder}/state")
     again = inbox.run_connector(spark, connector.RecordFeed.descriptor, feed(), f"{folder}/rows", f"{folder}/state", restart=True)
@@ -54,7 +54,7 @@ def connector_replay(spark, sf_dir):
 def stream_state(spark, sf_dir):
     """Latest success of each client, kept by a stream's state; only what a step changed is written."""
     folder = shared_folder(spark, "latest")
-    feed = _feed(spark, f"{sf_dir}/clicks.parquet", id="click_id", locator="client_id", observed_at="ts", outcome="kind", failed="error", rows_per_step="20000")
+    feed = _feed(spark, f"{sf_dir}/clicks.parquet", id="click_id", locator="client_id", observed_at="ts", outcome="kind", failed="error", rows_per_step="20000", catch_up="0.25")
     inbox.run_latest(feed, f"{folder}/rows", f"{folder}/state")
     return inbox.latest(spark, f"{folder}/rows").select("locator", "observed_at", "id")
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -92,10 +93,13 @@ def _position(offset: dict) -> tuple[str, int]:
 class _Reader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.step, self.task = options["path"], int(options.get("rows_per_step", "100000")), int(options.get("rows_per_task", "20000"))
+        self.share = float(options.get("catch_up", "0"))
         self.columns = {c: options[c] for c in ("id", "locator", "observed_at")}
         self.failed = (options["outcome"], options["failed"].split(",")) if "outcome" in options else None
         if min(self.step, self.task) < 1:
             raise ConnectorError("steps and tasks have at least one row")
+        if not 0 <= self.share <= 1:
+            raise ConnectorError("a step catches up with a share of what is left, 0 to 1")
         self.at: tuple[str, int] | None = None
 
     def _files(self) -> list[tuple[str, int]]:
@@ -113,10 +117,12 @@ class _Reader(DataSourceStreamReader):
         return sealed(json.dumps({"file": "", "row": 0}).encode())
 
     def latestOffset(self) -> dict:
-        """At most a step beyond where the last one ended."""
+        """At most a step beyond where the last one ended; a step is longer where more is left to catch up with."""
         name, row = self.at or _position(self.initialOffset())
-        left = self.step
-        for file, rows in self._files():
+        files = self._files()
+        behind = sum(max(rows - (row if file == name else 0), 0) for file, rows in files if file >= name)
+        left = max(self.step, math.ceil(self.share * behind))
+        for file, rows in files:
             if file < name or left == 0:
                 continue
             start = row if file == name else 0
@@ -145,6 +151,8 @@ class _Reader(DataSourceStreamReader):
         at = 0
         source = pq.ParquetFile(partition.file, filesystem=system)
         for group in range(source.num_row_groups):
+            if at >= partition.end:
+                break
             rows = source.metadata.row_group(group).num_rows
             if at < partition.end and at + rows > partition.first:
                 for batch in source.iter_batches(2000, row_groups=[group]):
@@ -152,6 +160,8 @@ class _Reader(DataSourceStreamReader):
                     if lo < hi:
                         yield self._envelopes(batch.slice(lo, hi - lo))
                     at += batch.num_rows
+                    if at >= partition.end:
+                        break
             else:
                 at += rows
 
@@ -169,7 +179,9 @@ class _Reader(DataSourceStreamReader):
 
 class RecordFeed(DataSource):
     """Options: ``path``; the columns ``id``, ``locator`` and ``observed_at``; ``outcome`` with the comma-separated
-    values that count as ``failed``; ``rows_per_step`` and ``rows_per_task``."""
+    values that count as ``failed``; ``rows_per_step`` and ``rows_per_task``. ``catch_up``: the share of
+    what is left that a step takes if that is more than ``rows_per_step``, so that the number of steps grows with the
+    logarithm of what is left; 0 (the default) takes ``rows_per_step`` at most. Tasks stay as long as they are."""
 
     descriptor = Descriptor("record-feed", "1", frozenset({"pull", "incremental", "checkpointing"}))
 
