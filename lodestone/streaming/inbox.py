@@ -1,8 +1,8 @@
 """The inbox: where every connector's envelopes arrive, with keyed state instead of a look at all that came before.
 
 The first envelope of an id is new; the same id with the same digest is a replay and changes nothing; the same id
-with another digest is a collision and fails the batch before anything of it is written. The state holds one digest
-an id, in the stream's checkpoint folder, so a batch costs what it brings, however much is there already.
+with another digest is a collision and fails the batch before anything of it is written. The state holds the first
+envelope of an id, in the stream's checkpoint folder, so a batch costs what it brings, however much is there already.
 
 * Envelopes without an id are refused: the batch fails. Several envelopes of one id in a batch are taken in the
   order of (observed_at, digest), nulls first; the first decides.
@@ -13,88 +13,96 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.connector import ConnectorError, Descriptor, RunReport, opened
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
-class _Accept(StatefulProcessor):
-    """One digest an id."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.digest = handle.getValueState("digest", "digest string")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.digest.update((initialState.digest,))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.digest.get()[0] if self.digest.exists() else None
-        for row in sorted(rows, key=lambda r: (str(r.observed_at or ""), r.digest)):
-            if known is None:
-                known, status = row.digest, "new"
-                self.digest.update((known,))
-            else:
-                status = "replay" if row.digest == known else "collision"
-            yield Row(**row.asDict(), status=status)
-
-    def close(self) -> None:
-        pass
+_SEEN = "inbox"
 
 
 def accept(envelopes: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """The stream with each envelope's ``status``: new, replay or collision. ``known`` (id, digest; ids once each) is
-    what a new stream knows from the start."""
+    """For each id that a batch brings: its ``first`` envelope, whether it is ``new`` with this batch, and whether it is
+    a ``collision``. ``known`` is a stream of envelopes that count as there before, whenever they arrive.
+
+    The state is an aggregate, so it is kept and combined without Python. Batches are told apart by their time, which
+    a batch that is run again keeps."""
     spark = envelopes.sparkSession
     if "RocksDB" not in (spark.conf.get(_PROVIDER, None) or ""):
         spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in envelopes.schema) + ", status string"
-    start = {} if known is None else {"initialState": known.select("id", "digest").groupBy("id")}
-    return envelopes.groupBy("id").transformWithState(_Accept(), out, "Append", "None", **start)
-
-
-def _drained(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str, mode: str) -> tuple[int, bytes | None]:
-    """Run a stream to the end of what is there: rows read and the connector's last checkpoint."""
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode).start()
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    rows = envelopes.observe(_SEEN, F.count(F.lit(1)).alias("n")).withColumn("_at", F.current_timestamp())
+    if known is not None:
+        rows = rows.unionByName(known.select(*envelopes.columns).withColumn("_at", F.lit(None).cast("timestamp")))
+    order = ["_at", "observed_at", "digest"]
+    first = F.min(F.struct(*order, *(c for c in envelopes.columns if c not in ("id", *order))))
+    held = rows.groupBy("id").agg(first.alias("first"), F.max("_at").alias("last"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    return held.select("id", "first", F.coalesce(F.col("first._at") == F.col("last"), F.lit(False)).alias("new"), (F.col("lo") != F.col("hi")).alias("collision"))
+
+
+def _drained(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str, mode: str) -> tuple[int, int, bytes | None]:
+    """Run a stream to the end of what is there: rows that its first source gave, rows that were seen where the stream
+    observes them, and the connector's last checkpoint. A query remembers its last hundred steps only, so they are
+    counted on the way."""
+    steps: dict[int, tuple[int, int]] = {}
+    started: list = []
+
+    def note() -> None:
+        for p in started[0].recentProgress if started else ():
+            seen = p["observedMetrics"].get(_SEEN)
+            if p["sources"][0]["numInputRows"]:
+                steps[p["batchId"]] = p["sources"][0]["numInputRows"], seen["n"] if seen else 0
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        if epoch % 50 == 49:
+            note()
+        write(batch, epoch)
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", state).outputMode(mode).start()
+    started.append(query)
     try:
         query.processAllAvailable()
-        read = sum(p["numInputRows"] for p in query.recentProgress)
+        note()
         last = json.loads(query._jsq.lastProgress().json()) if query.lastProgress else None
     finally:
         query.stop()
-    return read, opened(last["sources"][0]["endOffset"]) if last else None
+    return sum(x for x, _ in steps.values()), sum(x for _, x in steps.values()), opened(last["sources"][0]["endOffset"]) if last else None
 
 
 def run_connector(spark: SparkSession, descriptor: Descriptor, envelopes: DataFrame, inbox: str, state: str, coverage: str = "incremental", restart: bool = False) -> RunReport:
     """One run: all that the connector has by now goes into the Parquet table ``inbox``; ``state`` keeps the
     checkpoint and what is known. The next run goes on where this one ended. ``restart``: the connector begins again
     with its first checkpoint, as it does when it lost its own; what is known then comes from the inbox."""
-    counts = {"new": 0, "replay": 0}
+    added = 0
+    known = _known(spark, inbox) if restart else None
     if restart:
         state = f"{state}-{uuid.uuid4().hex}"
     target = f"{inbox}/run={state.rstrip('/').rpartition('/')[2]}"
 
     def write(batch: DataFrame, epoch: int) -> None:
+        nonlocal added
         batch = batch.persist()
         try:
-            seen = {r["status"]: r["n"] for r in batch.groupBy("status").agg(F.count("*").alias("n")).collect()}
-            nameless = not batch.where("id is null").isEmpty()
-            if seen.get("collision") or nameless:
+            new, collisions, nameless = batch.agg(F.count_if("new"), F.count_if("collision"), F.count_if(F.col("id").isNull())).first()
+            if collisions or nameless:
                 raise ConnectorError("an envelope has no id" if nameless else "a known id came with another payload")
-            batch.where("status = 'new'").drop("status").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
-            for status in counts:
-                counts[status] += seen.get(status, 0)
+            batch.where("new").select(*(c if c == "id" else f"first.{c}" for c in envelopes.columns)).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+            added += new
         finally:
             batch.unpersist()
 
-    stream = accept(envelopes, received(spark, inbox) if restart else None)
-    emitted, checkpoint = _drained(stream, write, state, "append")
-    return RunReport(coverage, emitted, counts["new"], counts["replay"], checkpoint).checked(descriptor)
+    emitted, seen, checkpoint = _drained(accept(envelopes, known), write, state, "update")
+    return RunReport(coverage, emitted, added, seen - added, checkpoint).checked(descriptor)
+
+
+def _known(spark: SparkSession, inbox: str) -> DataFrame:
+    """What the runs so far have put into the inbox, as a stream of its own."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(inbox)
+    runs = [s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root) if s.isDirectory()]
+    return spark.readStream.schema(received(spark, inbox).schema).parquet(f"{inbox}/{{{','.join(runs)}}}/epoch=*")
 
 
 def received(spark: SparkSession, inbox: str) -> DataFrame:
