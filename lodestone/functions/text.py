@@ -27,7 +27,9 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def normalize_text(text: Column) -> Column:
-    return collapse(nfc(text))
+    """NFC, then ``collapse``. Characters below U+0300 are NFC among themselves, so only texts with others go to Python."""
+    marked = text.rlike(r"[^\x{0}-\x{2FF}]")
+    return collapse(F.coalesce(nfc(F.when(marked, text)), text))
 
 
 def fold_accents(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import compat, text
 from .operators import graph, quality, relational
+from .sources.shared import small_batches
 from .sources.tables import facets, table
 from .streaming import replay
 
@@ -347,7 +348,7 @@ def scalar_allowlist(t):
 
 @query(r"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS clean FROM documents")
 def normalize_text(t):
-    return t("documents").select("doc_id", text.normalize_text(C("text")).alias("clean"))
+    return small_batches(t("documents")).select("doc_id", text.normalize_text(C("text")).alias("clean"))
 
 
 @query("SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM part")
