@@ -12,9 +12,16 @@ row says which of its postings count, so an update writes one segment with what
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import small_batches
+
 BUCKETS, SPREAD = 16, 4
 
 
@@ -22,6 +29,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, doc, positions) of batches of (doc, tokens): a document's words are put together where it is read, so one
+    row of each of its tokens is dealt and not one of each word."""
+    for batch in batches:
+        words = batch.column("tokens")
+        counts = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        flat = pa.table([batch.column("doc").take(pc.list_parent_indices(words)), pc.list_flatten(words), pa.array(at, pa.int32())], ["doc", "token", "at"])
+        grouped = flat.group_by(["doc", "token"], use_threads=False).aggregate([("at", "list")]).select(["token", "doc", "at_list"])
+        yield from grouped.rename_columns(["token", "doc", "positions"]).combine_chunks().to_batches(max_chunksize=20_000)
+
+
 class TextIndex:
     """An index named ``name`` in ``folder``; ``kept`` are the columns that searches can filter by."""
 
@@ -76,8 +95,8 @@ class TextIndex:
             changed = met.where(~same).select(*new.columns)
             gone = old.where("not gone").join(new.select("doc"), "doc", "left_anti").select("doc", "digest", F.lit(True).alias("gone"), *self.kept)
         part = F.pmod(F.xxhash64("doc"), F.lit(SPREAD))
-        words = changed.select("doc", F.posexplode(tokens(F.col("_text"))).alias("at", "token")).withColumn("part", part)
-        dealt = words.repartition(self.buckets * SPREAD, "token", "part").groupBy("token", "part", "doc").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+        words = small_batches(changed.select("doc", tokens(F.col("_text")).alias("tokens")))
+        dealt = words.mapInArrow(posted, "token string, doc bigint, positions array<int>").repartition(self.buckets * SPREAD, "token", part)
         segment = last + 1
         postings = dealt.select("token", "doc", "positions", F.lit(segment).alias("segment"))
         # the segment's documents are written last: without them its postings do not count
