@@ -66,8 +66,11 @@ def shared_pairs(items: DataFrame, item: str, feature: str, min_shared: int, min
     sizes = rows.groupBy("_i").agg(F.count("*").alias("_n"))
     often = rows.groupBy("_f").agg(F.count("*").alias("_c")).where(F.col("_c") > hot)
     if often.isEmpty():
-        met = rows.toDF("a", "_f").join(rows.toDF("b", "_f"), "_f").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
-        met = met.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").withColumnRenamed("met", "shared")
+        # the sizes come with the sides, both in one number, so that the pairs, by far the most rows, move once
+        sized = rows.join(sizes, "_i").select("_i", "_f", "_n")
+        both = F.shiftleft("na", 31).bitwiseOR(F.col("nb")).alias("_n")
+        met = sized.toDF("a", "_f", "na").join(sized.toDF("b", "_f", "nb"), "_f").where("a < b").select("a", "b", both).groupBy("a", "b", "_n").agg(F.count("*").alias("shared"))
+        met = met.select("a", "b", F.shiftright("_n", 31).alias("na"), F.col("_n").bitwiseAND(F.lit((1 << 31) - 1)).alias("nb"), "shared")
     else:
         met = _met_by_heads(rows, sizes, often, min_shared, min_jaccard)
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
