@@ -81,44 +81,74 @@ def column_letters(number: Column) -> Column:
 
 def a1_bounds(a1: Column) -> Column:
     """(min_col, min_row, max_col, max_row) of a range such as B2:D7 or B2; null if it is none or runs backwards."""
-    part = lambda k: F.nullif(F.regexp_extract(a1, A1, k), F.lit(""))
-    c1, r1 = column_number(part(1)), part(2).try_cast("bigint")
-    c2, r2 = column_number(F.coalesce(part(3), part(1))), F.coalesce(part(4), part(2)).try_cast("bigint")
-    return F.when(a1.rlike(A1) & (c1 <= c2) & (r1 <= r2), F.struct(c1.alias("min_col"), r1.alias("min_row"), c2.alias("max_col"), r2.alias("max_row")))
+    # arrays of one element bind each step, so that none is worked out again where it is used twice
+    parts = F.transform(F.filter(F.array(a1), lambda x: x.rlike(A1)), lambda x: F.array(*[F.regexp_extract(x, A1, k) for k in range(1, 5)]))
+    last = lambda p, k: F.coalesce(F.nullif(p[k + 2], F.lit("")), p[k])
+    column, row = lambda x, name: column_number(x).alias(name), lambda x, name: x.try_cast("bigint").alias(name)
+    bounds = F.transform(parts, lambda p: F.struct(column(p[0], "min_col"), row(p[1], "min_row"), column(last(p, 0), "max_col"), row(last(p, 1), "max_row")))
+    return F.get(F.filter(bounds, lambda b: (b["min_col"] <= b["max_col"]) & (b["min_row"] <= b["max_row"])), F.lit(0))
 
 
-def rect_contains(outer: Column, inner: Column) -> Column:
-    """Whether A1 range ``outer`` holds ``inner``; false where either is no range."""
-    o, i = a1_bounds(outer), a1_bounds(inner)
+def _inside(o: Column, i: Column) -> Column:
     inside = (o["min_col"] <= i["min_col"]) & (o["min_row"] <= i["min_row"]) & (o["max_col"] >= i["max_col"]) & (o["max_row"] >= i["max_row"])
     return F.coalesce(inside, F.lit(False))
 
 
-def contains(outer_kind: Column, outer: Column, inner_kind: Column, inner: Column) -> Column:
-    """Whether the inner selector's scope is certain to lie in the outer one's, on one representation."""
-    same = lambda k, t="string": F.coalesce(field(outer, k, t) == field(inner, k, t), F.lit(False))
-    absent = lambda k: field(outer, k).isNull()
-    spans = lambda a, b: F.coalesce((field(outer, a, "bigint") <= field(inner, a, "bigint")) & (field(outer, b, "bigint") >= field(inner, b, "bigint")), F.lit(False))
-    equal = canonical(outer) == canonical(inner)
+def rect_contains(outer: Column, inner: Column) -> Column:
+    """Whether A1 range ``outer`` holds ``inner``; false where either is no range."""
+    return _inside(a1_bounds(outer), a1_bounds(inner))
+
+
+def scope(kind: Column, selector: Column) -> Column:
+    """What ``within`` asks of a selector, read from its JSON: a selector that meets many others is read once."""
+    of = lambda value, *kinds: F.when(kind.isin(*kinds), value)
+    # a text without the letters of a key (or an escape, which could stand for them) is not searched for it
+    get = lambda k, t="string": F.when(selector.contains(k) | selector.contains("\\"), field(selector, k, t))
+    numbers = lambda k, *keys: [of(get(x, "bigint"), k).alias(x) for x in keys]
+    start = field(selector, "start_char", "bigint")
+    # bounds without values: a range is given, but is none
+    no_range = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("min_col", "int"), ("min_row", "bigint"), ("max_col", "int"), ("max_row", "bigint"))])
+    bounds = F.get(F.transform(F.filter(F.array(field(selector, "a1_range")), lambda x: x.isNotNull()), lambda x: F.coalesce(a1_bounds(x), no_range)), F.lit(0))
+    # where offsets decide, the text does not
+    whole = F.when((kind == "pdf_page_quote") | start.isNull(), canonical(selector))
+    return F.struct(
+        of(get("page_ordinal", "bigint"), "pdf_page", "pdf_page_quote").alias("page_ordinal"), of(whole, "pdf_page_quote", "text_quote").alias("text"),
+        of(start, "text_quote").alias("start_char"), of(field(selector, "end_char", "bigint"), "text_quote").alias("end_char"),
+        of(field(selector, "sheet"), "table_range").alias("sheet"), of(get("table_name"), "table_range").alias("table_name"), of(bounds, "table_range").alias("bounds"),
+        of(F.coalesce(get("row_start").isNotNull(), F.lit(False)), "table_range").alias("lined"), *numbers("table_range", "row_start", "row_end"),
+        of(get("media_sha256"), "media").alias("media_sha256"), *numbers("media", "duration_us", "start_us", "end_us"),
+    )
+
+
+def within(outer_kind: Column, outer: Column, inner_kind: Column, inner: Column) -> Column:
+    """``contains`` of two selectors by their scopes."""
+    same = lambda k: F.coalesce(outer[k] == inner[k], F.lit(False))
+    spans = lambda a, b: F.coalesce((outer[a] <= inner[a]) & (outer[b] >= inner[b]), F.lit(False))
+    ranged, lined = outer["bounds"].isNotNull(), outer["lined"]
     table = (
-        (absent("sheet") | same("sheet")) & (absent("table_name") | same("table_name"))
-        & (absent("a1_range") | rect_contains(field(outer, "a1_range"), field(inner, "a1_range")))
-        & (absent("row_start") | spans("row_start", "row_end"))
-        & ~(absent("sheet") & absent("table_name") & absent("a1_range") & absent("row_start"))
+        (outer["sheet"].isNull() | same("sheet")) & (outer["table_name"].isNull() | same("table_name"))
+        & (~ranged | _inside(outer["bounds"], inner["bounds"]))
+        & (~lined | spans("row_start", "row_end"))
+        & (outer["sheet"].isNotNull() | outer["table_name"].isNotNull() | ranged | lined)
     )
-    offsets = field(outer, "start_char").isNotNull() & field(inner, "start_char").isNotNull()
+    offsets = outer["start_char"].isNotNull() & inner["start_char"].isNotNull()
     of_kind = (
         F.when(outer_kind == "whole", F.lit(True))
-        .when(outer_kind == "pdf_page", inner_kind.isin("pdf_page", "pdf_page_quote") & same("page_ordinal", "bigint"))
+        .when(outer_kind == "pdf_page", inner_kind.isin("pdf_page", "pdf_page_quote") & same("page_ordinal"))
         .when(outer_kind != inner_kind, F.lit(False))
-        .when(outer_kind == "pdf_page_quote", equal)
-        .when(outer_kind == "text_quote", F.when(offsets, spans("start_char", "end_char")).otherwise(equal))
+        .when(outer_kind == "pdf_page_quote", same("text"))
+        .when(outer_kind == "text_quote", F.when(offsets, spans("start_char", "end_char")).otherwise(same("text")))
         .when(outer_kind == "table_range", table)
-        .when(outer_kind == "media", same("media_sha256") & same("duration_us", "bigint") & spans("start_us", "end_us"))
+        .when(outer_kind == "media", same("media_sha256") & same("duration_us") & spans("start_us", "end_us"))
     )
     return F.coalesce(of_kind, F.lit(False))
 
 
+def contains(outer_kind: Column, outer: Column, inner_kind: Column, inner: Column) -> Column:
+    """Whether the inner selector's scope is certain to lie in the outer one's, on one representation."""
+    return within(outer_kind, scope(outer_kind, outer), inner_kind, scope(inner_kind, inner))
+
+
 def _literal(text: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 

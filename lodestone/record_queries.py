@@ -55,7 +55,7 @@ def selector_valid(t):
 a.l_suppkey <= b.l_suppkey AND a.l_linenumber <= b.l_linenumber AND a.l_suppkey + 30 >= b.l_suppkey + 5 AND a.l_linenumber + 9 >= b.l_linenumber + 2 AS cells
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber""")
 def scope_contains(t):
-    letters = selectors.column_letters
+    letters, q, r = selectors.column_letters, F.lit("text_quote"), F.lit("table_range")
 
     def side(name, wide, cols, rows):
         end = (C("l_partkey") + C("l_quantity") * wide).cast("bigint")
@@ -63,11 +63,12 @@ def scope_contains(t):
         # a key that grows with the table is a row, since columns end at ZZZ
         rect = F.concat(letters(C("l_linenumber") + 1), C("l_suppkey") + 1, F.lit(":"), letters(C("l_linenumber") + 1 + cols), C("l_suppkey") + 1 + rows)
         area = F.to_json(F.struct(F.lit("s").alias("sheet"), rect.alias("a1_range")))
-        return t("lineitem").select(C("l_orderkey").alias(f"k{name}"), C("l_linenumber").alias(f"n{name}"), C("l_partkey").alias(name), span.alias(f"span{name}"), area.alias(f"area{name}"))
+        made = t("lineitem").select(C("l_orderkey").alias(f"k{name}"), C("l_linenumber").alias(f"n{name}"), C("l_partkey").alias(name), span.alias("span"), area.alias("area"))
+        # a line meets all others of its order: its selectors are read before that
+        return made.select(f"k{name}", f"n{name}", name, selectors.scope(q, C("span")).alias(f"span{name}"), selectors.scope(r, C("area")).alias(f"area{name}"))
 
     both = side("a", 20, 9, 30).join(side("b", 1, 2, 5), (C("ka") == C("kb")) & (C("na") < C("nb")))
-    q, r = F.lit("text_quote"), F.lit("table_range")
-    return both.select(C("ka").alias("k"), "a", "b", selectors.contains(q, C("spana"), q, C("spanb")).alias("chars"), selectors.contains(r, C("areaa"), r, C("areab")).alias("cells"))
+    return both.select(C("ka").alias("k"), "a", "b", selectors.within(q, C("spana"), q, C("spanb")).alias("chars"), selectors.within(r, C("areaa"), r, C("areab")).alias("cells"))
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars % 4 = 0 OR n_chars < 10 THEN 'span' WHEN doc_id % 5 = 0 THEN 'bytes' END AS problem FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL""")
