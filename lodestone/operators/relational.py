@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .graph import cut
 
@@ -63,20 +64,44 @@ def shared_pairs(items: DataFrame, item: str, feature: str, min_shared: int, min
     tail: two tails do not meet in the join, what they share is counted from the tails of a pair that met elsewhere.
     So a feature in the tail of all its items meets none. ``hot`` decides the plan, not the rows."""
     rows = cut(items.select(F.col(item).alias("_i"), F.col(feature).alias("_f")))
-    sizes = rows.groupBy("_i").agg(F.count("*").alias("_n"))
-    often = rows.groupBy("_f").agg(F.count("*").alias("_c")).where(F.col("_c") > hot)
-    if often.isEmpty():
-        # the sizes come with the sides, both in one number, so that the pairs, by far the most rows, move once
-        sized = rows.join(sizes, "_i").select("_i", "_f", "_n")
-        both = F.shiftleft("na", 31).bitwiseOR(F.col("nb")).alias("_n")
-        met = sized.toDF("a", "_f", "na").join(sized.toDF("b", "_f", "nb"), "_f").where("a < b").select("a", "b", both).groupBy("a", "b", "_n").agg(F.count("*").alias("shared"))
-        met = met.select("a", "b", F.shiftright("_n", 31).alias("na"), F.col("_n").bitwiseAND(F.lit((1 << 31) - 1)).alias("nb"), "shared")
+    sizes = cut(rows.groupBy("_i").agg(F.count("*").alias("_n")))
+    counts = rows.groupBy("_f").agg(F.count("*").alias("_c"))
+    most, twice = counts.agg(F.coalesce(F.max("_c"), F.lit(0)), F.coalesce(F.sum(F.col("_c") * (F.col("_c") - 1)), F.lit(0))).first()
+    if most <= hot:
+        met = _met_by_lists(rows, sizes, twice // 2)
     else:
-        met = _met_by_heads(rows, sizes, often, min_shared, min_jaccard)
+        met = _met_by_heads(rows, sizes, counts.where(F.col("_c") > hot), min_shared, min_jaccard)
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return met.select("a", "b", "shared", jaccard.alias("jaccard")).where((F.col("shared") >= min_shared) | (F.col("jaccard") >= min_jaccard))
 
 
+def _narrowed(lo: int | None, hi: int | None, of: str) -> str:
+    """The narrowest integral type, at most ``of``, that holds ``lo`` to ``hi``."""
+    return next((t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31)) if lo is not None and -(1 << bits) <= lo and hi < 1 << bits), of)
+
+
+def _met_by_lists(rows: DataFrame, sizes: DataFrame, pairs: int) -> DataFrame:
+    """(a, b, na, nb, shared) of all pairs, where no feature has many items; ``pairs`` is how often two items meet.
+
+    Meetings are by far the most rows, so they move once and packed: an item gets, for each of its features, the list of
+    the items after it in the order of (size, item), and meets them where it is counted. That order lets the item of
+    fewer features count, so a hub counts with other hubs only. Tasks are as many as the meetings ask for, so that
+    they are counted in memory."""
+    kind = rows.schema["_i"].dataType
+    most, lo, hi = sizes.agg(F.max("_n"), F.min("_i"), F.max("_i")).first()
+    item = _narrowed(lo, hi, "bigint") if isinstance(kind, IntegralType) else kind
+    tasks = lambda each: max(rows.sparkSession.sparkContext.defaultParallelism, -(-pairs // each))
+    sized = rows.where("_f is not null").join(sizes, "_i").select(F.col("_n").cast(_narrowed(0, most or 0, "bigint")), F.col("_i").cast(item), "_f")
+    lists = sized.repartition(tasks(8_000_000), "_f").groupBy("_f").agg(F.array_sort(F.collect_list(F.struct("_n", "_i"))).alias("_l"))
+    lists = lists.where(F.size("_l") > 1).select(F.col("_l")["_i"].alias("_is"), F.col("_l")["_n"].alias("_ns")).select("*", F.posexplode("_is").alias("_k", "a")).where(F.col("_k") < F.size("_is") - 1)
+    after = lambda c: F.slice(c, F.col("_k") + 2, F.size(c))
+    lists = lists.select("a", F.get("_ns", "_k").alias("na"), after("_is").alias("b"), after("_ns").alias("nb"))
+    met = lists.repartition(tasks(1_000_000), "a").select("a", "na", F.inline(F.arrays_zip("b", "nb"))).where("a <> b")
+    met = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
+    long = lambda c: F.col(c).cast("bigint").alias(c)
+    return met.select(F.least("a", "b").cast(kind).alias("a"), F.greatest("a", "b").cast(kind).alias("b"), long("na"), long("nb"), "shared")
+
+
 def _met_by_heads(rows: DataFrame, sizes: DataFrame, often: DataFrame, min_shared: int, min_jaccard: float) -> DataFrame:
     """(a, b, na, nb, shared) of all pairs that meet by a feature outside one's tail."""
     # the most frequent of an item, first among slices of it, so that no item's rows meet in one task
