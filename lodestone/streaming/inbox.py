@@ -1,8 +1,9 @@
 """The inbox: where every connector's envelopes arrive, with keyed state instead of a look at all that came before.
 
 The first envelope of an id is new; the same id with the same digest is a replay and changes nothing; the same id
-with another digest is a collision and fails the batch before anything of it is written. The state holds the first
-envelope of an id, in the stream's checkpoint folder, so a batch costs what it brings, however much is there already.
+with another digest is a collision and fails the batch before anything of it is written. The state, in the stream's
+checkpoint folder, holds numbers for an id and no envelope, so a batch costs what it brings, however much is there
+already. The envelopes pass beside it, and those of new ids are picked from their batch.
 
 * Envelopes without an id are refused: the batch fails. Several envelopes of one id in a batch are taken in the
   order of (observed_at, digest), nulls first; the first decides.
@@ -14,6 +15,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,40 +24,43 @@ from pyspark.sql import functions as F
 from ..sources.connector import ConnectorError, Descriptor, RunReport, opened
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_SEEN = "inbox"
+_SEEN, _CAME = "inbox", "came"
+_BEFORE = -(1 << 63)  # the time of what is known: before all batches
 
 
 def accept(envelopes: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """For each id that a batch brings: its ``first`` envelope, whether it is ``new`` with this batch, and whether it is
-    a ``collision``. ``known`` is a stream of envelopes that count as there before, whenever they arrive.
+    """For each id that a batch brings, whether it is ``new`` with this batch and whether it is a ``collision``.
+    ``known`` is a stream of envelopes that count as there before, whenever they arrive.
 
-    The state is an aggregate, so it is kept and combined without Python. Batches are told apart by their time, which
-    a batch that is run again keeps."""
+    The state is an aggregate of numbers, so it is kept and combined without Python, by hash and in place: the first and
+    last batch of an id and the least and greatest of its digests, each in four parts. Batches are told apart by their
+    time, which a batch that is run again keeps."""
     spark = envelopes.sparkSession
     if "RocksDB" not in (spark.conf.get(_PROVIDER, None) or ""):
         spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    rows = envelopes.observe(_SEEN, F.count(F.lit(1)).alias("n")).withColumn("_at", F.current_timestamp())
+    rows = envelopes.observe(_SEEN, F.count(F.lit(1)).alias("n")).select("id", "digest", F.unix_micros(F.current_timestamp()).alias("at"))
     if known is not None:
-        rows = rows.unionByName(known.select(*envelopes.columns).withColumn("_at", F.lit(None).cast("timestamp")))
-    order = ["_at", "observed_at", "digest"]
-    first = F.min(F.struct(*order, *(c for c in envelopes.columns if c not in ("id", *order))))
-    held = rows.groupBy("id").agg(first.alias("first"), F.max("_at").alias("last"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    return held.select("id", "first", F.coalesce(F.col("first._at") == F.col("last"), F.lit(False)).alias("new"), (F.col("lo") != F.col("hi")).alias("collision"))
+        rows = rows.unionByName(known.select("id", "digest", F.lit(_BEFORE).alias("at")))
+    hashed, parts = F.sha2(F.col("digest").cast("binary"), 256), [f"p{k}" for k in range(4)]
+    rows = rows.select("id", "at", *[F.conv(F.substring(hashed, 16 * k + 1, 16), 16, -10).cast("bigint").alias(p) for k, p in enumerate(parts)])
+    held = rows.groupBy("id").agg(*[f(c).alias(f"{name}_{c}") for name, f in (("lo", F.min), ("hi", F.max)) for c in ("at", *parts)])
+    new = (F.col("lo_at") == F.col("hi_at")) & (F.col("lo_at") != _BEFORE)
+    return held.select("id", new.alias("new"), reduce(or_, [F.col(f"lo_{p}") != F.col(f"hi_{p}") for p in parts]).alias("collision"))
 
 
 def _drained(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str, mode: str) -> tuple[int, int, bytes | None]:
-    """Run a stream to the end of what is there: rows that its first source gave, rows that were seen where the stream
-    observes them, and the connector's last checkpoint. A query remembers its last hundred steps only, so they are
-    counted on the way."""
+    """Run a stream to the end of what is there: rows that its first source gave (or that came, where the stream
+    observes that, since a source that is read twice counts twice), rows that were seen where the stream observes them,
+    and the connector's last checkpoint. A query remembers its last hundred steps only, so they are counted on the way."""
     steps: dict[int, tuple[int, int]] = {}
     started: list = []
 
     def note() -> None:
         for p in started[0].recentProgress if started else ():
-            seen = p["observedMetrics"].get(_SEEN)
+            came, seen = (p["observedMetrics"].get(x) for x in (_CAME, _SEEN))
             if p["sources"][0]["numInputRows"]:
-                steps[p["batchId"]] = p["sources"][0]["numInputRows"], seen["n"] if seen else 0
+                steps[p["batchId"]] = came["n"] if came else p["sources"][0]["numInputRows"], seen["n"] if seen else 0
 
     def each(batch: DataFrame, epoch: int) -> None:
         if epoch % 50 == 49:
@@ -82,19 +88,25 @@ def run_connector(spark: SparkSession, descriptor: Descriptor, envelopes: DataFr
         state = f"{state}-{uuid.uuid4().hex}"
     target = f"{inbox}/run={state.rstrip('/').rpartition('/')[2]}"
 
+    first = F.struct("observed_at", "digest", *(c for c in envelopes.columns if c not in ("id", "observed_at", "digest"))).alias("first")
+    came = envelopes.observe(_CAME, F.count(F.lit(1)).alias("n")).select("id", first)
+
     def write(batch: DataFrame, epoch: int) -> None:
         nonlocal added
         batch = batch.persist()
         try:
-            new, collisions, nameless = batch.agg(F.count_if("new"), F.count_if("collision"), F.count_if(F.col("id").isNull())).first()
+            new, rows, collisions, nameless = batch.agg(F.count_if("new"), F.count("first"), F.count_if("collision"), F.count_if(F.col("id").isNull())).first()
             if collisions or nameless:
                 raise ConnectorError("an envelope has no id" if nameless else "a known id came with another payload")
-            batch.where("new").select(*(c if c == "id" else f"first.{c}" for c in envelopes.columns)).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+            # envelopes move only where new ids stand beside known ones or have several
+            firsts = batch.where("first is not null") if new == rows else batch.where(F.lit(new > 0)).groupBy("id").agg(F.min("first").alias("first"), F.max("new").alias("new")).where("new")
+            firsts.select(*(c if c == "id" else f"first.{c}" for c in envelopes.columns)).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/epoch={epoch}")
             added += new
         finally:
             batch.unpersist()
 
-    emitted, seen, checkpoint = _drained(accept(envelopes, known), write, state, "update")
+    stream = came.unionByName(accept(envelopes, known), allowMissingColumns=True)
+    emitted, seen, checkpoint = _drained(stream, write, state, "update")
     return RunReport(coverage, emitted, added, seen - added, checkpoint).checked(descriptor)
 
 
